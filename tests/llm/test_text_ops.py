@@ -166,7 +166,7 @@ def test_pii_in_texts(spark):
     assert got[0].text is None and [got[i].n_pii for i in range(8)] == [0, 0, 0, 3, 1, 1, 1, 1]
     assert all(got[i].text == texts[i] for i in range(3))
     for i in range(3, 8):
-        assert len(got[i].text) == len(texts[i]) and got[i].text != texts[i]
+        assert (i == 5 or len(got[i].text) == len(texts[i])) and got[i].text != texts[i]  # an address may change its length
     a, b = re.findall(r"\d{16}", got[3].text)
     assert a == b != "4539578763621486" and got[3].text.startswith("card ") and got[3].text.endswith("@c.de!")
     assert got[6].text.startswith("password=") and got[6].text.endswith(" end") and got[7].text.startswith("$1 \\1 ")
