@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.plans import media
+
 
 def queries() -> dict:
-    return {}
+    return dict(media.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(media.SQL)
