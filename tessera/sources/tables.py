@@ -40,7 +40,8 @@ def tagged_csv(spark: SparkSession, path: str, kinds: list[str]) -> tuple[DataFr
 def feed(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files: title, link, published."""
     x = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string").load(path)
-    return x.select(F.trim("title").alias("title"), F.trim("link").alias("link"), F.try_to_timestamp("pubDate", F.lit("EEE, d MMM yyyy HH:mm:ss z")).alias("published"))
+    when = F.regexp_replace("pubDate", "^[A-Za-z]{3}, *", "")
+    return x.select(F.trim("title").alias("title"), F.trim("link").alias("link"), F.coalesce(*[F.try_to_timestamp(when, F.lit(f"d MMM yyyy HH:mm:ss {z}")) for z in ("z", "xx")]).alias("published"))
 
 
 def geojson_box(spark: SparkSession, path: str) -> DataFrame:
