@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text, vectors
-from tessera.operators import counts, graph, search, series, writes
+from tessera.operators import cluster, counts, graph, review, search, series, writes
 from tessera.sources.tables import table
 from tessera.streaming import keywords
 
@@ -569,3 +569,110 @@ def simhash_pairs(spark, d):
     a, b = (bands.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), "band", "key") for x in "ab")
     near = a.join(b, ["band", "key"]).where("a < b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 6)
     return near.select("a", "b", F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))).alias("distance")).distinct()
+
+
+@query(r"""
+with t as (select event_id, user_id, event_type, value from events where event_id % 1 = 0),
+g as (select user_id, count(*) as rows, count(distinct event_id) as articles, count(distinct event_type) as outlets from t group by 1 having count(*) >= 3 and count(distinct event_id) >= 3 and count(distinct event_type) >= 2),
+n as (select user_id, event_type, count(*) as n from t group by 1, 2 qualify row_number() over (partition by user_id order by count(*) desc, length(event_type) desc, event_type desc) = 1)
+select user_id, rows, articles, outlets, event_type as modal_name from g join n using (user_id)""")
+def promotable_clusters(spark, d):
+    return cluster.promotable(_events(spark, d), "user_id", "event_id", "event_type", "event_type")
+
+
+@query("select user_id, event_id as representative from events qualify row_number() over (partition by user_id order by coalesce(nullif(event_id % 10, 0), 1) desc, length(props) desc, ts, event_id) = 1")
+def cluster_representative(spark, d):
+    out = cluster.representative(_events(spark, d), "user_id", F.nullif(F.col("event_id") % 10, F.lit(0)), F.length("props"), "ts", "event_id")
+    return out.select("user_id", F.col("event_id").alias("representative"))
+
+
+@query("select user_id, sha256(string_agg(event_id, ',' order by event_id)) as fingerprint from events group by 1")
+def cluster_fingerprint(spark, d):
+    return _events(spark, d).groupBy("user_id").agg(cluster.fingerprint(F.collect_list("event_id")).alias("fingerprint"))
+
+
+@query("select event_type, count(*) as n, triage from (select event_type, case when value >= 85 then 'merge' when (user_id % 100) / 100.0 >= 0.5 then 'uncertain' when event_id % 9 = 0 then 'noise' when event_id % 10 = 9 then 'promote' else 'review' end as triage from events) group by 1, 3")
+def triage_cascade(spark, d):
+    t = cluster.triage(F.col("value") / 100, F.col("user_id") % 100 / 100, F.col("event_id") % 9 == 0, F.col("event_id") % 10 / 10)
+    return _events(spark, d).groupBy("event_type", t.alias("triage")).agg(F.count("*").alias("n"))
+
+
+@query()
+def frame_variants(spark, d):
+    e = table(spark, d, "embeddings")
+    return cluster.variants(e.where("vec_id < 500"), "label", "vec_id", "embedding")
+
+
+@query("""select o_custkey, o_orderkey, o_orderpriority from orders qualify rank() over (partition by o_custkey order by o_orderpriority desc) = 1""")
+def cited_matches(spark, d):
+    return review.best_matches(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", "o_orderpriority")
+
+
+@query("""select quadrant, count(*) as n from (select event_type || '_' || case when a = 0 and b = 0 then 'media' when a >= b then 'candidate' else 'opponent' end as quadrant from (select event_type, user_id % 3 as a, event_id % 4 as b from events)) group by 1""")
+def quadrants(spark, d):
+    q = review.quadrant(F.col("event_type"), F.col("user_id") % 3, F.col("event_id") % 4)
+    return _events(spark, d).groupBy(q.alias("quadrant")).agg(F.count("*").alias("n"))
+
+
+@query("""
+select c as "column", (select count(*) from documents) as rows, nulls, blanks, cast(0 as bigint) as nuls from (select 'text' as c, count(*) - count(text) as nulls, count(case when trim(text) = '' then 1 end) as blanks from documents
+union all select 'lang', count(*) - count(lang), count(case when trim(lang) = '' then 1 end) from documents union all select 'source', count(*) - count(source), count(case when trim(source) = '' then 1 end) from documents)""")
+def column_audit(spark, d):
+    return review.column_audit(table(spark, d, "documents"), ["text", "lang", "source"])
+
+
+@query("""
+with t(threshold) as (values (0.0), (25.0), (50.0), (75.0))
+select cast(threshold as double) as threshold, tp, fp, fn, round(tp / cast(greatest(tp + fn, 1) as double), 4) as recall from (
+select threshold, count(case when event_type = 'view' and value >= threshold then 1 end) as tp, count(case when event_type <> 'view' and value >= threshold then 1 end) as fp, count(case when event_type = 'view' and value < threshold then 1 end) as fn from events, t group by 1)""")
+def threshold_sweep(spark, d):
+    e = _events(spark, d).withColumn("positive", F.col("event_type") == "view")
+    return review.threshold_sweep(e, "value", "positive", [0.0, 25.0, 50.0, 75.0])
+
+
+@query("""
+select event_id, round(r * ln(user_id % 100 + 1) / ln(101) * greatest(0.1, 1 - age / 30.0), 4) as score from (select *, case event_type when 'error' then 3 when 'purchase' then 2 else 1 end as r, event_id % 40 as age from events) order by score desc, event_id limit 25""")
+def briefing_topk(spark, d):
+    rank = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1)
+    s = review.briefing_score(rank, F.col("user_id") % 100, F.col("event_id") % 40, 30)
+    return _events(spark, d).select("event_id", F.round(s, 4).alias("score")).orderBy(F.desc("score"), "event_id").limit(25)
+
+
+@query("select event_id, event_type, user_id from events where event_type = 'click' and user_id = (select min(user_id) from events) order by event_id limit 200")
+def optional_filters(spark, d):
+    first = _events(spark, d).agg(F.min("user_id")).first()[0]
+    rows = _events(spark, d).select("event_id", "event_type", "user_id").orderBy("event_id")
+    return review.optional_filters(rows, {"event_type": "click", "user_id": first}, 500)
+
+
+@query("select c_mktsegment, c_custkey, c_acctbal from customer qualify row_number() over (partition by c_mktsegment order by c_acctbal desc nulls last, c_custkey) <= 3")
+def top3_per_entity(spark, d):
+    return series.first_of(table(spark, d, "customer"), ["c_mktsegment"], [F.desc_nulls_last("c_acctbal"), F.col("c_custkey")], 3).select("c_mktsegment", "c_custkey", "c_acctbal")
+
+
+@query("select kind, id, day from (select 'order' as kind, o_orderkey as id, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderkey % 10 = 0 union all select 'event', event_id, strftime(ts, '%Y-%m-%d') from events where event_id % 10 = 0)")
+def timeline_union(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), _day("o_orderdate").alias("day"))
+    e = _events(spark, d).where("event_id % 10 = 0").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), _day("ts").alias("day"))
+    return o.unionByName(e)
+
+
+@query("select l_orderkey, l_linenumber, o_orderpriority from lineitem join orders on l_orderkey = o_orderkey where l_discount >= 0.09 and o_orderstatus not in ('P')")
+def inner_join_filtered(spark, d):
+    l, o = table(spark, d, "lineitem").where("l_discount >= 0.09"), table(spark, d, "orders").where(~F.col("o_orderstatus").isin("P"))  # noqa: E741
+    return l.join(o, l.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "o_orderpriority")
+
+
+@query("select p_partkey, p_name from part where p_name ilike '%an%' and contains(lower(p_type), 'e') order by p_retailprice desc nulls last, p_partkey limit 30")
+def ilike_search(spark, d):
+    p = table(spark, d, "part")
+    return p.where(F.col("p_name").ilike("%an%") & search.contains_escaped(F.col("p_type"), "E")).orderBy(F.desc_nulls_last("p_retailprice"), "p_partkey").limit(30).select("p_partkey", "p_name")
+
+
+@query()
+def entity_components(spark, d):
+    """Customers linked through shared nations and segments."""
+    c = table(spark, d, "customer")
+    key = F.concat_ws("-", F.lit("g"), F.col("c_nationkey").cast("string"), "c_mktsegment")
+    e = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), key.alias("dst"))
+    return graph.components(e)
