@@ -24,6 +24,8 @@ PIECE = 1 << 18
 #: Symbols that a model is taken to choose from at order 0.
 SYMBOLS = 1 << 12
 PAD = "\x02"
+#: Stands for a null language.
+NO_LANG = "\x01"
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -122,7 +124,7 @@ def perplexities(docs: DataFrame, trusted: Column) -> DataFrame:
     perplexity: per character, null for a null or empty text and where the language has no trusted text.  A null lang is a language of its own, shown as null.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("\0")).alias("lang"), F.coalesce(trusted, F.lit(False)).alias("trusted"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(trusted, F.lit(False)).alias("trusted"), F.col("text").cast("string").alias("text"))
     size = base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     model = Model(counts(base.where("trusted")))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
@@ -160,7 +162,7 @@ def perplexities(docs: DataFrame, trusted: Column) -> DataFrame:
             h ^= h >> np.uint64(29)
             logp = right.column("logp").to_numpy()
             langs = np.array(langs)
-            for lang in np.unique(langs):
+            for lang in set(langs):
                 own = langs == lang
                 order = np.argsort(h[own])
                 by[lang] = (h[own][order], logp[own][order])
@@ -180,7 +182,7 @@ def perplexities(docs: DataFrame, trusted: Column) -> DataFrame:
     known = model.contexts[1].select("lang", F.lit(True).alias("known"))
     out = out.join(known, "lang", "left")
     ppl = F.when((F.col("symbols") > 0) & F.col("known"), F.exp(-F.col("total") / F.col("symbols")))
-    return out.select("doc_id", F.when(F.col("lang") != "\0", F.col("lang")).alias("lang"), "trusted", "symbols", ppl.alias("perplexity"))
+    return out.select("doc_id", F.when(F.col("lang") != NO_LANG, F.col("lang")).alias("lang"), "trusted", "symbols", ppl.alias("perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
