@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.plans import media
+from tessera.plans import knowledge, media
 
 
 def queries() -> dict:
-    return dict(media.QUERIES)
+    return media.QUERIES | knowledge.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(media.SQL)
+    return media.SQL | knowledge.SQL
