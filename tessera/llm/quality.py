@@ -1,13 +1,15 @@
 """Quality by an interpolated modified Kneser-Ney character n-gram model of trusted text, one per language.
 
-Counts cover all trusted documents and stay distributed: tables of n-grams keyed by language, sharded by hash and joined.  A scoring
-pass deals documents into buckets of bounded text; a bucket's distinct n-grams are joined with the count tables of all orders, and
-come back to the bucket as probabilities, so a document's perplexity needs no n-gram occurrence to be shuffled.
+Counts cover all trusted documents and stay distributed: tables of n-grams keyed by language, sharded by hash and joined.  The
+distinct n-grams of all documents are joined with the count tables of all orders; the probabilities come back to the documents in shards of
+bounded size, so a perplexity needs neither an n-gram occurrence nor a text to be shuffled.
 Thresholds are quantiles of the trusted documents' perplexity in each language.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,8 +20,10 @@ from tessera.llm.store import durable, small_batches
 ORDER = 5
 #: Trusted documents of a language beyond this quantile of perplexity, times MARGIN, set its limit.
 QUANTILE, MARGIN = 0.99, 1.25
-#: Characters of text a bucket is meant to hold.
-BUCKET = 4_000_000
+#: Trusted document ids that are broadcast; more are joined by a shuffle of the texts.
+BROADCAST = 1_000_000
+#: n-grams that a broadcast shard holds (about 50 MB on the driver), and that a task remembers having told; leading bits for look-up.
+SHARD, TOLD, LEAD = 1_000_000, 1_000_000, 17
 PIECE = 1 << 18
 #: Symbols that a model is taken to choose from at order 0.
 SYMBOLS = 1 << 12
@@ -118,71 +122,96 @@ class Model:
         return rows.select("lang", "gram", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: Column) -> DataFrame:
-    """(doc_id, lang, trusted, symbols, perplexity) for every row of docs (doc_id, text, lang and what trusted needs).
+def _distinct(batches):
+    """Distinct (lang, gram) of a task's texts; what has been told is remembered, up to TOLD grams."""
+    told: set = set()
+    for batch in batches:
+        for lang, texts in _joined(batch, 1).items():
+            grams, salt = [], _salt(lang)
+            for t in texts:
+                code = _symbols(t)
+                for a in range(0, len(code) - ORDER + 1, PIECE):
+                    part = code[a : a + PIECE + ORDER - 1]
+                    key, first = np.unique(_keys(part) ^ salt, return_index=True)
+                    new = [(k, i) for k, i in zip(key.tolist(), first.tolist(), strict=True) if k not in told]
+                    told.update(k for k, _ in new)
+                    grams += [part[i : i + ORDER].tobytes().decode("utf-32-le") for _, i in new]
+            if len(told) > TOLD:
+                told = set()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["lang", "gram"])
+
+
+def _salt(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+
+
+class Shard:
+    """Sorted keys and log-probabilities of at most SHARD n-grams, entered by their leading bits."""
+
+    def __init__(self, t: pa.Table):
+        code = np.frombuffer("".join(t.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+        h = np.zeros(len(code), np.uint64)
+        for j in range(ORDER):
+            h += code[:, j].astype(np.uint64) * _FACTOR[j]
+        h ^= h >> np.uint64(29)
+        langs = t.column("lang").combine_chunks().dictionary_encode()
+        if len(langs):
+            h ^= np.array([_salt(v) for v in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+        order = np.argsort(h)
+        self.keys = np.append(h[order], np.uint64(2**64 - 1))
+        self.logp = np.append(t.column("logp").to_numpy()[order], 0.0)
+        self.begin = np.searchsorted(self.keys, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD))
+
+    def total(self, h: np.ndarray) -> np.ndarray:
+        """Log-probabilities of keys; 0 for those of other shards."""
+        at = np.minimum(self.begin[(h >> np.uint64(64 - LEAD)).astype(np.int64)], len(self.keys) - 1)
+        on = np.flatnonzero(self.keys[at] < h)
+        while len(on):
+            at[on] += 1
+            on = on[self.keys[at[on]] < h[on]]
+        return np.where(self.keys[at] == h, self.logp[at], 0.0)
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, lang, symbols, perplexity) for every row of docs (doc_id, text, lang), by the model of trusted (text, lang).
 
     perplexity: per character, null for a null or empty text and where the language has no trusted text.  A null lang is a language of its own, shown as null.
+    Texts are never shuffled.  The priced n-grams are cut by hash into shards of about SHARD, and each is broadcast in
+    turn, so a broadcast has a bound; a pass over the texts adds up what one shard knows.
     """
-    small_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(trusted, F.lit(False)).alias("trusted"), F.col("text").cast("string").alias("text"))
-    size = base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    model = Model(counts(base.where("trusted")))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
-    bucketed = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "bucket")
-
-    def distinct(batches):
-        seen: dict = {}
-        for batch in batches:
-            for b, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if text:
-                    seen.setdefault((b, lang), []).append(text)
-            if sum(len(t) for v in seen.values() for t in v) > 1 << 22:
-                yield from _emit(seen)
-                seen = {}
-        yield from _emit(seen)
-
-    def _emit(seen):
-        for (b, lang), texts in seen.items():
-            grams, _ = _grams(texts, False)
-            yield pa.RecordBatch.from_arrays([pa.array([b] * len(grams), pa.int32()), pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["bucket", "lang", "gram"])
-
-    asked = durable(bucketed.select("bucket", "lang", "text").mapInArrow(distinct, "bucket int, lang string, gram string").distinct(), "asked")
-    priced = durable(model.scored(asked.select("lang", "gram").distinct()), "priced")
-    answers = asked.join(priced, ["lang", "gram"]).select("bucket", "lang", "gram", "logp")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "lang", "trusted", "symbols", "total"]
-        by: dict = {}
-        if right.num_rows:
-            langs = right.column("lang").to_pylist()
-            code = np.frombuffer("".join(right.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-            h = np.zeros(len(code), np.uint64)
-            for j in range(ORDER):
-                h += code[:, j].astype(np.uint64) * _FACTOR[j]
-            h ^= h >> np.uint64(29)
-            logp = right.column("logp").to_numpy()
-            langs = np.array(langs)
-            for lang in set(langs):
-                own = langs == lang
-                order = np.argsort(h[own])
-                by[lang] = (h[own][order], logp[own][order])
-        total, symbols = [], []
-        for lang, text in zip(left.column("lang").to_pylist(), left.column("text").to_pylist(), strict=True):
-            code = _symbols(text or "")
-            s = 0.0
-            for a in range(0, len(code) - ORDER + 1, PIECE):
-                keys, values = by[lang]
-                s += float(values[np.searchsorted(keys, _keys(code[a : a + PIECE + ORDER - 1]))].sum())
-            total.append(s)
-            symbols.append(len(code) - ORDER + 1)
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("lang"), left.column("trusted"), pa.array(symbols, pa.int64()), pa.array(total, pa.float64())], names=names)
-
-    both = bucketed.groupBy("bucket").cogroup(answers.groupBy("bucket"))
-    out = both.applyInArrow(score, "doc_id long, lang string, trusted boolean, symbols long, total double")
-    known = model.contexts[1].select("lang", F.lit(True).alias("known"))
-    out = out.join(known, "lang", "left")
+    spark = docs.sparkSession
+    small_batches(spark)
+    lang, text = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text")
+    base = docs.select(lang, text, F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
+    model = Model(counts(trusted.select(lang, text)))
+    asked = base.select("lang", "text").mapInArrow(_distinct, "lang string, gram string").distinct()
+    priced = durable(model.scored(asked), "priced")
+    n = max(1, -(-priced.count() // SHARD))
+    shard = F.pmod(F.xxhash64("lang", "gram"), F.lit(n))
+
+    def scoring(known):
+        def run(batches):
+            table = known.value
+            for batch in batches:
+                total, symbols = [], []
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    code = _symbols(text or "")
+                    salt = _salt(lang)
+                    total.append(sum(float(table.total(_keys(code[a : a + PIECE + ORDER - 1]) ^ salt).sum()) for a in range(0, len(code) - ORDER + 1, PIECE)))
+                    symbols.append(len(code) - ORDER + 1)
+                yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), batch.column(0), pa.array(symbols, pa.int64()), pa.array(total, pa.float64())], names=["row", "doc_id", "lang", "symbols", "total"])
+
+        return run
+
+    out = None
+    for i in range(n):
+        known = spark.sparkContext.broadcast(Shard(priced.where(shard == i).toArrow()))
+        one = base.mapInArrow(scoring(known), "row long, doc_id long, lang string, symbols long, total double")
+        out = one if out is None else durable(out.unionByName(one.select("row", "doc_id", "lang", "symbols", "total")).groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "lang", "symbols")], F.sum("total").alias("total")), "sums")
+    seen = F.broadcast(model.contexts[1].select("lang", F.lit(True).alias("known")))  # a row per language
+    out = out.join(seen, "lang", "left")
     ppl = F.when((F.col("symbols") > 0) & F.col("known"), F.exp(-F.col("total") / F.col("symbols")))
-    return out.select("doc_id", F.when(F.col("lang") != NO_LANG, F.col("lang")).alias("lang"), "trusted", "symbols", ppl.alias("perplexity"))
+    return out.select("doc_id", F.when(F.col("lang") != NO_LANG, F.col("lang")).alias("lang"), "symbols", ppl.alias("perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -193,8 +222,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     that null and empty texts are not kept.  Short texts vary more, so the threshold rises for them.
     """
     good = labels.groupBy("doc_id").agg((F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)))).alias("good"))
-    rows = docs.select("doc_id", "text", "lang").join(good, "doc_id", "left")
-    scored = durable(perplexities(rows, F.col("good")), "perplexity")
+    good = durable(good.where("good and doc_id is not null"), "trusted")
+    ids = good.select("doc_id")
+    trusted = docs.select("doc_id", "text", "lang").join(F.broadcast(ids) if good.count() <= BROADCAST else ids, "doc_id", "left_semi")
+    scored = durable(perplexities(docs.select("doc_id", "text", "lang"), trusted), "perplexity")
+    scored = durable(scored.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("good", F.lit(False))).drop("good"), "perplexity")
     cut = scored.where("trusted and perplexity is not null").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("limit"))
     out = scored.join(F.broadcast(cut.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")), "left")  # a row per language
     limit = F.col("limit") * (1 + 8 / F.sqrt(F.greatest(F.col("symbols"), F.lit(1))))

@@ -45,18 +45,20 @@ def brute_perplexity(trusted, texts, order=quality.ORDER):
     return out
 
 
-def test_perplexity_against_brute_force(spark):
+@pytest.mark.parametrize("shard", [quality.SHARD, 30])
+def test_perplexity_against_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(quality, "SHARD", shard)
     trusted = ["the cat sat on the mat in 2024", "the dog sat on the cat\nand the mat", "a cat and a dog and the end"]
     texts = [*trusted, "the cat and the dog sat", "zzzz qqqq 99", "é", "x" * 3000]
     rows = [(i, t, "en", i < len(trusted)) for i, t in enumerate(texts)] + [(90, None, "en", False), (91, "", "en", True), (92, "abc", "fr", False), (93, "abc", None, None), (94, "y", None, True), (0, "the mat", "en", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean").withColumn("bucket", F.lit("clash"))
-    got = {(r.doc_id, r.symbols): r for r in quality.perplexities(df, F.col("good")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean").withColumn("row", F.lit("clash"))
+    got = {(r.doc_id, r.symbols): r for r in quality.perplexities(df, df.where("good")).collect()}
     want = brute_perplexity(trusted, texts)
     for i, (t, p) in enumerate(zip(texts, want, strict=True)):
         assert got[i, len(t)].perplexity == pytest.approx(p, rel=1e-9)
     assert len(got) == len(rows) and got[0, 7].perplexity is not None
     assert got[90, 0].perplexity is None and got[91, 0].perplexity is None and got[92, 3].perplexity is None and got[93, 3].perplexity is not None
-    assert quality.perplexities(df.limit(0), F.col("good")).count() == 0
+    assert quality.perplexities(df.limit(0), df.limit(0)).count() == 0
 
 
 def test_quality_keeps_good_documents(spark):
