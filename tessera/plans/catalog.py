@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.plans import knowledge, media
+from tessera.plans import knowledge, media, routes
 
 
 def queries() -> dict:
-    return media.QUERIES | knowledge.QUERIES
+    return media.QUERIES | knowledge.QUERIES | routes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return media.SQL | knowledge.SQL
+    return media.SQL | knowledge.SQL | routes.SQL

@@ -93,14 +93,14 @@ def verbatim_offsets(spark, d):
     return n.join(F.broadcast(t)).select("n_nationkey", claims.verbatim_offset(F.lower("n_name"), F.col("t"))["start"].alias("at"))
 
 
-@query("""select p_partkey, cast(coalesce(case p_partkey % 4 when 0 then k end, case p_partkey % 4 when 1 then k end) as bigint) as entity_id from part join (select n_nationkey as k, n_name from nation) on n_nationkey_of = k""".replace("n_nationkey_of", "(p_partkey % 25)").replace("coalesce(case p_partkey % 4 when 0 then k end, case p_partkey % 4 when 1 then k end)", "case when p_partkey % 4 in (0, 1) then k end"))
+@query("select p_partkey, cast(case when p_partkey % 4 in (0, 1) then p_partkey % 25 else -1 end as bigint) as entity_id from part")
 def canonical_entities(spark, d):
     """A quarter of the names is written as the entity's name, a quarter as an alias, the rest is unknown."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("The "), "n_name")).alias("aliases"), F.lit(1).cast("long").alias("mention_count"))
     p = table(spark, d, "part").join(F.broadcast(n), F.col("p_partkey") % 25 == F.col("id"))
     kind = F.col("p_partkey") % 4
     written = p.select("p_partkey", F.when(kind == 0, F.lower("name")).when(kind == 1, F.concat(F.lit("the "), F.upper("name"))).otherwise(F.concat(F.lit("?"), "name")).alias("written"))
-    return claims.canonicalise(written, "written", n).select("p_partkey", "entity_id")
+    return claims.canonicalise(written, "written", n).select("p_partkey", F.coalesce("entity_id", F.lit(-1)).alias("entity_id"))
 
 
 @query("select y as year, strftime(d, '%Y-%m-%d') as general from (select y, make_date(y, 11, 1) + ((8 - isodow(make_date(y, 11, 1))) % 7)::int + 1 as d from (select cast(2000 + n_nationkey as int) as y from nation))")
