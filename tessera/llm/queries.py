@@ -84,7 +84,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2}
+    return {"op2_chat_formatting": OP2, "op6_url_filter": OP6}
 
 
 #: The same digests from the turns themselves.  formatted_chars follows from the template: 34 characters of markers a turn, and escapes.
@@ -104,3 +104,38 @@ select conv_id, count(*) as n_turns,
        cast(sum(chars) as bigint) as formatted_chars
 from one group by conv_id
 """
+
+#: Rules and the three levels of shrinkage; each strength is the moment estimate of urls._strength.
+OP6 = r"""
+with seen as (
+  select doc_id as page_id, count(*) as n, sum(cast(quality = 0 or toxic = 1 as int)) as bad from labels where (quality = 0 or toxic = 1) is not null group by 1
+), p as (
+  select page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') as path from pages
+), h0 as (
+  select host, regexp_replace(host, ':\d*$', '') as bare, coalesce(sum(n), 0) as n, coalesce(sum(bad), 0) as bad from p left join seen using (page_id) group by 1
+), h1 as (
+  select *, regexp_replace(regexp_extract(bare, '((?:(?:^|\.)(?:ac|co|com|edu|gov|net|org)\.[a-z]{2})|(?:(?:^|\.)[^.]*))$', 1), '^\.', '') as suffix from h0
+), h as (
+  select *, regexp_extract(substr(bare, 1, length(bare) - length(suffix)), '([^.]*\.)$', 1) || suffix as domain from h1
+), s0 as (
+  select suffix, sum(n) as n, sum(bad) as bad, (select (sum(bad) + 1.0) / (sum(n) + 2.0) from h) as prior from h group by 1
+), ks as (select STRENGTH as k from s0 where n > 0 and prior * (1 - prior) > 0), s as (
+  select suffix, (bad + k * prior) / (n + k) as up from s0, ks
+), d0 as (
+  select domain, s.up as prior, sum(n) as n, sum(bad) as bad from h join s using (suffix) group by 1, 2
+), kd as (select STRENGTH as k from d0 where n > 0 and prior * (1 - prior) > 0), d as (
+  select domain, (bad + k * prior) / (n + k) as up from d0, kd
+), e as (select host, n, bad, d.up as prior from h join d using (domain)), kh as (select STRENGTH as k from e where n > 0 and prior * (1 - prior) > 0), post as (
+  select host, bad + k * prior as a, n - bad + k * (1 - prior) as b from e, kh
+), r as (
+  select p.*, case when starts_with(path, '/en/') and (host = 'example.net' or ends_with(host, '.example.net')) then 'example.net/en/'
+    when starts_with(path, '/de/') and (host = 'example.com' or ends_with(host, '.example.com')) then 'example.com/de/'
+    when starts_with(path, '/fr/') and (host = 'org' or ends_with(host, '.org')) then 'org/fr/'
+    when starts_with(path, '/') and (host = 'net' or ends_with(host, '.net')) then 'net/' end as rule,
+    a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) as low from p join post using (host)
+)
+select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' when low > 0.5 then 'block' else 'allow' end as verdict from r
+""".replace("STRENGTH", """case when coalesce(sum(n * (n - 1)), 0) = 0 then 10.0
+  when sum(pow(bad - n * prior, 2) / (prior * (1 - prior)) - n) / sum(n * (n - 1)) <= 0 then 1000.0
+  else least(1000.0, greatest(1.0, 1 / (sum(pow(bad - n * prior, 2) / (prior * (1 - prior)) - n) / sum(n * (n - 1))) - 1)) end""")
