@@ -22,8 +22,8 @@ ORDER = 5
 QUANTILE, MARGIN = 0.99, 1.25
 #: Trusted document ids that are broadcast; more are joined by a shuffle of the texts.
 BROADCAST = 1_000_000
-#: n-grams that a broadcast shard holds (about 50 MB on the driver), and that a task remembers having told; leading bits for look-up.
-SHARD, TOLD, LEAD = 1_000_000, 1_000_000, 17
+#: n-grams that a broadcast shard holds (about 100 MB on the driver), and that a task remembers having told; leading bits for look-up.
+SHARD, TOLD, LEAD = 2_000_000, 1_000_000, 17
 PIECE = 1 << 18
 #: Symbols that a model is taken to choose from at order 0.
 SYMBOLS = 1 << 12
@@ -51,21 +51,18 @@ def _keys(code: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _grams(texts, counted: bool):
-    """Distinct ORDER-grams of several texts as strings, with counts."""
-    grams: dict[int, str] = {}
-    found: dict[int, int] = {}
-    for t in texts:
-        code = _symbols(t)
-        for a in range(0, max(len(code) - ORDER + 1, 0), PIECE):
-            part = code[a : a + PIECE + ORDER - 1]
-            key, first, n = np.unique(_keys(part), return_index=True, return_counts=True)
-            for k, i, c in zip(key.tolist(), first.tolist(), n.tolist(), strict=True):
-                if k not in grams:
-                    grams[k] = part[i : i + ORDER].tobytes().decode("utf-32-le")
-                    found[k] = 0
-                found[k] += c
-    return list(grams.values()), [found[k] for k in grams] if counted else None
+def _windows(texts: list[str]):
+    """(symbols, keys, starts) of pieces of the joined texts: hashes of all ORDER-grams that lie in one text, and where they start."""
+    codes = [_symbols(t) for t in texts]
+    whole = np.concatenate(codes)
+    inner = np.ones(len(whole), bool)
+    ends = np.cumsum([len(c) for c in codes])
+    for j in range(1, ORDER):
+        inner[ends - j] = False  # a text has ORDER - 1 pads at least
+    for a in range(0, len(whole) - ORDER + 1, PIECE):
+        part = whole[a : a + PIECE + ORDER - 1]
+        at = np.flatnonzero(inner[a : a + len(part) - ORDER + 1])
+        yield part, _keys(part)[at], at
 
 
 def _joined(batch: pa.RecordBatch, text: int) -> dict:
@@ -82,8 +79,10 @@ def counts(trusted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lang, texts in _joined(batch, 1).items():
-                grams, n = _grams(texts, True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                for part, keys, at in _windows(texts):
+                    _, first, n = np.unique(keys, return_index=True, return_counts=True)
+                    grams = [part[i : i + ORDER].tobytes().decode("utf-32-le") for i in at[first].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     rows = trusted.select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -124,21 +123,36 @@ class Model:
 
 def _distinct(batches):
     """Distinct (lang, gram) of a task's texts; what has been told is remembered, up to TOLD grams."""
-    told: set = set()
+    told = Sorted(np.zeros(0, np.uint64))
     for batch in batches:
         for lang, texts in _joined(batch, 1).items():
-            grams, salt = [], _salt(lang)
-            for t in texts:
-                code = _symbols(t)
-                for a in range(0, len(code) - ORDER + 1, PIECE):
-                    part = code[a : a + PIECE + ORDER - 1]
-                    key, first = np.unique(_keys(part) ^ salt, return_index=True)
-                    new = [(k, i) for k, i in zip(key.tolist(), first.tolist(), strict=True) if k not in told]
-                    told.update(k for k, _ in new)
-                    grams += [part[i : i + ORDER].tobytes().decode("utf-32-le") for _, i in new]
-            if len(told) > TOLD:
-                told = set()
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["lang", "gram"])
+            salt = _salt(lang)
+            for part, keys, at in _windows(texts):
+                keys ^= salt
+                lost = ~told.find(keys)[1]
+                new, first = np.unique(keys[lost], return_index=True)
+                if not len(new):
+                    continue
+                grams = [part[i : i + ORDER].tobytes().decode("utf-32-le") for i in at[lost][first].tolist()]
+                told = Sorted(new if len(told.keys) > TOLD else np.sort(np.concatenate([told.keys[:-1], new])))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["lang", "gram"])
+
+
+class Sorted:
+    """A sorted array of 64-bit keys, entered by their leading bits; its last element is a guard."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.begin = np.searchsorted(self.keys, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether the key is there)."""
+        at = self.begin[(h >> np.uint64(64 - LEAD)).astype(np.int64)]
+        on = np.flatnonzero(self.keys[at] < h)
+        while len(on):
+            at[on] += 1
+            on = on[self.keys[at[on]] < h[on]]
+        return at, self.keys[at] == h
 
 
 def _salt(lang: str) -> np.uint64:
@@ -158,18 +172,13 @@ class Shard:
         if len(langs):
             h ^= np.array([_salt(v) for v in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
         order = np.argsort(h)
-        self.keys = np.append(h[order], np.uint64(2**64 - 1))
+        self.table = Sorted(h[order])
         self.logp = np.append(t.column("logp").to_numpy()[order], 0.0)
-        self.begin = np.searchsorted(self.keys, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD))
 
     def total(self, h: np.ndarray) -> np.ndarray:
         """Log-probabilities of keys; 0 for those of other shards."""
-        at = np.minimum(self.begin[(h >> np.uint64(64 - LEAD)).astype(np.int64)], len(self.keys) - 1)
-        on = np.flatnonzero(self.keys[at] < h)
-        while len(on):
-            at[on] += 1
-            on = on[self.keys[at[on]] < h[on]]
-        return np.where(self.keys[at] == h, self.logp[at], 0.0)
+        at, there = self.table.find(h)
+        return np.where(there, self.logp[at], 0.0)
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -193,12 +202,24 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         def run(batches):
             table = known.value
             for batch in batches:
-                total, symbols = [], []
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    code = _symbols(text or "")
-                    salt = _salt(lang)
-                    total.append(sum(float(table.total(_keys(code[a : a + PIECE + ORDER - 1]) ^ salt).sum()) for a in range(0, len(code) - ORDER + 1, PIECE)))
-                    symbols.append(len(code) - ORDER + 1)
+                codes = [_symbols(t or "") for t in batch.column(1).to_pylist()]
+                salts = np.array([_salt(v) for v in batch.column(0).to_pylist()], np.uint64)
+                size = np.array([len(c) for c in codes], np.int64)
+                symbols = size - ORDER + 1
+                total = np.zeros(len(codes))
+                ends = np.cumsum(size)
+                # Rows in groups of about PIECE symbols, and a longer text in pieces.
+                r = 0
+                while r < len(codes):
+                    e = max(r + 1, int(np.searchsorted(ends, (ends[r - 1] if r else 0) + PIECE, "right")))
+                    for a in range(0, max(int(size[r:e].sum()) - ORDER + 1, 0), PIECE):
+                        whole = codes[r] if e == r + 1 else np.concatenate(codes[r:e])
+                        part = whole[a : a + PIECE + ORDER - 1]
+                        owner = np.repeat(np.arange(r, e), size[r:e])[a : a + len(part)]
+                        inside = owner[: len(part) - ORDER + 1] == owner[ORDER - 1 :]
+                        who = owner[: len(inside)][inside]
+                        total += np.bincount(who, table.total(_keys(part)[inside] ^ salts[who]), minlength=len(codes))
+                    r = e
                 yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), batch.column(0), pa.array(symbols, pa.int64()), pa.array(total, pa.float64())], names=["row", "doc_id", "lang", "symbols", "total"])
 
         return run
