@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is approximated by the sum of BOOKS codewords of the full dimension, chosen by beam search over residual codebooks,
-and stored as that many bytes with the norm of the sum.  A query's inner products with all codewords are
-tabulated once; a code's score is a sum of table entries.  The best SHORTLIST codes of a query are scored again on original vectors.
+and stored as that many bytes with the norm of what the sum leaves over.  A query's inner products with all codewords are
+tabulated once; a code's score is a sum of table entries.  By Cauchy-Schwarz the true score is within |query| * |left over| of it, so each
+code has a lower and an upper bound: every vector whose upper bound reaches the top-th lower bound of its block is scored again on
+the original, and no true neighbour is lost, however many copies or near copies there are.
 Codebooks are fitted on a bounded sample by hash (FIT rows, a documented parameter); every vector is encoded.
 """
 
@@ -17,7 +19,6 @@ from tessera.llm.store import durable
 
 BOOKS, WORDS, BEAM = 32, 256, 4
 FIT = 16_384
-SHORTLIST = 320
 #: Vectors of a code block and queries of a query block.
 CODES, QUERIES = 8192, 512
 
@@ -78,16 +79,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _exact(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, x: s + x)
+def left_over(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Norms, in double precision, of what the sums of codewords leave of x."""
+    rest = x.astype(np.float64)
+    for m in range(codes.shape[1]):
+        rest = rest - books[m][codes[:, m]]
+    return np.sqrt((rest**2).sum(axis=1)) * (1 + 1e-9) + 1e-12 * np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
 
 
-def neighbours(vectors: DataFrame, query: Column, top: int = 20, shortlist: int = SHORTLIST) -> DataFrame:
+def _best(ids: np.ndarray, s: np.ndarray, bound: np.ndarray, vectors: np.ndarray, v: np.ndarray, qid: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(negative exact scores, ids) of the `top` best rows but qid.  s: estimates that are off by at most bound; where either is not a number, the row is scored."""
+    other = ids != qid
+    low, high = np.where(np.isfinite(s - bound), s - bound, -np.inf), s + bound
+    low[~other] = -np.inf
+    cut = np.partition(low, len(low) - top)[len(low) - top] if len(low) > top else -np.inf
+    on = np.flatnonzero(other & ~(high < cut))
+    # Term by term, so that equal vectors get equal scores.
+    score, x = np.zeros(len(on)), np.ascontiguousarray(vectors[on].T).astype(np.float64)
+    for a, b in zip(x, v, strict=True):
+        score += a * b
+    first = np.lexsort((ids[on], -score))[:top]
+    return -score[first], ids[on][first]
+
+
+def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) where `query` holds, its nearest by inner product.
 
     The query's own row is no candidate; scores are exact, in double precision; ties go to the smaller vec_id; fewer than `top` candidates: all.  Vectors that are not usable(),
     of another length than most, or without a vec_id take no part.  A vec_id that repeats is taken once (its largest vector).
-    Queries meet code blocks, not codes: (queries / QUERIES) * (vectors / CODES) block rows, each returning a shortlist.
+    Queries meet code blocks, not codes: (queries / QUERIES) * (vectors / CODES) block rows, each returning its own `top`.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).withColumn("_q", F.coalesce(query, F.lit(False)))
@@ -112,16 +132,17 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20, shortlist: int
         parts: dict[int, list] = {}
 
         def out(block):
-            i, c, q = (np.concatenate(x) for x in zip(*parts.pop(block), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([i.tobytes()]), pa.array([c.tobytes()]), pa.array([q.tobytes()])], names=["block", "ids", "codes", "norms"])
+            columns = (np.concatenate(x).tobytes() for x in zip(*parts.pop(block), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in columns)], names=["block", "ids", "codes", "errors", "vectors"])
 
         for batch in batches:
             block, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
             for a in range(0, len(x), 256):
-                codes, norms = encode(x[a : a + 256], books.value)
+                codes, _ = encode(x[a : a + 256], books.value)
+                errors = left_over(x[a : a + 256], codes, books.value)
                 for k in np.unique(block[a : a + 256]):
                     own = block[a : a + 256] == k
-                    parts.setdefault(int(k), []).append((ids[a : a + 256][own], codes[own], norms[own]))
+                    parts.setdefault(int(k), []).append((ids[a : a + 256][own], codes[own], errors[own], x[a : a + 256][own].astype(np.float32)))
             for k in [k for k in parts if k != block[-1]]:
                 yield out(k)
         for k in list(parts):
@@ -129,7 +150,7 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20, shortlist: int
 
     part = F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)).alias("block")
     dealt = rows.select(part, "vec_id", "embedding").repartition(max(blocks, 6), "block").sortWithinPartitions("block", "vec_id")
-    index = durable(dealt.mapInArrow(coded, "block long, ids binary, codes binary, norms binary"), "codes")
+    index = durable(dealt.mapInArrow(coded, "block long, ids binary, codes binary, errors binary, vectors binary"), "codes")
 
     group = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(asked)).alias("group")
     queries = rows.where("_q").select(group, "vec_id", "embedding").groupBy("group").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
@@ -137,39 +158,34 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20, shortlist: int
     pairs = pairs.join(queries, "group")
 
     def searched(batches):
+        largest = np.sqrt((books.value.astype(np.float64) ** 2).sum(axis=2)).max(axis=1).sum()
+        rounding = 2.0**-22 * (dim + len(books.value)) * largest
         for batch in batches:
-            found, ids_out, scores = [], [], []
+            found, near = [], []
             for r in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
                 codes = np.frombuffer(batch.column("codes")[r].as_py(), np.uint8).reshape(len(ids), -1)
+                errors = np.frombuffer(batch.column("errors")[r].as_py(), np.float64)
+                vectors = np.frombuffer(batch.column("vectors")[r].as_py(), np.float32).reshape(len(ids), -1)
                 q = batch.column("q")[r].values
-                q_ids, x = q.field("vec_id").to_numpy(), _matrix(q.field("embedding")).astype(np.float32)
+                q_ids, x = q.field("vec_id").to_numpy(), _matrix(q.field("embedding"))
                 for qid, v in zip(q_ids.tolist(), x, strict=True):
-                    table = books.value @ v
+                    table = books.value @ v.astype(np.float32)
                     s = table[0][codes[:, 0]]
                     for m in range(1, codes.shape[1]):
                         s = s + table[m][codes[:, m]]
-                    s[ids == qid] = -np.inf
-                    k = min(shortlist, len(ids))
-                    best = np.argpartition(-s, k - 1)[:k]
-                    best = best[ids[best] != qid]
                     found.append(qid)
-                    ids_out.append(ids[best])
-                    scores.append(s[best])
-            lens = np.append(0, np.cumsum([len(x) for x in ids_out])).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else [], pa.float32()), pa.array(np.concatenate(ids_out) if ids_out else [], pa.int64())], names=["s", "id"])
+                    near.append(_best(ids, s.astype(np.float64), (errors + rounding) * np.sqrt(v @ v), vectors, v, qid, top))
+            lens = np.append(0, np.cumsum([len(i) for _, i in near])).astype(np.int32)
+            s, i = (np.concatenate([x[k] for x in near]) if near else [] for k in (0, 1))
+            values = pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(i, pa.int64())], names=["s", "vec_id"])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(lens), values)], names=["query_id", "near"])
 
-    small = pairs.select("group", "ids", "codes", "q").repartition(max(6, min(blocks * asked, 10_000)), "group", F.xxhash64("ids"))
+    small = pairs.select("group", "ids", "codes", "errors", "vectors", "q").repartition(max(6, min(blocks * asked, 10_000)), "group", F.xxhash64("ids"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    lists = durable(small.mapInArrow(searched, "query_id long, near array<struct<s: float, id: long>>"), "shortlists")
+    lists = durable(small.mapInArrow(searched, "query_id long, near array<struct<s: double, vec_id: long>>"), "nearest")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    best = lists.groupBy("query_id").agg(F.flatten(F.collect_list("near")).alias("near"))
-    best = best.select("query_id", F.slice(F.reverse(F.array_sort("near")), 1, shortlist).alias("near"))
-    cand = best.select("query_id", F.explode("near.id").alias("vec_id"))
-    scored = cand.join(rows.select("vec_id", "embedding"), "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
-    scored = scored.select("query_id", "vec_id", _exact("asked", "embedding").alias("score"))
-    order = F.struct((-F.col("score")).alias("s"), "vec_id")
-    ranked = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, top).alias("near"))
+    # s is the negative score, so ascending order is by falling score, then by vec_id.
+    ranked = lists.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, top).alias("near"))
     out = ranked.select("query_id", F.posexplode("near").alias("p", "n"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), (-F.col("n.s")).alias("score"))

@@ -96,6 +96,23 @@ def test_neighbours_recall_and_edges(spark):
     assert ann.neighbours(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_are_exact(spark):
+    """A group of 1000 copies: the 20 smallest vec_ids; near copies within the quantisation error: the true order."""
+    rng = np.random.default_rng(2)
+    a, b, noise = rng.standard_normal(16), rng.standard_normal(16), rng.standard_normal((900, 16))
+    x = np.concatenate([np.tile(a, (1000, 1)), b + 1e-4 * noise, rng.standard_normal((1500, 16))]).astype(np.float32)
+    ids = np.random.default_rng(3).permutation(len(x)).astype(np.int64)
+    e = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    asked = [int(ids[0]), int(ids[1000]), int(ids[2000])]
+    got = {}
+    for r in ann.neighbours(e.repartition(3), F.col("vec_id").isin(asked)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x = x.astype(np.float64)
+    for q in asked:
+        s = sum(x[:, j] * x[ids == q][0][j] for j in range(16))
+        assert got[q] == [int(ids[k]) for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
+
+
 def test_url_rules_and_reputation(spark):
     cases = {
         "http://a.net/x": ("a.net", "/x", "net/", "block"),
