@@ -5,7 +5,8 @@ band keys and an odd sketch (the parities of its MinHash samples folded into a b
 become one representative by a map-side-combined groupBy.  (3) Band buckets of two or more are dealt into blocks
 of at most BLOCK rows; crowded buckets are split by a salt that differs per band, with a few anchors in every block.  In a block the
 XOR population count of two sketches estimates their similarity, and a spanning forest of the estimated links
-is emitted, never all pairs.  (4) Its components over-cover the true links; each is compared on full
+is emitted, never all pairs.  In a split bucket the documents that its main component does not yet hold are then
+compared with every document of it whose set size allows the similarity.  (4) The components over-cover the true links; each is compared on full
 sets, again in bounded blocks with anchors.  Documents of a crowded component that its main class does not yet
 hold are then compared with every block, so no link between different classes is lost to the split.
 """
@@ -25,6 +26,8 @@ BANDS, ROWS, SAMPLES = 20, 3, 96
 SKETCH_BITS = 512
 #: Rows of a block, and expected anchors of a split bucket or component.
 BLOCK, ANCHORS = 128, 12
+#: Rows and probes of a block where a split bucket is completed.
+SIDE = 1024
 #: Estimated similarity from which a banded pair goes on to the exact comparison: 5 standard errors below 0.75.
 SCREEN = 0.53
 
@@ -158,6 +161,63 @@ def _screened(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _completed(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (block, id, component, size, probe, sketch), dealt and sorted by block: estimated links (a, b) of probes, one with each other component."""
+
+    def run(batches):
+        for t in _grouped(batches, 0):
+            block, ids, component, size = (t.column(c).to_numpy() for c in ("block", "id", "component", "size"))
+            probe = t.column("probe").to_numpy(zero_copy_only=False)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            a: list[int] = []
+            b: list[int] = []
+            for f, e in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+                own = f + np.flatnonzero(~probe[f:e])
+                own = own[np.argsort(size[own], kind="stable")]
+                least, those, theirs, whose = size[own], sketch[own], component[own], ids[own]
+                for i in (f + np.flatnonzero(probe[f:e])).tolist():
+                    # 100 * smaller >= percent * larger, or no similarity is enough
+                    lo, hi = np.searchsorted(least, [-(-percent * size[i] // 100), 100 * size[i] // max(percent, 1) + 1])
+                    near = np.bitwise_count(those[lo:hi] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= _MOST
+                    near &= theirs[lo:hi] != component[i]
+                    if near.any():
+                        _, at = np.unique(theirs[lo:hi][near], return_index=True)
+                        b += whose[lo:hi][near][at].tolist()
+                        a += [int(ids[i])] * len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _completion(reps: DataFrame, crowd: DataFrame, loose: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of loose that share a split bucket: rows outside of a bucket's main component meet all rows of near size.
+
+    Set sizes are cut into classes so wide that a similar pair lies in the same or adjacent ones; the rows of
+    a bucket and class and those that probe it are dealt into squares of about SIDE by SIDE.
+    """
+    keys = reps.select("id", "f1", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    keys = keys.join(crowd.where(F.col("n") > BLOCK).select("key"), "key").join(loose.withColumnRenamed("node", "id"), "id", "left")
+    step = max(float(np.log(100 / max(percent, 1))) * 1.0001, 0.01)
+    keys = durable(keys.withColumn("component", F.coalesce("component", "id")).withColumn("class", F.floor(F.log("size") / step).cast("int")), "crowded")
+    counts = keys.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components"))
+    rows = keys.join(main.where("components > 1"), "key")
+    probes = rows.where("component <> main").withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
+    sides = [x.groupBy("key", "class").agg(F.ceil(F.count("*") / SIDE).cast("int").alias(n)) for x, n in ((rows, "parts"), (probes, "chunks"))]
+    sides = durable(sides[0].join(sides[1], ["key", "class"]), "sides")
+
+    def dealt(x: DataFrame, own: str, other: str, probe: bool) -> DataFrame:
+        at = F.pmod(F.xxhash64(F.lit(10), "key", "id", "f1"), F.col(own)).cast("int")
+        x = x.join(sides, ["key", "class"]).select("key", "class", "id", "f1", "component", "size", at.alias("at"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("across"))
+        square = ("across", "at") if probe else ("at", "across")
+        return x.select(F.xxhash64("key", "class", *square).alias("block"), "id", "f1", "component", F.col("size").cast("long").alias("size"), F.lit(probe).alias("probe"))
+
+    met = dealt(rows, "parts", "chunks", False).unionByName(dealt(probes, "chunks", "parts", True))
+    met = met.join(reps.select("id", "f1", "sketch"), ["id", "f1"]).select("block", "id", "component", "size", "probe", "sketch")
+    return _completed(_dealt(met), percent)
+
+
 def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (block, id, f1, f2, class, minor, text), dealt and sorted by block: exact links that join classes.
 
@@ -238,10 +298,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = durable(reps, "representatives")
 
     keys = reps.select("id", F.explode("bands").alias("key"))
-    crowd = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = durable(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
     blocks = _blocks(keys.join(crowd, "key"), "key", "n").select("block", "id").distinct()
     sketched = blocks.join(reps.select("id", "sketch"), "id").select("block", "id", "sketch")
     loose = durable(connected_components(_screened(_dealt(sketched))), "loose")
+    if not crowd.where(F.col("n") > BLOCK).isEmpty():
+        more = durable(_completion(reps, crowd, loose, percent), "completion")
+        if not more.isEmpty():
+            known = loose.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            loose = durable(connected_components(known.unionByName(more)), "loose")
 
     sized = loose.join(loose.groupBy("component").agg(F.count("*").alias("n")), "component")
     placed = durable(_blocks(sized.withColumnRenamed("node", "id"), "component", "n").select("component", "id", "block", "parts"), "blocks")

@@ -76,6 +76,23 @@ def test_minhash_crowded_group(spark, monkeypatch):
     assert near(spark, rows) == brute(rows)
 
 
+def test_minhash_shared_passage(spark, monkeypatch):
+    """Short near copies that are mostly a passage which many unlike long documents carry too: all their buckets are crowded."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "ANCHORS", 0)
+    monkeypatch.setattr(minhash, "SIDE", 8, raising=False)
+    rng, texts = random.Random(6), []
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(4):
+        passage = words(64)
+        texts += [" ".join(passage + words(n)) for n in [90] * 400 + [10, 10]]
+    rows = list(enumerate(texts))
+    want = {}
+    for at in range(0, len(rows), 402):
+        want |= brute(rows[at : at + 402])
+    assert near(spark, rows) == want
+
+
 def test_odd_sketch_estimates(spark):
     rng = np.random.default_rng(0)
     for true in (0.75, 0.9, 0.97):
