@@ -34,8 +34,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to twice; documents with nothing to take are left out."""
     store.release(spark)
-    copies = mixing.mix(docs).where("copies > 0").select("row", "copies")
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(copies, "row")
+    numbered = store.durable(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")  # another scan may number otherwise
+    copies = mixing.mix(numbered, row=F.col("row")).where("copies > 0").select("row", "copies")
+    rows = numbered.join(copies, "row")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
 
 

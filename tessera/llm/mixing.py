@@ -61,15 +61,15 @@ def factors(classes: list[tuple[float, int]], target: float, most: float = MOST_
     return float("inf") if rest >= 0 and words_ <= 0 else max(rest, 0.0) / words_ if words_ > 0 else 0.0
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, seed: int = 11, row: Column | None = None) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, copies, taken): a row for each row of docs (doc_id, text, source).
 
     Null or empty texts have size 0 and are never taken; a null source is one source, the last.  Equal rows share their random number, and ties
-    are broken by doc_id, then by row; row numbers rows as docs is read (monotonically_increasing_id).  taken = copies * size, at most 2 * size.
+    are broken by doc_id, then by row; row numbers rows as docs is read (monotonically_increasing_id) unless given.  taken = copies * size, at most 2 * size.
     An empty table gives an empty result.  Reruns over the same rows agree.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), "text").alias("h"))
+    base = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), "text").alias("h"))
     base = durable(base.withColumn("w", tilt(F.col("size"))), "sizes")
     table = base.groupBy("source", "w").agg(F.sum("size").alias("n")).limit(20 * SOURCES).collect()
     sizes: dict[str | None, int] = {}
