@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import durable
+from tessera.llm.store import batches, durable
 
 BOOKS, WORDS, BEAM = 32, 256, 4
 FIT = 16_384
@@ -126,16 +126,15 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
 
     blocks = max(1, -(-n // CODES))
     asked = max(1, -(-rows.where("_q").count() // QUERIES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
-    def coded(batches):
+    def coded(stream):
         parts: dict[int, list] = {}
 
         def out(block):
             columns = (np.concatenate(x).tobytes() for x in zip(*parts.pop(block), strict=True))
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in columns)], names=["block", "ids", "codes", "errors", "vectors"])
 
-        for batch in batches:
+        for batch in stream:
             block, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
             for a in range(0, len(x), 256):
                 codes, _ = encode(x[a : a + 256], books.value)
@@ -150,17 +149,18 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
 
     part = F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)).alias("block")
     dealt = rows.select(part, "vec_id", "embedding").repartition(max(blocks, 6), "block").sortWithinPartitions("block", "vec_id")
-    index = durable(dealt.mapInArrow(coded, "block long, ids binary, codes binary, errors binary, vectors binary"), "codes")
+    with batches(spark, 4096):
+        index = durable(dealt.mapInArrow(coded, "block long, ids binary, codes binary, errors binary, vectors binary"), "codes")
 
     group = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(asked)).alias("group")
     queries = rows.where("_q").select(group, "vec_id", "embedding").groupBy("group").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
     pairs = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)))).withColumn("group", F.col("group").cast("long"))
     pairs = pairs.join(queries, "group")
 
-    def searched(batches):
+    def searched(stream):
         largest = np.sqrt((books.value.astype(np.float64) ** 2).sum(axis=2)).max(axis=1).sum()
         rounding = 2.0**-22 * (dim + len(books.value)) * largest
-        for batch in batches:
+        for batch in stream:
             found, near = [], []
             for r in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
@@ -182,9 +182,8 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(lens), values)], names=["query_id", "near"])
 
     small = pairs.select("group", "ids", "codes", "errors", "vectors", "q").repartition(max(6, min(blocks * asked, 10_000)), "group", F.xxhash64("ids"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    lists = durable(small.mapInArrow(searched, "query_id long, near array<struct<s: double, vec_id: long>>"), "nearest")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    with batches(spark, 8):
+        lists = durable(small.mapInArrow(searched, "query_id long, near array<struct<s: double, vec_id: long>>"), "nearest")
     # s is the negative score, so ascending order is by falling score, then by vec_id.
     ranked = lists.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, top).alias("near"))
     out = ranked.select("query_id", F.posexplode("near").alias("p", "n"))

@@ -46,9 +46,13 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     A path's score is the sum of its nodes' (null: 0); ties go to the smaller leaf.  place counts from the root, from 0.
     Nodes on a cycle have no root and are left out.
     """
-    key = F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")).alias("c"), F.col("node").alias("n"))
+
+    def key(node: str) -> Column:  # the names themselves, after a hash that settles most comparisons
+        names = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")), F.col(node)
+        return F.struct(F.xxhash64(*names).alias("x"), names[0].alias("c"), names[1].alias("n"))
+
     base = nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    mine = base.select(F.xxhash64(key).alias("h"), "conv_id", "node", "score", F.xxhash64(F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")).alias("c"), F.col("parent").alias("n"))).alias("up"), F.col("parent").isNull().alias("top"))
+    mine = base.select(key("node").alias("h"), "conv_id", "node", "score", key("parent").alias("up"), F.col("parent").isNull().alias("top"))
     known = mine.select(F.col("h").alias("up"), F.lit(True).alias("there"))
     mine = mine.join(known, "up", "left").withColumn("up", F.when(~F.col("top") & F.col("there"), F.col("up"))).drop("top", "there")
     # up: the ancestor `reach` steps above, null once past the root; total and depth: over the steps so far.

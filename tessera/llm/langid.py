@@ -1,7 +1,7 @@
 """Language ID by interpolated Kneser-Ney character models, one per language, in sorted hash arrays.
 
 The model is fitted on a bounded sample of labelled rows (FIT_DOCS per language, a documented parameter, each text whole),
-chosen by hash; prediction covers every whole text.  All languages share one sorted array of n-gram hashes per
+chosen by hash; prediction covers every whole text.  Up to ABREAST languages share one sorted array of n-gram hashes per
 order, with a column of probabilities (or of back-off weights) per language, so one binary search serves them all.
 """
 
@@ -11,18 +11,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.store import small_batches
+from tessera.llm.store import durable, small_batches
 from tessera.llm.textual import _odd, mix
 
 ORDER = 5
 #: Fitted documents per language, and characters that may be fitted per language; of these every fourth document calibrates.
 FIT_DOCS, FIT_CHARS = 400, 4_000_000
-#: Languages that can be learned: those with most labelled rows.
-LANGUAGES = 256
+#: Characters fitted of all languages together: many languages share them equally.
+FIT_TOTAL = 16_000_000
+#: Languages whose models share one array; more languages have several.
+ABREAST = 16
 #: Characters scored at a time.
 PIECE = 1 << 18
 #: Unseen n-grams whose scores a worker keeps; then it starts afresh.
@@ -120,8 +122,7 @@ class Model:
     floor: np.ndarray | None = None
     full: np.ndarray | None = None
     known: tuple | None = None
-    sharpness: float = 1.0
-    limits: np.ndarray | None = None
+    kept: int = KEPT
 
     @classmethod
     def of(cls, texts: dict[str, list[np.ndarray]]) -> Model:
@@ -146,7 +147,7 @@ class Model:
     def score(self, code: np.ndarray) -> np.ndarray:
         """Log-probability (nats) of each symbol from the ORDER-th on, per language.  What no language has seen is kept."""
         h = gram_hashes(code, ORDER)
-        if self.known is None or len(self.known[0]) > len(self.full) + KEPT:
+        if self.known is None or len(self.known[0]) > len(self.full) + self.kept:
             self._keep(self.keys[-1], self.full)
         at = self._find(h)
         lost = np.flatnonzero(self.known[0][at] != h)
@@ -223,14 +224,38 @@ class Model:
         return out / (np.maximum(size - ORDER + 1, 1) * np.log(2))[:, None]
 
 
-def fit(texts: dict[str, list[np.ndarray]]) -> Model | None:
+@dataclass
+class Models:
+    """Models of any number of languages, ABREAST at a time, with what was calibrated over all of them."""
+
+    groups: list[Model]
+    sharpness: float = 1.0
+    limits: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, texts: dict[str, list[np.ndarray]]) -> Models:
+        names = sorted(texts)
+        groups = [Model.of({k: texts[k] for k in names[i : i + ABREAST]}) for i in range(0, len(names), ABREAST)]
+        for m in groups:
+            m.kept = KEPT // len(groups)
+        return cls(groups)
+
+    @property
+    def languages(self) -> list[str]:
+        return [k for m in self.groups for k in m.languages]
+
+    def entropies(self, codes: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([m.entropies(codes) for m in self.groups], axis=1)
+
+
+def fit(texts: dict[str, list[np.ndarray]]) -> Models | None:
     """Three quarters of the texts make the models; the last quarter calibrates score and rejection; null: nothing to learn."""
     texts = {k: [c for c in v if len(c) >= ORDER] for k, v in texts.items()}
     texts = {k: v for k, v in texts.items() if v}
     if not texts:
         return None
     train = {k: [c for i, c in enumerate(v) if i % 4 != 3 or len(v) < 8] for k, v in texts.items()}
-    model = Model.of(train)
+    model = Models.of(train)
     entropy, truth = [], []
     for i, k in enumerate(model.languages):
         held = [c for j, c in enumerate(texts[k]) if j % 4 == 3 or len(texts[k]) < 8]
@@ -255,22 +280,25 @@ def posterior(entropy: np.ndarray, sharpness: float) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text: str, lang: str, key: str, where: Column, per_language: int = FIT_DOCS) -> dict[str, list[str]]:
-    """At most about per_language labelled texts a language, by the hash of key: two scans, no shuffle of texts."""
-    rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
+    """At most per_language labelled texts a language, by the hash of key, until its share of characters is reached: the last one is taken whole.
+
+    So a language has at least one text, however long its texts are.  A share by hash of the rows is sorted in Spark, a language a
+    window of about 1.2 * per_language rows; what comes to the driver is bounded by FIT_TOTAL and one text a language.
+    """
+    rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.col(key).cast("string").alias("k"))
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    counts = durable(counts.select("l", "n"), "languages")
+    languages = counts.count()
+    if not languages:
         return {}
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang) == r[0], F.lit(min(1.0, 1.2 * per_language / r[1]))).otherwise(share)
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col(key).cast("string"), F.col(text)), 11) / F.lit(2.0**53)
-    picked = rows.where((unit < share) & (F.length(text) <= FIT_CHARS // 8)).select(lang, text, unit.alias("u"))
+    chars = min(FIT_CHARS, max(1, FIT_TOTAL // languages))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(17), "k", "t"), 11) / F.lit(2.0**53)
+    picked = rows.withColumn("u", unit).join(counts, "l").where(F.col("u") < 1.2 * per_language / F.col("n")).select("l", "t", "u", F.length("t").alias("c"))
+    along = Window.partitionBy("l").orderBy("u", "t")
+    picked = picked.withColumn("i", F.row_number().over(along)).withColumn("before", F.sum("c").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
     out: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for r in sorted(picked.toLocalIterator(), key=lambda r: (r["u"], r[1])):
-        if len(out.setdefault(r[0], [])) < per_language and size.get(r[0], 0) < FIT_CHARS:
-            out[r[0]].append(r[1])
-            size[r[0]] = size.get(r[0], 0) + len(r[1])
+    for r in sorted(picked.where((F.col("i") <= per_language) & (F.col("before") < chars)).select("l", "i", "t").toLocalIterator(), key=lambda r: r["i"]):
+        out.setdefault(r["l"], []).append(r["t"])
     return out
 
 
@@ -287,7 +315,7 @@ def identify(docs: DataFrame, train: Column | None = None, per_language: int = F
     docs = docs.drop(*names)
     texts = sample(docs, "text", "lang", "doc_id", F.lit(True) if train is None else train, per_language)
     model = fit({k: [symbols(t) for t in v] for k, v in texts.items()})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_CHARS and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_TOTAL
     at = docs.columns.index("text")
     kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 

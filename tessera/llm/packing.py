@@ -34,7 +34,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Tokens that the vocabulary adds to its merges (like <|endoftext|>) are found in texts too: such texts are the library's.
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         rng = np.random.Generator(np.random.PCG64(5))
         self.byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.power = rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,7 +138,7 @@ class Encoder:
                 out[i] = ids
 
         for i, t in enumerate(texts):
-            if _PLAIN.fullmatch(t) and not _CONTRACTION.search(t):
+            if _PLAIN.fullmatch(t) and not _CONTRACTION.search(t) and not self.added.search(t):
                 group.append(i)
                 size += len(t)
                 if size >= PIECE:

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
+#: Only for tests and trials; a deployment sets spark.tessera.pii.key.
 KEY = "a key of the deployment's own"
 
 #: One alternation; the first that matches at a place decides.  What surrounds a number must not be part of a longer one.
 PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",  # e-mail
+        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,}",  # e-mail; no repeated group, so a long domain needs no stack
         r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",  # access key
         r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)[A-Za-z0-9+/_\-]{8,}",  # secret
         r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",  # IBAN
@@ -126,11 +127,19 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), new).otherwise(m)
 
 
+def _leap_day(year: Column, key: str) -> Column:
+    """A leap year of a 400-year cycle that starts at 0 like 1800 does: its 97 leap years, permuted among themselves."""
+    j = F.floor(year / 4).cast("long")  # 1 to 99; of the centuries only the second (2000) is one
+    place = j - 1 - F.when(j > 75, 2).when(j > 25, 1).otherwise(0)
+    new = feistel(place, 97, 1, key, "leap day") + 1
+    return (new + F.when(new >= 74, 2).when(new >= 25, 1).otherwise(0)) * 4
+
+
 def _date(m: Column, key: str) -> Column:
-    """Days of 1800 to 2199 (189 * 773 of them), permuted among themselves; the writing stays.
+    """Days of the years 200 to 9799, permuted among those of their 400 years (1800 to 2199 are such; 189 * 773 days); the writing stays.
 
     A slashed date is month first where that is a date.  The others, day first with a day above 12, are permuted
-    among themselves, so the two ways of writing never meet: days 13 to 28 freely, later days by year only (29 February stays).
+    among themselves, so the two ways of writing never meet: days 13 to 28 freely, later days by year only.
     """
     iso, slash = m.rlike(r"^\d{4}-"), m.contains("/")
     one, two, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
@@ -138,16 +147,21 @@ def _date(m: Column, key: str) -> Column:
     month = F.when(iso, F.substring(m, 6, 2)).when(slash & ~day_first, one).otherwise(two)
     day = F.when(iso, F.substring(m, 9, 2)).when(slash & ~day_first, two).otherwise(one)
     year = F.when(iso, F.substring(m, 1, 4)).otherwise(year)
-    at = F.datediff(F.concat_ws("-", year, month, day).try_cast("date"), F.lit("1800-01-01").cast("date")).cast("long")
-    new = F.date_add(F.lit("1800-01-01").cast("date"), feistel(at, 189, 773, key, "date").cast("int"))
-    free = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(slash, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-    d, mo, y = day.cast("long"), month.cast("long"), year.cast("long") - 1800
+    start = F.lit("1800-01-01").cast("date")
+    at = F.datediff(F.concat_ws("-", year, month, day).try_cast("date"), start).cast("long")
+    cycle = F.floor(at / 146_097).cast("long")
+    new = F.date_add(start, (feistel(at - cycle * 146_097, 189, 773, key, "date") + cycle * 146_097).cast("int"))
+    four = lambda y: F.lpad(y.cast("string"), 4, "0")
+    written = (four(F.year(new)), F.date_format(new, "MM"), F.date_format(new, "dd"))
+    free = F.when(iso, F.concat_ws("-", *written)).when(slash, F.concat_ws("/", *written[1:], written[0])).otherwise(F.concat_ws(".", *written[::-1]))
+    first_year = 1800 + cycle * 400
+    d, mo, y = day.cast("long"), month.cast("long"), year.cast("long") - first_year
     early = feistel((y * 12 + mo - 1) * 16 + d - 13, 240, 320, key, "day first")
     ym = F.floor(early / 16).cast("long")
-    early = F.concat_ws("/", (F.pmod(early, F.lit(16)) + 13).cast("string"), F.lpad((F.pmod(ym, F.lit(12)) + 1).cast("string"), 2, "0"), (F.floor(ym / 12) + 1800).cast("string"))
-    late = F.concat_ws("/", day, month, (feistel(y, 20, 20, key, F.concat(F.lit("year"), day, month)) + 1800).cast("string"))
-    first = F.when(d <= 28, early).when(mo == 2, m).otherwise(late)
-    return F.when(at.between(0, 146_096), F.when(day_first, first).otherwise(free)).otherwise(m)
+    early = F.concat_ws("/", (F.pmod(early, F.lit(16)) + 13).cast("string"), F.lpad((F.pmod(ym, F.lit(12)) + 1).cast("string"), 2, "0"), four(F.floor(ym / 12) + first_year))
+    late_year = F.when((mo == 2) & (d == 29), _leap_day(y, key)).otherwise(feistel(y, 20, 20, key, F.concat(F.lit("year"), day, month)))
+    late = F.concat_ws("/", day, month, four(late_year + first_year))
+    return F.when(cycle.between(-4, 19), F.when(day_first, F.when(d <= 28, early).otherwise(late)).otherwise(free)).otherwise(m)
 
 
 def _letters(text: Column, key: str, kind: str) -> Column:
@@ -157,16 +171,17 @@ def _letters(text: Column, key: str, kind: str) -> Column:
     def shift(s: Column, by: Column, i: Column) -> Column:
         h = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), by), 256)
 
-        def one(c: Column, j: Column) -> Column:
+        def one(h: Column, c: Column, j: Column) -> Column:
             k = F.conv(F.substring(h, F.pmod(j * 3, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int") + j
             out = c
             for alphabet in (num, high, low):
                 n = len(alphabet)
                 at = F.instr(F.lit(alphabet), c)
-                out = F.when(at > 0, F.substring(F.lit(alphabet), F.pmod(at - 1 + k, F.lit(n)) + 1, F.lit(1))).otherwise(out)
+                out = F.when((at > 0) & (c != ""), F.substring(F.lit(alphabet), F.pmod(at - 1 + k, F.lit(n)) + 1, F.lit(1))).otherwise(out)
             return out
 
-        return F.array_join(F.transform(F.split(s, ""), one), "")
+        # The hash is bound by an outer transform, or it would be made anew for every character.
+        return F.transform(F.array(h), lambda h: F.array_join(F.transform(F.split(s, ""), lambda c, j: one(h, c, j)), ""))[0]
 
     n = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), n).alias("l"), F.substring(text, n + 1, F.length(text)).alias("r"))
@@ -194,7 +209,10 @@ def _iban(m: Column, key: str) -> Column:
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
     """The pseudonym of one match of PATTERN; what does not validate as its kind is returned as it is."""
-    mail = F.concat(_letters(F.substring_index(m, "@", 1), key, "mail"), F.lit("@"), F.substring_index(m, "@", -1))
+    host = F.substring_index(m, "@", -1)
+    top = F.substring_index(host, ".", -1)
+    under = F.substring(host, F.lit(1), F.length(host) - F.length(top))
+    mail = F.concat(_letters(F.substring_index(m, "@", 1), key, "mail"), F.lit("@"), _letters(under, key, "host"), top)
     head = F.regexp_extract(m, r"^.*[=:]\s*[\"']?", 0)
     secret = F.concat(head, _letters(F.substring(m, F.length(head) + 1, F.length(m)), key, "secret"))
     access = F.concat(F.substring(m, 1, 4), _letters(F.substring(m, 5, 16), key, "access"))
@@ -212,11 +230,14 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """docs with the text column rewritten and n_pii (found values that were replaced) added; null texts stay null, n_pii 0.
 
-    All rows and other columns are kept; an existing n_pii is replaced.
+    key: by default the session's spark.tessera.pii.key, or KEY where that is unset.  An address keeps the last label of its domain only.
+    All rows, repeated ones too, and other columns are kept; an existing n_pii is replaced.  The pattern repeats no
+    group without a bound, so its stack does not grow with a text.
     """
+    key = key or docs.sparkSession.conf.get("spark.tessera.pii.key", KEY)
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
     between = F.split(F.col(text), PATTERN, -1)
     some = F.col(text).rlike(r"[@\d]|(?i:password|passwd|pwd|secret|token|api[_-]?key)") & F.col(text).rlike(PATTERN)

@@ -2,13 +2,14 @@
 
 Counts cover all trusted documents and stay distributed: tables of n-grams keyed by language, sharded by hash and joined.  The
 distinct n-grams of all documents are joined with the count tables of all orders; the probabilities come back to the documents in shards of
-bounded size, so a perplexity needs neither an n-gram occurrence nor a text to be shuffled.
-Thresholds are quantiles of the trusted documents' perplexity in each language.
+bounded size, one language at a time, so a perplexity needs neither an n-gram occurrence nor a text to be shuffled.
+Thresholds are quantiles of the perplexity, in each language, of trusted documents that the model has not seen.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from tessera.llm.store import durable, small_batches
 ORDER = 5
 #: Trusted documents of a language beyond this quantile of perplexity, times MARGIN, set its limit.
 QUANTILE, MARGIN = 0.99, 1.25
+#: One trusted document of so many, by hash, is kept from the model and sets the limits.
+HELD = 5
 #: Trusted document ids that are broadcast; more are joined by a shuffle of the texts.
 BROADCAST = 1_000_000
 #: n-grams that a broadcast shard holds (about 100 MB on the driver), and that a task remembers having told; leading bits for look-up.
@@ -181,54 +184,84 @@ class Shard:
         return np.where(there, self.logp[at], 0.0)
 
 
+def _passes(sizes: dict[str, int], most: int) -> list[tuple[list[str], int, int]]:
+    """(languages, parts, part): a language of more than `most` n-grams is cut into parts, small ones stand together."""
+    out, rest, held = [], [], 0
+    for lang, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if n > most:
+            parts = -(-n // most)
+            out += [([lang], parts, i) for i in range(parts)]
+            continue
+        if rest and held + n > most:
+            out.append((rest, 1, 0))
+            rest, held = [], 0
+        rest, held = [*rest, lang], held + n
+    return [*out, (rest, 1, 0)] if rest else out
+
+
+def _scoring(known):
+    """A task that adds up, per row of (lang, text, t1, t2, doc_id), the log-probabilities of the n-grams in the broadcast table."""
+
+    def run(batches):
+        table = known.value
+        for batch in batches:
+            codes = [_symbols(t or "") for t in batch.column(1).to_pylist()]
+            salts = np.array([_salt(v) for v in batch.column(0).to_pylist()], np.uint64)
+            size = np.array([len(c) for c in codes], np.int64)
+            total = np.zeros(len(codes))
+            ends = np.cumsum(size)
+            # Rows in groups of about PIECE symbols, and a longer text in pieces.
+            r = 0
+            while r < len(codes):
+                e = max(r + 1, int(np.searchsorted(ends, (ends[r - 1] if r else 0) + PIECE, "right")))
+                whole = codes[r] if e == r + 1 else np.concatenate(codes[r:e])
+                owners = np.repeat(np.arange(r, e), size[r:e])
+                for a in range(0, max(len(whole) - ORDER + 1, 0), PIECE):
+                    part, owner = whole[a : a + PIECE + ORDER - 1], owners[a : a + PIECE + ORDER - 1]
+                    inside = owner[: len(part) - ORDER + 1] == owner[ORDER - 1 :]
+                    who = owner[: len(inside)][inside]
+                    total += np.bincount(who, table.total(_keys(part)[inside] ^ salts[who]), minlength=len(codes))
+                r = e
+            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(0), batch.column(2), batch.column(3), pa.array(size - ORDER + 1, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "lang", "t1", "t2", "symbols", "total"])
+
+    return run
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(doc_id, lang, symbols, perplexity) for every row of docs (doc_id, text, lang), by the model of trusted (text, lang).
 
     perplexity: per character, null for a null or empty text and where the language has no trusted text.  A null lang is a language of its own, shown as null.
-    Texts are never shuffled.  The priced n-grams are cut by hash into shards of about SHARD, and each is broadcast in
-    turn, so a broadcast has a bound; a pass over the texts adds up what one shard knows.
+    Texts are never shuffled.  The priced n-grams of a language are cut by hash into shards of about SHARD (small languages share one), and each
+    is broadcast in turn, so a broadcast has a bound; a pass reads the texts of its languages alone and adds up what the shard knows.  Where a language
+    has several shards, its rows are named by doc_id and two hashes of the text, which do not depend on how the table is read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text")
-    base = docs.select(lang, text, F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
+    base = docs.select(lang, text, F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.col("doc_id").cast("long").alias("doc_id"))
     model = Model(counts(trusted.select(lang, text)))
     asked = base.select("lang", "text").mapInArrow(_distinct, "lang string, gram string").distinct()
     priced = durable(model.scored(asked), "priced")
-    n = max(1, -(-priced.count() // SHARD))
-    shard = F.pmod(F.xxhash64("lang", "gram"), F.lit(n))
-
-    def scoring(known):
-        def run(batches):
-            table = known.value
-            for batch in batches:
-                codes = [_symbols(t or "") for t in batch.column(1).to_pylist()]
-                salts = np.array([_salt(v) for v in batch.column(0).to_pylist()], np.uint64)
-                size = np.array([len(c) for c in codes], np.int64)
-                symbols = size - ORDER + 1
-                total = np.zeros(len(codes))
-                ends = np.cumsum(size)
-                # Rows in groups of about PIECE symbols, and a longer text in pieces.
-                r = 0
-                while r < len(codes):
-                    e = max(r + 1, int(np.searchsorted(ends, (ends[r - 1] if r else 0) + PIECE, "right")))
-                    for a in range(0, max(int(size[r:e].sum()) - ORDER + 1, 0), PIECE):
-                        whole = codes[r] if e == r + 1 else np.concatenate(codes[r:e])
-                        part = whole[a : a + PIECE + ORDER - 1]
-                        owner = np.repeat(np.arange(r, e), size[r:e])[a : a + len(part)]
-                        inside = owner[: len(part) - ORDER + 1] == owner[ORDER - 1 :]
-                        who = owner[: len(inside)][inside]
-                        total += np.bincount(who, table.total(_keys(part)[inside] ^ salts[who]), minlength=len(codes))
-                    r = e
-                yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), batch.column(0), pa.array(symbols, pa.int64()), pa.array(total, pa.float64())], names=["row", "doc_id", "lang", "symbols", "total"])
-
-        return run
-
-    out = None
-    for i in range(n):
-        known = spark.sparkContext.broadcast(Shard(priced.where(shard == i).toArrow()))
-        one = base.mapInArrow(scoring(known), "row long, doc_id long, lang string, symbols long, total double")
-        out = one if out is None else durable(out.unionByName(one.select("row", "doc_id", "lang", "symbols", "total")).groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "lang", "symbols")], F.sum("total").alias("total")), "sums")
+    sizes = {r["lang"]: r["n"] for r in priced.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    schema = "doc_id long, lang string, t1 long, t2 long, symbols long, total double"
+    found = []
+    for langs, parts, part in _passes(sizes, SHARD):
+        own = F.col("lang").isin(langs)
+        table = priced.where(own & (F.pmod(F.xxhash64("gram"), F.lit(parts)) == part))
+        known = spark.sparkContext.broadcast(Shard(table.toArrow()))
+        one = base.where(own).mapInArrow(_scoring(known), schema).withColumn("parts", F.lit(parts))
+        found.append(durable(one, "sums"))
+        known.destroy()
+    empty = base.where(~F.col("lang").isin(list(sizes))) if sizes else base  # no symbol in any text of the language
+    out = empty.select("doc_id", "lang", F.lit(0).cast("long").alias("symbols"), F.lit(0.0).alias("total"))
+    for one in found:
+        out = out.unionByName(one.where("parts = 1").select("doc_id", "lang", "symbols", "total"))
+    if several := [x.where("parts > 1") for x in found]:
+        rows = reduce(DataFrame.unionByName, several).groupBy("doc_id", "lang", "t1", "t2", "symbols", "parts").agg(F.sum("total").alias("total"), F.count("*").alias("n"))
+        # Equal rows were added together: each pass gave a row for every one of them.
+        same = (F.col("n") / F.col("parts")).cast("int")
+        rows = rows.withColumn("total", F.col("total") / same).withColumn("again", F.explode(F.sequence(F.lit(1), same)))
+        out = out.unionByName(rows.select("doc_id", "lang", "symbols", "total"))
     seen = F.broadcast(model.contexts[1].select("lang", F.lit(True).alias("known")))  # a row per language
     out = out.join(seen, "lang", "left")
     ppl = F.when((F.col("symbols") > 0) & F.col("known"), F.exp(-F.col("total") / F.col("symbols")))
@@ -238,17 +271,19 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(doc_id, lang, symbols, perplexity, threshold, kept) for every row of docs.
 
-    labels: doc_id, quality, toxic; trusted are documents with quality 1 and not toxic in every label they have.  kept: the
-    perplexity is at most margin times the quantile of its language's trusted documents, or no threshold or perplexity is known, except
-    that null and empty texts are not kept.  Short texts vary more, so the threshold rises for them.
+    labels: doc_id, quality, toxic; trusted are documents with quality 1 and not toxic in every label they have.  All but every HELDth of them
+    by hash train the model, and these set the threshold: kept is a perplexity of at most margin times their quantile in the language, higher for short texts, which vary more.
+    Where a language has no threshold, or a text no perplexity, it is kept, except that null and empty texts are not.  Repeated rows get a
+    row each, a null doc_id is never trusted, an empty table gives an empty result, and without labels everything with text is kept.  Other columns are ignored.
     """
     good = labels.groupBy("doc_id").agg((F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)))).alias("good"))
-    good = durable(good.where("good and doc_id is not null"), "trusted")
-    ids = good.select("doc_id")
-    trusted = docs.select("doc_id", "text", "lang").join(F.broadcast(ids) if good.count() <= BROADCAST else ids, "doc_id", "left_semi")
+    held = F.pmod(F.xxhash64(F.lit(HELD), "doc_id"), F.lit(HELD)) == 0
+    good = durable(good.where("good and doc_id is not null").select("doc_id", held.alias("held")), "trusted")
+    ids = good.where("not held").select("doc_id")
+    trusted = docs.select("doc_id", "text", "lang").join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
     scored = durable(perplexities(docs.select("doc_id", "text", "lang"), trusted), "perplexity")
-    scored = durable(scored.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("good", F.lit(False))).drop("good"), "perplexity")
-    cut = scored.where("trusted and perplexity is not null").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("limit"))
+    measured = scored.where("perplexity is not null").join(good.where("held").select("doc_id"), "doc_id", "left_semi")
+    cut = measured.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("limit"))
     out = scored.join(F.broadcast(cut.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")), "left")  # a row per language
     limit = F.col("limit") * (1 + 8 / F.sqrt(F.greatest(F.col("symbols"), F.lit(1))))
     kept = (F.col("symbols") > 0) & F.coalesce(F.col("perplexity") <= limit, F.lit(True))

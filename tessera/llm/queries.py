@@ -23,7 +23,7 @@ def vocabulary() -> str:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     out = langid.identify(docs, train=~held)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch handed to Python: small, because rows hold whole texts.
 ARROW_ROWS = 512
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-_written: list[str] = []
+#: One list of written tables for each open scope; the first is the process's own.
+_written: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a new temporary folder only where none is set (tests, local mode)."""
+    """The session's spark.checkpoint.dir; a new temporary folder only in local mode where none is set (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -26,18 +32,43 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table written so far by durable().  Only for callers whose results are already stored."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scope():
+    """Collects the paths that durable() writes inside; the caller releases them once what was made of them is stored."""
+    _written.append(own := [])
+    try:
+        yield own
+    finally:
+        _written.remove(own)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the tables of a scope (default: all written outside of one).  Only for callers whose results are already stored."""
+    paths = _written[0] if paths is None else paths
+    while paths:
+        remove(spark, paths.pop())
 
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts must stay small, so that Python workers keep within their memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set(ARROW, str(ARROW_ROWS))
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for the jobs run inside; the session's own setting after it."""
+    before = spark.conf.get(ARROW)
+    spark.conf.set(ARROW, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW, before)

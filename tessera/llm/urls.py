@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import durable
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Two-label public suffixes beside the plain last label (fixed values).
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Block when mean - WIDTH * deviation of the posterior bad rate is above LIMIT.
 LIMIT, WIDTH = 0.5, 1.645
-#: Rules are evaluated as one expression; longer lists belong in a table.
-MOST_RULES = 1000
+#: Rules up to this many are evaluated as one expression, more as a table that host endings are joined with.
+EXPRESSED = 200
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -28,8 +30,6 @@ def parse(url: Column) -> tuple[Column, Column]:
 
 def rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest of rules (like "example.net/en/" -> "allow") that fits, else nulls; ties to the first by name."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     which, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r), [-ord(c) for c in r])):
         h, _, p = r.partition("/")
@@ -38,6 +38,20 @@ def rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Col
     return which, verdict
 
 
+def rule_table(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """rows (host, path, ...) with rule and verdict as rule() finds them, for any number of rules.
+
+    Distinct pairs of host and path meet the rules of every ending of the host by an equi-join, and the longest that fits stays.
+    """
+    table = [(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in rules.items()]
+    table = rows.sparkSession.createDataFrame(table, "ending string, start string, rule string, verdict string")
+    labels = F.split("host", r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    some = rows.select("host", "path").distinct().withColumn("ending", F.explode(endings)).join(table, "ending").where(F.col("path").startswith(F.col("start")))
+    best = some.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "verdict")).alias("best"))
+    return rows.join(best.select("host", "path", "best.rule", "best.verdict"), ["host", "path"], "left")
+
+
 def domain(host: Column) -> tuple[Column, Column]:
     """(registered domain, suffix) of a host: the last label, or the last two behind a two-letter country code."""
     bare = F.regexp_replace(host, r":\d*$", "")
@@ -87,9 +101,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], limit: f
     """
     host, path = parse(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    if len(rules) > EXPRESSED:
+        rows = rule_table(rows, rules)
+    else:
+        which, verdict = rule(F.col("host"), F.col("path"), rules)
+        rows = rows.withColumn("rule", which).withColumn("verdict", verdict)
     seen = outcomes.where("bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     labelled = rows.join(seen, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    known = reputation(labelled).select("host", "rate", "deviation")
-    which, verdict = rule(F.col("host"), F.col("path"), rules)
+    known = reputation(durable(labelled, "hosts")).select("host", "rate", "deviation")
     method = F.when(F.col("rate") - width * F.col("deviation") > limit, "block").otherwise("allow")
-    return rows.join(known, "host", "left").select("page_id", "host", "path", which.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "rate")
+    return rows.join(known, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "rate")

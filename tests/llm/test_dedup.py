@@ -145,3 +145,31 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, block):
     want = vectors_brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], lab) for i, v, lab in rows])
     assert got == want
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_near_vectors_recall_and_copies(spark):
+    """12 000 vectors of few labels, with chains of near copies and many equal ones, against brute force by matrix product."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((9000, 48))
+    near = x[:2000] + 0.13 * rng.standard_normal((2000, 48))  # around the threshold
+    x = np.concatenate([x, near, np.tile(x[5], (1000, 1))]).astype(np.float32)
+    label = np.concatenate([np.arange(9000) % 2, np.arange(2000) % 2, np.full(1000, 1)])
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embeddings.near_vectors(df.repartition(7)).collect()}
+    links, reached = np.zeros(len(x), int), {}
+    for c in (0, 1):
+        at = np.flatnonzero(label == c)
+        u = x[at].astype(float) / np.linalg.norm(x[at].astype(float), axis=1, keepdims=True)
+        hit = u @ u.T >= 0.98
+        links[at] = hit.sum(axis=1) - 1
+        reached |= {int(at[i]): set(at[hit[i]].tolist()) for i in range(len(at))}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= links).all() and found.sum() > 0.999 * links.sum() and links.sum() > 1_000_000
+    assert all(got[i].component_id == 5 for i in reached[5])
+
+
+def test_near_vectors_repeated_and_lost_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (None, [1.0, 0.0], 1), (4, [1e300, 0.0], 1), (5, [1e-300, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embeddings.near_vectors(df).collect()))
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False), (5, 0, 5, True)]

@@ -73,6 +73,36 @@ def test_quality_keeps_good_documents(spark):
     assert not judged.where("doc_id = 1").first().kept
 
 
+def test_quality_against_a_plain_version(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels).toPandas().set_index("doc_id").sort_index()
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    trusted = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).where("good")
+    held = {r.doc_id: r.h for r in trusted.select("doc_id", (F.pmod(F.xxhash64(F.lit(quality.HELD), "doc_id"), F.lit(quality.HELD)) == 0).alias("h")).collect()}
+    for lang in {v[1] for v in texts.values()}:
+        own = [i for i, v in sorted(texts.items()) if v[1] == lang]
+        ppl = dict(zip(own, brute_perplexity([texts[i][0] for i in own if held.get(i) is False], [texts[i][0] for i in own]), strict=True))
+        assert np.allclose(got.perplexity[own], [ppl[i] for i in own], rtol=1e-9)
+        measured = sorted(ppl[i] for i in own if held.get(i))
+        if not measured:  # no limit is known
+            assert got.kept[own].all() and got.threshold[own].isna().all()
+            continue
+        limit = quality.MARGIN * measured[math.ceil(quality.QUANTILE * len(measured)) - 1]
+        for i in own:
+            assert got.threshold[i] == pytest.approx(limit * (1 + 8 / len(texts[i][0]) ** 0.5)) and got.kept[i] == (ppl[i] <= got.threshold[i])
+
+
+def test_quality_edge_cases(spark):
+    docs = [(1, "the cat sat on the mat", "en"), (1, "the cat sat on the mat", "en"), (2, None, "en"), (3, "", None), (None, "abc", "en"), (4, "abc", None), (5, "é" * 300_000, "fr")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"total": F.lit("clash"), "good": F.lit(1)})
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, None), (None, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.limit(0)):
+        got = sorted(((r.doc_id or 0, r.kept) for r in quality.classify(df, known).collect()))
+        assert got == [(0, True), (1, True), (1, True), (2, False), (3, False), (4, True), (5, True)]
+    assert quality.classify(df.limit(0), labels).count() == 0
+
+
 def test_neighbours_recall_and_edges(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in e.collect()]
@@ -113,6 +143,15 @@ def test_neighbours_are_exact(spark):
         assert got[q] == [int(ids[k]) for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
 
 
+def test_many_url_rules(spark, monkeypatch):
+    hosts = ["a.net", "b.a.net", "xa.net", "", "net", "c.d.org"]
+    rows = spark.createDataFrame([(h, p) for h in hosts for p in ("", "/", "/en/x", "/en")], "host string, path string")
+    rules = {"net/": "block", "a.net/en/": "allow", "org/": "block", "d.org/en": "allow", "b.a.net/": "allow"}
+    which, verdict = urls.rule(F.col("host"), F.col("path"), rules)
+    want = sorted(map(tuple, rows.select("host", "path", which, verdict).collect()), key=str)
+    assert sorted(((r.host, r.path, r.rule, r.verdict) for r in urls.rule_table(rows, rules).collect()), key=str) == want
+
+
 def test_url_rules_and_reputation(spark):
     cases = {
         "http://a.net/x": ("a.net", "/x", "net/", "block"),

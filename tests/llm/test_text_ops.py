@@ -96,17 +96,77 @@ def test_mixing_edge_cases(spark):
     assert len(got) == 7 and (got.taken <= 2 * got["size"]).all()
     assert sorted(got["size"]) == [0, 0, 1, 3, 3, 3, 200_000]
     assert mixing.mix(df.limit(0)).count() == 0
-    assert mixing.shares({"a": 10, "b": 10, None: 100}) == {"a": 20.0, "b": 20.0, None: 140.0}
+    sizes = spark.createDataFrame([("a", 10), ("b", 10), (None, 100)], "source string, size long")
+    assert {r.source: r.target for r in mixing.shares(sizes).collect()} == {"a": 20.0, "b": 20.0, None: 140.0} == plain_shares({"a": 10, "b": 10, None: 100})
+
+
+def plain_shares(sizes, weights=(3, 1, 2), total=1.5, most=2):
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full = {}
+    while True:
+        free = [s for s in order if s not in full]
+        if not free:
+            return full
+        unit = (total * sum(sizes.values()) - sum(full.values())) / sum(weight[s] for s in free)
+        over = {s: float(most * sizes[s]) for s in free if weight[s] * unit > most * sizes[s]}
+        if not over:
+            return full | {s: weight[s] * unit for s in free}
+        full |= over
+
+
+def plain_mix(rows, seed=11):
+    """rows (row, source, size, h): copies of each row by Pareto order sampling, written plainly."""
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    target, out = plain_shares(sizes), {}
+    for s in sizes:
+        own = [r for r in rows if r.source == s]
+        tilt = {r.row: np.round(min(max(np.log(r.size + 1) / 6, 0.5), 1.5) * 8) / 8 for r in own}
+        low, high = 0.0, 1e6
+        for _ in range(200):  # c by halving
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(2, c * tilt[r.row]) * r.size for r in own) < target[s] else (low, c)
+        ranked, need = [], target[s]
+        for r in own:
+            e = min(2.0, low * tilt[r.row]) if r.size else 0.0
+            out[r.row] = int(e + 1e-6)
+            need -= out[r.row] * r.size
+            if e - out[r.row] > 1e-6:
+                u, p = ((r.h % 2**64 >> 11) + 0.5) / 2**53, e - out[r.row]
+                ranked.append((u / (1 - u) / (p / (1 - p)), r))
+        for _, r in sorted(ranked, key=lambda x: x[0]):
+            if need < r.size / 2:
+                break
+            out[r.row] += 1
+            need -= r.size
+    return out
+
+
+def test_mixing_against_a_plain_sampler(spark, monkeypatch):
+    for edge in (4096, 2):
+        monkeypatch.setattr(mixing, "EDGE", edge)
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("n", F.monotonically_increasing_id())
+        got = {r.row: r.copies for r in mixing.mix(docs, row=F.col("n")).collect()}
+        rows = docs.select(F.col("n").alias("row"), "source", mixing.words(F.col("text")).alias("size"), F.xxhash64(F.lit(11), "doc_id", "text").alias("h")).collect()
+        assert got == plain_mix(rows)
+
+
+def test_mixing_of_equal_rows(spark):
+    """Thousands of equal rows share their random number: they are cut by their place, and the target is still met."""
+    df = spark.range(9000).select(F.lit(1).alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 3 > 0, "x").otherwise("y").alias("source"))
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 3 for r in got) and len(got) == 2
 
 
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab c  \n\t1 2é'ß.,!²½ªstm日😀 \x0b") for _ in range(rng.randrange(60))) for _ in range(800)]
-    texts += [None, "", "<|endoftext|>", "don't we'll", "x " * 30_000, "y" * 9000, " " * 5000]
+    texts += [None, "", "<|endoftext|>", "a<|endoftext|>b", "don't we'll", "x " * 30_000, "y" * 9000, " " * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("start", F.lit("clash"))
     got = packing.pack(df, vocabulary()).toPandas()
     assert got.sequence_id.is_unique and (got.offset == 0).all() and set(got.length) <= {1 << b for b in range(12)}
@@ -168,6 +228,106 @@ def test_pii_in_texts(spark):
     for i in range(3, 8):
         assert (i == 5 or len(got[i].text) == len(texts[i])) and got[i].text != texts[i]  # an address may change its length
     a, b = re.findall(r"\d{16}", got[3].text)
-    assert a == b != "4539578763621486" and got[3].text.startswith("card ") and got[3].text.endswith("@c.de!")
+    assert a == b != "4539578763621486" and got[3].text.startswith("card ") and got[3].text.endswith(".de!") and not got[3].text.endswith("@c.de!")
     assert got[6].text.startswith("password=") and got[6].text.endswith(" end") and got[7].text.startswith("$1 \\1 ")
     assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_pii_dates_of_all_times(spark):
+    days = ["1750-05-05", "2250-01-01", "29/02/2000", "29/02/2096", "31/12/0999", "05.05.9000"]
+    got = {r.v: r.p for r in spark.createDataFrame([(d,) for d in days], "v string").select("v", pii.pseudonym(F.col("v")).alias("p")).collect()}
+    assert all(got[d] != d and re.sub(r"\d", "9", got[d]) == re.sub(r"\d", "9", d) for d in days)
+    leap = [f"29/02/{y}" for y in range(1800, 2200) if y % 4 == 0 and (y % 100 or y % 400 == 0)]
+    out = [r.p for r in spark.createDataFrame([(d,) for d in leap], "v string").select(pii.pseudonym(F.col("v")).alias("p")).collect()]
+    assert sorted(out) == sorted(leap)
+    cycle = spark.sql("select date_format(d, 'yyyy-MM-dd') v from (select explode(sequence(date'2200-01-01', date'2599-12-31')) d)")
+    assert cycle.select("v", pii.pseudonym(F.col("v")).alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()[:] == (146_097, "2200-01-01", "2599-12-31")
+
+
+def test_pii_of_very_long_values(spark):
+    texts = ["x@" + "a." * 200_000 + "com", "y" * 400_000 + "@b.org", "1" * 400_000, "token=" + "z" * 400_000, "1.1.1." * 100_000, "a@" * 100_000]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [len(t) for t in got] == [len(t) for t in texts] and got[0] != texts[0] and got[1] != texts[1] and got[2] == texts[2]
+
+
+def test_pii_against_a_plain_version(spark):
+    """Whole texts: what the pattern does not find stays, each found value is replaced by its pseudonym, and the rest is joined in order."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    docs |= {-1: "mail a.b@smith-family.org or c@d.uk; born 31/12/1999 and 1999-12-31, 29/02/2000", -2: None, -3: ""}
+    pattern = re.compile(pii.PATTERN)
+    values = sorted({m.group() for t in docs.values() for m in pattern.finditer(t or "")})
+    one = {r.v: r.p for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.pseudonym(F.col("v")).alias("p")).collect()}
+    got = pii.pseudonymise(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    for r in got:
+        t = docs[r.doc_id]
+        assert r.text == (None if t is None else pattern.sub(lambda m: one[m.group()], t))
+        assert r.n_pii == sum(one[m.group()] != m.group() for m in pattern.finditer(t or ""))
+    assert "smith" not in next(r.text for r in got if r.doc_id == -1) and len(got) == len(docs)
+
+
+def test_feistel_against_a_plain_version(spark):
+    import hashlib
+
+    def plain(v, a, b, key, kind):
+        left, right = divmod(v, b)
+        for i in range(pii.ROUNDS):
+            f = lambda x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+            if i % 2 == 0:
+                left = (left + f(right)) % a
+            else:
+                right = (right + f(left)) % b
+        return left * b + right
+
+    got = spark.range(500).select(pii.feistel(F.col("id"), 23, 31, "k", "t").alias("x")).collect()
+    assert [r.x for r in got] == [plain(v, 23, 31, "k", "t") for v in range(500)]
+
+
+def plain_entropy(train, text, order=langid.ORDER):
+    """Bits per symbol of text under an interpolated Kneser-Ney model of train, written plainly over tuples."""
+    grams = {order: {}}
+    for t in train:
+        for i in range(len(t) - order + 1):
+            g = tuple(t[i : i + order])
+            grams[order][g] = grams[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):  # continuation counts; what only stands first counts once
+        grams[k] = {}
+        for g in grams[k + 1]:
+            grams[k][g[1:]] = grams[k].get(g[1:], 0) + 1
+        for t in train:
+            for i in range(len(t) - k + 1):
+                grams[k].setdefault(tuple(t[i : i + k]), 1)
+    by, discount = {}, {}
+    for k, c in grams.items():
+        n1, n2 = (sum(v == i for v in c.values()) for i in (1, 2))
+        discount[k] = n1 / (n1 + 2 * n2) if n1 else 0.5
+        for g, v in c.items():
+            by.setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        if not g:
+            return 1 / (len(grams[1]) + 1)
+        seen = by.get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        d = discount[len(g)]
+        return max(grams[len(g)].get(g, 0) - d, 0) / sum(seen) + d * len(seen) / sum(seen) * p(g[1:])
+
+    return -np.mean([np.log2(p(tuple(text[i : i + order]))) for i in range(len(text) - order + 1)])
+
+
+def test_langid_against_a_plain_model(monkeypatch):
+    texts = {"en": ["the cat sat on the mat and the dog ran", "one two three, it was the best of times"], "de": ["der hund und die katze sind im haus", "es war die beste aller zeiten"], "xx": ["qwx zzk vvw"]}
+    train = {k: [langid.symbols(t) for t in v] for k, v in texts.items()}
+    asked = [langid.symbols(t) for t in ("the dog and the times", "die katze und der mat", "zzk!", "x")]
+    for abreast in (16, 2):
+        monkeypatch.setattr(langid, "ABREAST", abreast)
+        got = langid.Models.of(train)
+        want = [[plain_entropy([c.tolist() for c in train[k]], a.tolist()) for k in got.languages] for a in asked]
+        assert np.allclose(got.entropies(asked), want, rtol=1e-4)
+
+
+def test_langid_learns_from_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_CHARS", 1000)
+    rows = [(1, "der hund und die katze " * 3000, "de"), (2, "der hund und das haus " * 3000, "de"), (3, "the cat and the dog " * 9, "en"), (4, "die katze und das haus", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id = 4").first()
+    assert got.lang_pred == "de"
