@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Titles before and after a name.
-PREFIXES = ["Attorney General", "Lieutenant Governor", "Vice President", "Representative", "Congresswoman", "Congressman", "President", "Governor", "Senator", "Mayor", "Judge", "Mrs.", "Dr.", "Gov.", "Mr.", "Ms.", "Rep.", "Rev.", "Sen."]
-SUFFIXES = ["Jr.", "Sr.", "III", "II", "IV", "Esq.", "M.D.", "MD", "Ph.D."]
+#: Titles before a name, lower case, a dot after each word allowed.
+PREFIXES = [
+    "dr", "mr", "ms", "mrs", "mx", "miss", "rev", "reverend", "fr", "father", "sister", "sr", "prof", "professor",
+    "rep", "representative", "sen", "senator", "gov", "governor", "mayor", "pres", "president", "vp", "vice president",
+    "congressman", "congresswoman", "councilman", "councilwoman", "councilmember", "councilor", "secretary", "ambassador",
+    "attorney general", "ag", "judge", "justice", "chief justice", "gen", "general", "lt gen", "lieutenant general",
+    "maj gen", "major general", "brig gen", "brigadier general", "col", "colonel", "lt col", "lieutenant colonel",
+    "maj", "major", "capt", "captain", "lt", "lieutenant", "sgt", "sergeant", "cpl", "corporal", "pvt", "private",
+    "adm", "admiral", "cmdr", "commander", "officer", "detective", "lieutenant governor",
+]
+#: Suffixes after a name; the first five tell generations apart.
+SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v", "esq", "esquire", "md", "phd", "jd", "mba", "dds", "rn", "cpa", "ret", "retired"]
 
 
 def _alternation(words: list[str]) -> str:
-    return "|".join(w.replace(".", r"\.?") for w in sorted(words, key=lambda w: (-len(w), w)))
+    letters = {"md": r"m\.?d", "phd": r"ph\.?d", "jd": r"j\.?d", "rn": r"r\.?n", "vp": r"v\.?p", "ag": r"a\.?g"}
+    return "|".join(r"\.?\s+".join(letters.get(p, p) for p in w.split()) + r"\.?" for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
 def without_honorifics(name: Column) -> Column:
@@ -51,7 +61,7 @@ def nth_weekday(year: Column, month: Column, day: str, n: int) -> Column:
 
 def byline(text: Column) -> Column:
     """The name behind a leading "By": two to four capitalised words; null without one."""
-    got = F.regexp_extract(text, r"(?m)(?:^|\n)\s*[Bb][Yy]:?\s+((?:[A-Z][A-Za-z.'\-]+\s){1,3}[A-Z][A-Za-z'\-]+)", 1)
+    got = F.regexp_extract(text, r"(?m)(?:^|\n)\s*[Bb][Yy]:?\s+((?:[A-Z][A-Za-z.'\-]*[ \t]+){1,3}[A-Z][A-Za-z'\-]+)", 1)
     return F.when(got != "", F.trim(got))
 
 
@@ -72,6 +82,6 @@ def issue_strength(text: Column, keywords: list[str], weak: set[str] = frozenset
             weak_hits += hits
         else:
             strong += (hits > 0).cast("int")
-    for k in bump[:1]:
+    if bump:  # words that only raise what others have found
         total += F.when(sum((keyword_hits(text, w) for w in bump), F.lit(0)) > 0, 10).otherwise(0)
     return F.when(((strong > 0) | (weak_hits >= 2)) & (total >= 30), F.least(F.lit(100), total)).otherwise(0)

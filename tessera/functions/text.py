@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,21 +83,29 @@ def junk_title(title: Column, placeholders: list[str]) -> Column:
     return F.coalesce((t == "") | F.lower(t).isin(placeholders) | t.rlike(r"(?i)\.(pdf|docx?|xlsx?|pptx?|jpe?g|png|gif)$") | t.rlike(r"(?i)^[a-z0-9\-]+(\.[a-z0-9\-]+)+/?$"), F.lit(True))
 
 
+#: Hosts (with all under them) and parts of hosts or addresses by platform, and the names of platforms in a source's name.
+PLATFORM_HOSTS = {
+    "bluesky": ["bsky.social", "bsky.app", "bsky.network"],
+    "twitter": ["twitter.com", "x.com", "twiiit.com"],
+    "reddit": ["reddit.com", "redd.it"],
+    "youtube": ["youtube.com", "youtu.be", "youtube-nocookie.com"],
+    "facebook": ["facebook.com", "fb.com", "fb.watch"],
+    "instagram": ["instagram.com"],
+}
+PLATFORM_PARTS = {"bsky.app": "bluesky", "nitter": "twitter"}
+PLATFORM_NAMES = ["twitter", "bluesky", "reddit", "mastodon", "youtube", "instagram", "facebook"]
+
+
 def platform(url: Column, name: Column) -> Column:
-    """Where a post lives: by host first, then by markers in the source's name; null for news and the web."""
-    host = F.coalesce(domain(url), F.lit(""))
-    u, n = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
-
-    def at(*hosts: str) -> Column:
-        return reduce(lambda a, b: a | b, [(host == h) | host.endswith("." + h) for h in hosts])
-
-    out = F.when(u.contains("bsky.app") | at("bsky.social") | host.endswith(".bsky.network"), "bluesky")
-    out = out.when(at("twitter.com", "x.com") | host.contains("nitter") | (host == "twiiit.com"), "twitter")
-    for kind, hosts in (("reddit", ("reddit.com", "redd.it")), ("youtube", ("youtube.com", "youtu.be", "youtube-nocookie.com")), ("facebook", ("facebook.com", "fb.com", "fb.watch")), ("instagram", ("instagram.com",))):
-        out = out.when(at(*hosts), kind)
-    for kind in ("twitter", "bluesky", "reddit", "mastodon", "youtube", "instagram", "facebook"):
-        out = out.when(n.contains(kind), kind)
-    return out
+    """Where a post lives: a known part of the address, else the longest ending of the host in a table, else a name within the source's; null for the web."""
+    table = F.create_map(*[F.lit(x) for kind, hosts in PLATFORM_HOSTS.items() for h in hosts for x in (h, kind)])
+    labels = F.split(F.coalesce(domain(url), F.lit("")), r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.try_element_at(table, F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    by_host = F.get(F.filter(endings, lambda k: k.isNotNull()), F.lit(0))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    by_part = F.coalesce(*[F.when(low(url).contains(p), kind) for p, kind in PLATFORM_PARTS.items()])
+    by_name = F.coalesce(*[F.when(low(name).contains(n), n) for n in PLATFORM_NAMES])
+    return F.coalesce(by_part, by_host, by_name)
 
 
 def humanise_name(name: Column) -> Column:

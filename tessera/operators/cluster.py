@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,20 +20,39 @@ def near_duplicate(sim: Column, same_source: Column, ts_a: Column, ts_b: Column,
     return (sim >= 0.92) | ((sim >= 0.72) & F.coalesce(same_source, F.lit(False)) & close)
 
 
-def title_pairs(items: DataFrame, key: str, title: str, least: float) -> DataFrame:
-    """(a, b, similarity) of titles with token similarity >= least, numbers not contradicting.
+def token_pairs(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
+    """(a, b, similarity): pairs of rows whose token sets (arrays without repeats) have Jaccard similarity >= least.
 
-    Prefix filter: such a pair shares one of the rarest (1 - least) of the tokens of either title, so only these are joined.
+    Prefix filter: such a pair shares one of the rarest (1 - least) of the tokens, and one, of either side.  A row stands at each of
+    these with its size, and only rows of sizes that allow the similarity meet: sizes are cut into classes, a row asks its own and the next.
     """
-    t = items.select(F.col(key).alias("k"), text.title_tokens(F.col(title)).alias("w"), text.title_numbers(F.col(title)).alias("n"))
-    x = t.select("k", F.explode("w").alias("w"))
-    rare = x.join(x.groupBy("w").agg(F.count("*").alias("df")), "w").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s"))
-    lead = rare.select("k", F.explode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * least) + 1).cast("int"))).alias("z")).select("k", "z.w")
-    pairs = lead.select(F.col("k").alias("a"), "w").join(lead.select(F.col("k").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
+    t = rows.select(F.col(key).alias("k"), F.col(tokens).alias("w")).where(F.size(tokens) > 0)
+    x = t.select("k", F.size("w").alias("n"), F.explode("w").alias("w"))
+    common = x.groupBy("w").agg(F.count("*").alias("df"))
+    s = x.join(common, "w").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s"))
+    step = -math.log(least) * 1.0001
+    lead = s.select("k", "n", F.floor(F.log("n") / step).alias("c"), F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("z"))
+    lead = lead.select("k", "n", "c", F.col("z.w").alias("w"))
+    asks = lead.withColumn("c", F.explode(F.array(F.col("c"), F.col("c") + 1)))
+    near = (F.col("p.n") >= F.col("q.n") * least) & (F.col("q.n") >= F.col("p.n") * least)
+    # In one class the smaller key asks; in the next every row does, so each pair is found from the lower class or the smaller key.
+    same = F.floor(F.log(F.col("p.n")) / step) == F.col("q.c")
+    once = ~same | (F.col("p.k") < F.col("q.k"))
+    met = asks.alias("p").join(lead.alias("q"), (F.col("p.w") == F.col("q.w")) & (F.col("p.c") == F.col("q.c"))).where(near & once)
+    pairs = met.select(F.least("p.k", "q.k").alias("a"), F.greatest("p.k", "q.k").alias("b")).distinct()
     for side in "ab":
-        pairs = pairs.join(t.select(F.col("k").alias(side), F.col("w").alias(f"w{side}"), F.col("n").alias(f"n{side}")), side)
+        pairs = pairs.join(t.select(F.col("k").alias(side), F.col("w").alias(f"w{side}")), side)
     sim = text.jaccard(F.col("wa"), F.col("wb"))
-    return pairs.where((sim >= least) & ~text.numbers_mismatch(F.col("na"), F.col("nb"))).select("a", "b", F.round(sim, 4).alias("similarity"))
+    return pairs.where(sim >= least).select("a", "b", F.round(sim, 4).alias("similarity"))
+
+
+def title_pairs(items: DataFrame, key: str, title: str, least: float) -> DataFrame:
+    """(a, b, similarity) of titles with token similarity >= least, numbers not contradicting."""
+    pairs = token_pairs(items.select(F.col(key), text.title_tokens(F.col(title)).alias("w")), key, "w", least)
+    numbers = items.select(F.col(key).alias("k"), text.title_numbers(F.col(title)).alias("n"))
+    for side in "ab":
+        pairs = pairs.join(numbers.select(F.col("k").alias(side), F.col("n").alias(f"n{side}")), side)
+    return pairs.where(~text.numbers_mismatch(F.col("na"), F.col("nb"))).select("a", "b", "similarity")
 
 
 def representative(items: DataFrame, cluster: str, authority: Column, length: Column, ts: str, key: str) -> DataFrame:
@@ -67,14 +88,50 @@ def complete_linkage(vectors: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
-def variants(quotes: DataFrame, frame: str, key: str, vector: str, cut: float = 0.42, most: int = 2000) -> DataFrame:
-    """(frame, key, variant): complete linkage inside each frame; variant is its least key.  Frames over `most` rows are an error, not cut."""
+def chained_linkage(vectors: np.ndarray, cut: float) -> np.ndarray:
+    """What complete_linkage gives, by nearest-neighbour chains: distances are made anew from the vectors, so memory follows n, not n^2."""
+    x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    members = {i: np.array([i]) for i in range(len(x))}
+    done, chain = [], []
+    while members or chain:
+        if not chain:
+            chain = [min(members)]
+        a = chain[-1]
+        others = np.concatenate([m for k, m in members.items() if k != a]) if len(members) > 1 else np.zeros(0, int)
+        if not len(others):
+            done.append(members.pop(a))
+            chain.pop()
+            continue
+        far = (1 - x[members[a]] @ x[others].T).max(axis=0)
+        starts = np.cumsum([0, *[len(m) for k, m in members.items() if k != a]])[:-1]
+        width = np.maximum.reduceat(far, starts)
+        names = [k for k in members if k != a]
+        b = names[int(np.argmin(width))]
+        if width.min() > cut:  # nothing merges with a any more
+            done.append(members.pop(a))
+            chain = [c for c in chain if c in members]
+        elif len(chain) > 1 and np.isclose(width[names.index(chain[-2])], width.min(), atol=0):
+            b = chain[-2]
+            members[min(a, b)] = np.concatenate([members.pop(a), members.pop(b)])
+            chain = chain[:-2]
+        else:
+            chain.append(b)
+    label = np.zeros(len(x), int)
+    for m in done:
+        label[m] = m.min()
+    return label
+
+
+def variants(quotes: DataFrame, frame: str, key: str, vector: str, cut: float = 0.42, matrix: int = 2000) -> DataFrame:
+    """(frame, key, variant): complete linkage inside each frame; variant is its least key.
+
+    A frame is what one task holds.  Up to `matrix` rows are linked by their distance matrix, more by chains without one.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a frame has more than {most} quotes")
         pdf = pdf.sort_values(key)
-        label = complete_linkage(np.stack(pdf[vector]).astype(float), cut)
+        x = np.stack(pdf[vector]).astype(float)
+        label = complete_linkage(x, cut) if len(x) <= matrix else chained_linkage(x, cut)
         keys = pdf[key].to_numpy()
         return pd.DataFrame({frame: pdf[frame], key: keys, "variant": [keys[label == v].min() for v in label]})
 

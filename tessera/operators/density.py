@@ -1,4 +1,4 @@
-"""Density clustering and projections of bounded groups (frames, candidate sets), in numpy; larger groups are an error."""
+"""Density clustering and projections of bounded groups (frames, candidate sets), in numpy."""
 
 from __future__ import annotations
 
@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame
 
 
 def hdbscan_leaf(x: np.ndarray, min_size: int, min_samples: int = 1) -> np.ndarray:
-    """Labels (-1: noise) of the leaves of the condensed cluster tree; O(n^2)."""
+    """Labels (-1: noise) of the leaves of the condensed cluster tree; time follows n^2, memory n."""
     n = len(x)
     if n < min_size:
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
-    core = np.sort(d, axis=1)[:, min(min_samples, n - 1)]
-    d = np.maximum(d, np.maximum(core[:, None], core[None]))
+
+    def away(i: int) -> np.ndarray:
+        return np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+
+    core = np.array([np.partition(away(i), k)[k] for i in range(n)]) if (k := min(min_samples, n - 1)) else np.zeros(n)
+
+    def row(i: int) -> np.ndarray:
+        """Mutual reachability of i: one row at a time, never a matrix."""
+        return np.maximum(away(i), np.maximum(core, core[i]))
+
     # Minimum spanning tree (Prim), then single linkage from its sorted edges.
-    best, near, edges = d[0].copy(), np.zeros(n, int), []
+    best, near, edges = row(0), np.zeros(n, int), []
     best[0] = np.inf
     inside = np.zeros(n, bool)
     inside[0] = True
@@ -24,8 +31,9 @@ def hdbscan_leaf(x: np.ndarray, min_size: int, min_samples: int = 1) -> np.ndarr
         j = int(np.argmin(np.where(inside, np.inf, best)))
         edges.append((best[j], int(near[j]), j))
         inside[j] = True
-        closer = ~inside & (d[j] < best)
-        best[closer], near[closer] = d[j][closer], j
+        d = row(j)
+        closer = ~inside & (d < best)
+        best[closer], near[closer] = d[closer], j
     node, members, children = list(range(n)), {i: [i] for i in range(n)}, {}
 
     def root(i: int) -> int:
@@ -59,12 +67,13 @@ def hdbscan_leaf(x: np.ndarray, min_size: int, min_samples: int = 1) -> np.ndarr
     return labels
 
 
-def clustered(rows: DataFrame, group: str, key: str, vector: str, min_size: int = 3, most: int = 3000) -> DataFrame:
-    """(group, key, cluster) by density inside each group on unit vectors; noise is a cluster of its own (its key); cluster is the least key."""
+def clustered(rows: DataFrame, group: str, key: str, vector: str, min_size: int = 3) -> DataFrame:
+    """(group, key, cluster) by density inside each group on unit vectors; noise is a cluster of its own (its key); cluster is the least key.
+
+    A group is what one frame or candidate list holds: the tree needs all of it in one task.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group has more than {most} rows")
         pdf = pdf.sort_values(key)
         x = np.stack(pdf[vector]).astype(float)
         label = hdbscan_leaf(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), min_size)
@@ -84,3 +93,24 @@ def plane(rows: DataFrame, key: str, vector: str) -> DataFrame:
     v = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     p = PCA(k=2, inputCol="v", outputCol="p").fit(v).transform(v).select(key, vector_to_array("p").alias("p"))
     return p.select(key, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def absorbed(points: DataFrame, key: str, cluster: str, x: str = "x", y: str = "y", reach: float = 2.0) -> DataFrame:
+    """(key, cluster): noise (a null cluster) joins the nearest centroid if it lies within `reach` times the 0.9 quantile of its members' distances.
+
+    Centroids (a row per cluster) meet only the noise of the same or an adjacent square, as wide as the longest reach, so the join has keys.
+    """
+    from pyspark.sql import functions as F
+
+    own = points.where(F.col(cluster).isNotNull())
+    mid = own.groupBy(cluster).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"))
+    gap = lambda: F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
+    limit = own.join(mid, cluster).groupBy(cluster).agg((F.percentile(gap(), F.lit(0.9)) * reach).alias("_limit"))
+    mid = mid.join(limit, cluster).withColumnRenamed(cluster, "_to")
+    wide = mid.agg(F.max("_limit")).first()[0] or 1.0
+    square = lambda c: F.floor(F.col(c) / wide)
+    mid = mid.withColumn("_i", square("_x")).withColumn("_j", square("_y"))
+    noise = points.where(F.col(cluster).isNull()).withColumn("_i", F.explode(F.array(*[square(x) + k for k in (-1, 0, 1)]))).withColumn("_j", F.explode(F.array(*[square(y) + k for k in (-1, 0, 1)])))
+    met = noise.join(mid, ["_i", "_j"]).withColumn("_gap", gap()).where("_gap <= _limit")
+    best = met.groupBy(key).agg(F.min_by("_to", F.struct("_gap", "_to")).alias("_to"))
+    return points.join(best, key, "left").select(key, F.coalesce(cluster, "_to").alias(cluster))

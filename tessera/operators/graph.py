@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import stored
+
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """Edges both ways, not made distinct: what walks them is."""
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -17,6 +20,7 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     front = seen
     for hop in range(1, depth + 1):
         front = front.join(both, front.node == both.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
+        front = stored(front, "frontier") if hop < depth else front  # or each later hop would walk all earlier ones anew
         seen = seen.unionByName(front)
     return seen
 
@@ -50,15 +54,23 @@ def contradictions(relations: DataFrame, subject: str, object_: str, support: st
     return g.where((F.col("total") > 0) & (F.col("support") >= share * F.col("total")) & (F.col("oppose") >= share * F.col("total"))).withColumn("balance", F.least("support", "oppose"))
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): least node reachable, by label propagation; stops when a round changes nothing."""
-    both = undirected(edges).persist()
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(most_rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels.node == near.src, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        new = new.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        if new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
-        labels = new
-    return labels
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable from each node of edges (src, dst), however long the way is.
+
+    Rounds of contraction: every node points to its neighbour of the least hash, and edges are drawn anew between what was pointed to.
+    Chains shrink by a constant factor a round, so the rounds follow the logarithm of the nodes; round tables are stored.
+    """
+    left = edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    every = stored(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct(), "nodes")
+    owner = every.select("node", F.col("node").alias("top"))
+    left = stored(left.where("a < b"), "edges")
+    while not left.isEmpty():
+        either = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = either.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("m"))
+        hop = stored(best.select(F.col("a").alias("x"), F.when(F.col("m.h") < F.xxhash64("a"), F.col("m.b")).otherwise(F.col("a")).alias("y")), "hops")
+        owner = owner.join(hop, owner.top == hop.x, "left").select("node", F.coalesce("y", "top").alias("top"))
+        owner = stored(owner, "owners")
+        left = left.join(hop, left.a == hop.x).select("b", F.col("y").alias("p")).join(hop, F.col("b") == hop.x).select("p", F.col("y").alias("q"))
+        left = stored(left.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct(), "edges")
+    least = owner.groupBy("top").agg(F.min("node").alias("component"))
+    return owner.join(least, "top").select("node", "component")

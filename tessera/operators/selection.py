@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def featured(rows: list, most: int = 8, owner: str = "owner", owner_cap: int = 4, stage: str = "stage", stage_cap: int = 3, pinned: str = "pinned") -> list:
-    """Greedy choice from ranked rows (a bounded list): pinned first, caps per owner and stage, then back-fill in rank order."""
+def featured(rows: list, most: int = 8, owner: str = "owner", owner_cap: int = 4, stage: str = "stage", stage_cap: int = 3, pinned: str = "pinned", live: str = "live") -> list:
+    """Greedy choice from ranked rows (a bounded list): pinned first, caps per owner and stage, then back-fill in rank order.
+
+    Rows that are not live are left out unless pinned; pinned rows count towards the caps.
+    """
+    rows = [r for r in rows if r[pinned] or r.get(live, True)]
     order = sorted(range(len(rows)), key=lambda i: (not rows[i][pinned], i))
     owners, stages, chosen = Counter(), Counter(), []
     for i in order:
@@ -24,6 +28,13 @@ def featured(rows: list, most: int = 8, owner: str = "owner", owner_cap: int = 4
     return [rows[i] for i in chosen]
 
 
+def reachable(rows: DataFrame, order: list[Column], most: int = 8, owner: str = "owner", stage: str = "stage", pinned: str = "pinned", live: str = "live") -> DataFrame:
+    """The rows, in order, that featured() can choose from all of rows: the first `most` of each (pinned, owner, stage) and of all others."""
+    some = rows.where(F.col(pinned) | F.col(live))
+    by = Window.partitionBy(pinned, owner, stage).orderBy(*order)
+    return some.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= most).drop("_r").orderBy(*order)
+
+
 def capped_sum(terms: dict[str, tuple[Column, float, float]], penalty: Column) -> Column:
     """Sum over terms of min(value * weight, cap), less the penalty; nulls count as 0."""
     total = F.lit(0.0)

@@ -32,9 +32,9 @@ def relation_upsert(spark, d):
     return r.select("s", "p", "o", "weight", F.size("evidence").cast("long").alias("entries"), F.col("evidence")[0]["at"].alias("latest"))
 
 
-@query("select s, p, o, count(*) - count(case when article % 3 = 0 then 1 end) as weight from (select user_id % 20 as s, event_type as p, event_id % 15 as o, event_id as article from events where event_id < 500) group by 1, 2, 3 having count(*) > count(case when article % 3 = 0 then 1 end)")
+@query("select s, p, o, count(*) - count(case when article % 3 = 0 then 1 end) as weight from (select user_id % 20 as s, event_type as p, event_id % 15 as o, event_id as article from events) group by 1, 2, 3 having count(*) > count(case when article % 3 = 0 then 1 end)")
 def remove_contribution(spark, d):
-    m = _mentions(spark, d).where("article < 500")
+    m = _mentions(spark, d)
     out = claims.without_articles(claims.relations(m, 1 << 20), m.where("article % 3 = 0").select("article"))
     return out.select("s", "p", "o", "weight")
 
@@ -117,7 +117,7 @@ def issue_matches(spark, d):
 
 @query()
 def density_clusters(spark, d):
-    return density.clustered(table(spark, d, "embeddings").where("vec_id < 1000"), "label", "vec_id", "embedding")
+    return density.clustered(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query()

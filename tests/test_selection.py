@@ -5,10 +5,16 @@ from pyspark.sql import functions as F
 from tessera.operators import selection
 
 
-def test_featured():
+def test_featured(spark):
     rows = [{"id": i, "owner": "a" if i < 6 else "b", "stage": i % 3, "pinned": i == 9} for i in range(10)]
-    got = [r["id"] for r in selection.featured(rows, most=8)]
-    assert got[0] == 9 and got[1:5] == [0, 1, 2, 3] and 4 not in got[:7] and len(got) == 8 and {6, 7, 8} <= set(got)
+    # 9 is pinned (owner b, stage 0); 4 and 5 exceed owner a's four, 6 exceeds stage 0's three; back-fill takes the first left out.
+    assert [r["id"] for r in selection.featured(rows, most=8)] == [9, 0, 1, 2, 3, 7, 8, 4]
+    asleep = [{**r, "live": r["id"] not in (0, 9)} for r in rows]
+    assert [r["id"] for r in selection.featured(asleep, most=3)] == [9, 1, 2]
+    many = [{"id": i, "owner": i % 2, "stage": i % 7, "pinned": i % 500 == 499, "live": i % 3 > 0} for i in range(2000)]
+    df = spark.createDataFrame([tuple(r.values()) for r in many], "id long, owner long, stage long, pinned boolean, live boolean").repartition(5)
+    few = [r.asDict() for r in selection.reachable(df, [F.col("id")]).collect()]
+    assert len(few) < 400 and selection.featured(few) == selection.featured(many)
 
 
 def test_episodes(spark):
