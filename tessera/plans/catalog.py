@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.plans import knowledge, media, newsroom, routes
+from tessera.plans import desk, knowledge, media, newsroom, routes
 
 
 def queries() -> dict:
-    return media.QUERIES | knowledge.QUERIES | routes.QUERIES | newsroom.QUERIES
+    return media.QUERIES | knowledge.QUERIES | routes.QUERIES | newsroom.QUERIES | desk.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return media.SQL | knowledge.SQL | routes.SQL | newsroom.SQL
+    return media.SQL | knowledge.SQL | routes.SQL | newsroom.SQL | desk.SQL
