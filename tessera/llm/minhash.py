@@ -8,7 +8,8 @@ XOR population count of two sketches estimates their similarity, and a spanning
 is emitted, never all pairs.  In a split bucket the documents that its main component does not yet hold are then
 compared with every document of it whose set size allows the similarity.  (4) The components over-cover the true links; each is compared on full
 sets, again in bounded blocks with anchors.  Documents of a crowded component that its main class does not yet
-hold are then compared with every block, so no link between different classes is lost to the split.
+hold are then compared with every block, so no link between different classes is lost to the split; where these are many (a family of
+documents alike, but not enough), only pairs that share one of their rarest shingles are.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ SKETCH_BITS = 512
 BLOCK, ANCHORS = 128, 12
 #: Rows and probes of a block where a split bucket is completed.
 SIDE = 1024
+#: Copies of a component's texts, on average, that may be sent to meet its minor classes; beyond, rarest shingles propose the pairs.
+SPREAD = 4
+#: Ratio of the size classes of these.
+RATIO = 1.05
 #: Estimated similarity from which a banded pair goes on to the exact comparison: 5 standard errors below 0.75.
 SCREEN = 0.53
 
@@ -275,6 +280,52 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _sets(rows: DataFrame) -> DataFrame:
+    """Rows (component, id, class, minor, f1, f2, text): (component, id, class, minor, shingles), once for each set."""
+
+    def run(batches):
+        for batch in batches:
+            f1, f2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            keep, sets = [], []
+            for k, s in enumerate(shingle_sets(batch.column(6))):
+                if fingerprint(s) == (f1[k], f2[k]):  # a doc_id may stand in several rows
+                    keep.append(k)
+                    sets.append(s.astype(np.int64))
+            part = batch.take(pa.array(keep, pa.int64()))
+            at = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], values], names=["component", "id", "class", "minor", "shingles"])
+
+    return rows.mapInArrow(run, "component long, id long, class long, minor boolean, shingles array<long>").dropDuplicates(["component", "id"])
+
+
+def _probed(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a minor row and one of another class that may be similar: they share one of their rarest shingles.
+
+    Two sets of sizes x and y must have t / (1 + t) * (x + y) shingles in common, so they share one of the x - that + 1 rarest of x (and likewise of y).
+    Sizes are cut into classes of RATIO, and each row stands under its rarest shingles once for each class that a partner may have,
+    no deeper than the smallest partner there asks for: what a whole family of documents shares is met only where it must be.
+    """
+    t = max(percent, 1) / 100
+    step = float(np.log(RATIO))
+    each = sets.select("component", "id", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("component", "shingle").agg(F.count("*").alias("df"))
+    ordered = each.join(common, ["component", "shingle"]).groupBy("component", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "shingle"))), lambda z: z["shingle"]).alias("rare"))
+    x = F.col("x")
+    rows = sets.select("component", "id", "class", "minor", F.size("shingles").alias("x")).join(ordered, ["component", "id"]).withColumn("c", F.floor(F.log(x) / step))
+    far = int(np.ceil(-np.log(t) / step)) + 1
+    rows = rows.withColumn("d", F.explode(F.sequence(F.lit(-far), F.lit(far))))
+    least = F.greatest(F.floor(F.exp((F.col("c") + F.col("d")) * step)), F.ceil(x * t))
+    deep = (x - F.ceil(F.lit(t / (1 + t)) * (x + least) - 1e-6) + 1).cast("int")
+    rows = rows.withColumn("deep", F.least(deep, x)).where((F.col("deep") > 0) & (least * t <= x))
+    keys = rows.select("component", "id", "class", "minor", "x", F.least(F.col("c"), F.col("c") + F.col("d")).alias("low"), F.abs("d").alias("apart"), F.signum("d").cast("int").alias("side"), F.explode(F.slice("rare", F.lit(1), F.col("deep"))).alias("shingle"))
+    keys = durable(keys, "prefixes")
+    on = ["component", "low", "apart", "side", "shingle"]  # the smaller of two classes meets the larger, not its like
+    probes = keys.where("minor").withColumn("side", -F.col("side")).select(*on, F.col("id").alias("a"), F.col("class").alias("ca"), F.col("x").alias("xa"))
+    met = probes.join(keys.select(*on, F.col("id").alias("b"), F.col("class").alias("cb"), F.col("x").alias("xb")), on)
+    return met.where((F.col("ca") != F.col("cb")) & (100 * F.least("xa", "xb") >= percent * F.greatest("xa", "xb"))).select("a", "ca", "b", "cb").distinct()
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """By block, in as many partitions as the session deals shuffles to (not merged: a task holds whole texts)."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -329,10 +380,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         counts = own.groupBy("component", "class").agg(F.count("*").alias("n"))
         main = counts.groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
         own = durable(own.join(main, "component").select("component", "id", "class", (F.col("class") != F.col("main")).alias("minor")), "classes")
+        mass = own.groupBy("component").agg(F.count("*").alias("n"), F.count_if("minor").alias("m"))
+        mass = mass.where(F.col("m") * F.ceil(F.col("n") / (BLOCK - ANCHORS)) > SPREAD * F.col("n")).select("component")
+        many = durable(own.join(mass, "component", "left_semi"), "many")
+        own = own.join(mass, "component", "left_anti")
         more = own.where("minor").join(split.select("component", "block").distinct(), "component").select("block", "id", "class", "minor")
         rest = split.join(own.select("id", "class"), "id").select("block", "id", "class", F.lit(False).alias("minor"))
-        found = _confirmed(with_text(rest.unionByName(more)), percent)
-        final = connected_components(firm.unionByName(durable(found, "links")))
+        found = durable(_confirmed(with_text(rest.unionByName(more)), percent), "links")
+        if not many.isEmpty():  # too many rows outside of the main class to send each to every block
+            sets = durable(_sets(many.join(print_of, "id").join(texts, "id").select("component", "id", "class", "minor", "f1", "f2", "text")), "shingles")
+            pairs = durable(_probed(sets, percent), "pairs")
+            sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+            pairs = pairs.join(sized, "a").withColumn("block", F.xxhash64(F.lit(11), "a", F.pmod(F.xxhash64(F.lit(12), "b"), F.col("chunks"))))
+            asked = pairs.select("block", F.col("a").alias("id"), F.col("ca").alias("class"), F.lit(True).alias("minor")).distinct()
+            asked = asked.unionByName(pairs.select("block", F.col("b").alias("id"), F.col("cb").alias("class"), F.lit(False).alias("minor")))
+            found = found.unionByName(durable(_confirmed(with_text(asked), percent), "links"))
+        final = connected_components(firm.unionByName(found))
     final = final.withColumnRenamed("node", "id").groupBy("id").agg(F.min("component").alias("component"))
     whole = groups.join(final, "id", "left").select("f1", "f2", F.col("n_shingles").alias("size"), F.coalesce("component", "id").alias("component"))
     same = (sig.f1 == whole.f1) & (sig.f2 == whole.f2) & (sig.n_shingles == whole["size"])

@@ -76,6 +76,35 @@ def test_minhash_crowded_group(spark, monkeypatch):
     assert near(spark, rows) == brute(rows)
 
 
+def test_minhash_family_below_the_threshold(spark, monkeypatch):
+    """5000 documents of one template, all pairs near 0.6, with a few true copies among them: the rows that meet stay few, and no link is lost."""
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(79)]
+    texts = [" ".join(base + [f"u{rng.randrange(10**9)}" for _ in range(25)]) for _ in range(5000)]
+    texts += [texts[i] + " end" for i in range(0, 5000, 500)]
+    met = []
+    probed = minhash._probed
+    monkeypatch.setattr(minhash, "_probed", lambda *a: met.append(probed(*a)) or met[-1])
+    got = near(spark, list(enumerate(texts)))
+    assert {i: c for i, (_, c) in got.items() if i != c} == {5000 + k: 500 * k for k in range(10)}
+    assert len(met) == 1 and met[0].count() < 10_000
+
+
+def test_minhash_many_minor_classes(spark, monkeypatch):
+    """The rarest shingles propose every pair that brute force links, whatever the sizes."""
+    monkeypatch.setattr(minhash, "BLOCK", 24)
+    monkeypatch.setattr(minhash, "ANCHORS", 2)
+    monkeypatch.setattr(minhash, "SPREAD", 0)
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(70)]
+    texts = []
+    for _ in range(150):
+        t = base + [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 40))]
+        texts += [" ".join(t)] + [" ".join(t + [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(25))])] * rng.randrange(2)
+    rows = list(enumerate(texts))
+    assert near(spark, rows) == brute(rows)
+
+
 def test_minhash_shared_passage(spark, monkeypatch):
     """Short near copies that are mostly a passage which many unlike long documents carry too: all their buckets are crowded."""
     monkeypatch.setattr(minhash, "BLOCK", 2)
