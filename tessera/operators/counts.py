@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scores import nearest_rank, stage
+from tessera.functions.scores import stage
 
 
 def days_before(as_of: Column, days: int) -> Column:
@@ -54,15 +54,23 @@ def shares(items: DataFrame, key: Column, buckets: list[str]) -> DataFrame:
     return n.join(F.broadcast(total)).select("bucket", "n", F.bround(F.col("n") * 100.0 / F.col("total"), 0).cast("long").alias("percent"))
 
 
+def ranked_value(rows: DataFrame, column: str, p: float) -> DataFrame:
+    """One row: the value at place int(p * (n - 1)) of the sorted column.  Only distinct values and their counts are sorted."""
+    n = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumn("upto", F.sum("c").over(up)).withColumn("all", F.sum("c").over(Window.partitionBy()))
+    return n.where(F.col("upto") > F.floor((F.col("all") - 1) * p)).agg(F.min("v").alias("value"))
+
+
 def stage_scale(totals: DataFrame, total: str, week: str, least: dict[str, int]) -> DataFrame:
     """One row of thresholds from nearest-rank percentiles of all frames."""
-    s = totals.agg(F.sort_array(F.collect_list(total)).alias("t"), F.sort_array(F.collect_list(week)).alias("w"))
-    q1, q2, w2 = nearest_rank(F.col("t"), 0.25), nearest_rank(F.col("t"), 0.5), nearest_rank(F.col("w"), 0.5)
+    q1, q2, w2 = (ranked_value(totals, c, p).select(F.col("value").alias(n)) for c, p, n in ((total, 0.25, "_q1"), (total, 0.5, "_q2"), (week, 0.5, "_w2")))
+    s = q1.crossJoin(q2).crossJoin(w2)  # one row each
     return s.select(
-        F.greatest(F.lit(least["emerging"]), q1).alias("emerging"),
-        F.greatest(F.lit(least["resurfacing"]), q1).alias("resurfacing"),
-        F.greatest(F.lit(least["mainstream"]), q2).alias("mainstream"),
-        F.greatest(F.lit(least["floor"]), F.floor(w2 / 2)).alias("floor"),
+        F.greatest(F.lit(least["emerging"]), "_q1").alias("emerging"),
+        F.greatest(F.lit(least["resurfacing"]), "_q1").alias("resurfacing"),
+        F.greatest(F.lit(least["mainstream"]), "_q2").alias("mainstream"),
+        F.greatest(F.lit(least["floor"]), F.floor(F.col("_w2") / 2)).alias("floor"),
         F.lit(least["baseline"]).alias("baseline"),
     )
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text, vectors
-from tessera.operators import cluster, counts, graph, review, search, series, writes
+from tessera.operators import cluster, counts, graph, review, search, series, stories, writes
 from tessera.sources.tables import table
+from tessera.storage import stored
 from tessera.streaming import keywords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,21 +549,8 @@ def issue_trend(spark, d):
 
 @query()
 def simhash_pairs(spark, d):
-    """Documents whose 64-bit simhashes differ in at most 6 bits, found by 7 bands (pigeonhole) and bit_count."""
-    words = F.split(F.lower("text"), r"\s+")
-    docs = table(spark, d, "documents").select("doc_id", words.alias("w"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.xxhash64(F.slice("w", i, 4))))).alias("h"))
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{i}") for i in range(64)]
-    bits = grams.groupBy("doc_id").agg(*votes)
-    code = F.lit(0).cast("long")
-    for i in range(64):
-        code = code.bitwiseOR(F.when(F.col(f"v{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    sims = bits.select("doc_id", code.alias("s"))
-    cuts = [(k * 9, 9 if k < 6 else 10) for k in range(7)]
-    bands = sims.select("doc_id", "s", F.posexplode(F.array(*[F.shiftrightunsigned("s", a).bitwiseAND(F.lit((1 << n) - 1)) for a, n in cuts])).alias("band", "key"))
-    a, b = (bands.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), "band", "key") for x in "ab")
-    near = a.join(b, ["band", "key"]).where("a < b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 6)
-    return near.select("a", "b", F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))).alias("distance")).distinct()
+    hashed = table(spark, d, "documents").select("doc_id", stories.simhash("text").alias("h"))
+    return stories.simhash_pairs(stored(hashed, "simhashes"), "doc_id", "h")
 
 
 @query(r"""

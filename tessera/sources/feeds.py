@@ -23,11 +23,22 @@ def all_feeds(spark: SparkSession, paths: list[str], known: DataFrame) -> tuple[
     return _item(new, F.col("title"), F.col("link"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("published"), "news"), marks
 
 
+def entries(raw: DataFrame, value: str = "value") -> DataFrame:
+    """(title, url, published) of RSS items, one XML element a row; what does not parse has no title."""
+    x = raw.select(F.from_xml(value, "title string, link string, pubDate string").alias("x")).select("x.*")
+    return x.select(F.trim("title").alias("title"), canonical_url(F.trim("link")).alias("url"), _mail_date(F.col("pubDate")).alias("published"))
+
+
+def _mail_date(text: Column) -> Column:
+    """A date as e-mail writes it, without its weekday."""
+    when = F.regexp_replace(text, "^[A-Za-z]{3}, *", "")
+    return F.coalesce(*[F.try_to_timestamp(when, F.lit(f"d MMM yyyy HH:mm:ss {z}")) for z in ("z", "xx")])
+
+
 def feed_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Items of several RSS files with the file each stands in."""
     x = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string").load(paths)
-    when = F.regexp_replace("pubDate", "^[A-Za-z]{3}, *", "")
-    return x.select(F.trim("title").alias("title"), F.trim("link").alias("link"), F.coalesce(*[F.try_to_timestamp(when, F.lit(f"d MMM yyyy HH:mm:ss {z}")) for z in ("z", "xx")]).alias("published"), F.input_file_name().alias("file"))
+    return x.select(F.trim("title").alias("title"), F.trim("link").alias("link"), _mail_date(F.col("pubDate")).alias("published"), F.input_file_name().alias("file"))
 
 
 def pages(html: DataFrame, boilerplate: list[str]) -> DataFrame:

@@ -31,7 +31,11 @@ def tagged_csv(spark: SparkSession, path: str, kinds: list[str]) -> tuple[DataFr
     """(rows, rejects) of a CSV whose `type` column names one of the kinds; rejects carry a reason."""
     names = "type name url notes category source_type office district party location election_date key_priorities".split()
     schema = ", ".join(f"{c} string" for c in [*names, "_bad"])
-    rows = spark.read.csv(path, header=True, schema=schema, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE")
+    return tagged(spark.read.csv(path, header=True, schema=schema, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE"), kinds)
+
+
+def tagged(rows: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of rows (type, name, _bad: the text that did not parse, ...); rejects carry a reason."""
     reason = F.when(F.col("_bad").isNotNull(), "malformed").when(F.col("type").isNull() | ~F.lower(F.trim("type")).isin(kinds), "unknown type").when(F.coalesce(F.trim("name"), F.lit("")) == "", "missing name")
     rows = rows.withColumn("reason", reason)
     return rows.where("reason is null").drop("reason", "_bad"), rows.where("reason is not null")

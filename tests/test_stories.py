@@ -103,3 +103,16 @@ def test_greedy_clusters(spark):
     rows = [(1, 1, [1.0, 0.0]), (1, 2, [0.9, 0.1]), (1, 3, [0.0, 1.0]), (2, 4, [1.0, 0.0])]
     got = {r.k: r.cluster for r in stories.greedy_clusters(spark.createDataFrame(rows, "g long, k long, v array<double>"), "g", "k", "v", 0.9).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_simhash_pairs(spark):
+    rng = random.Random(2)
+    hashes = [rng.getrandbits(64) for _ in range(60)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), k)) for k in range(10) for h in hashes[:6]]  # k bits away; 0: copies
+    signed = [h - 2**64 if h >= 2**63 else h for h in hashes]
+    got = {(r.a, r.b, r.distance) for r in stories.simhash_pairs(spark.createDataFrame(list(enumerate(signed)), "k long, h long"), "k", "h").collect()}
+    first = {h: hashes.index(h) for h in hashes}
+    want = {(first[h], i, 0) for i, h in enumerate(hashes) if first[h] != i}
+    names = sorted(first.values())
+    want |= {(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in names for b in names if a < b and (hashes[a] ^ hashes[b]).bit_count() <= 6}
+    assert got == want
