@@ -4,8 +4,8 @@ A vector is approximated by the sum of BOOKS codewords of the full dimension, ch
 and stored as that many bytes with the norm of what the sum leaves over.  A query's inner products with all codewords are
 tabulated once; a code's score is a sum of table entries.  By Cauchy-Schwarz the true score is within |query| * |left over| of it, so each
 code has a lower and an upper bound: every vector whose upper bound reaches the top-th lower bound of its block is scored again on
-the original, and no true neighbour is lost, however many copies or near copies there are.
-Codebooks are fitted on a bounded sample by hash (FIT rows, a documented parameter); every vector is encoded.
+the original, and no true neighbour is lost, however many copies or near copies there are.  A coarse partition into cells lets the same kind of bound
+rule out whole cells.  Codebooks and cells are fitted on a bounded sample by hash (FIT rows, a documented parameter); every vector is encoded.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ BOOKS, WORDS, BEAM = 32, 256, 4
 FIT = 16_384
 #: Vectors of a code block and queries of a query block.
 CODES, QUERIES = 8192, 512
+#: Cells at most, and the share (one of so many) that a query searches before bounds rule cells out.
+CELLS, PROBED = 1024, 16
 
 
 def usable(vector: Column) -> Column:
@@ -102,16 +104,27 @@ def _best(ids: np.ndarray, s: np.ndarray, bound: np.ndarray, vectors: np.ndarray
     return -score[first], ids[on][first]
 
 
+def _cell_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, distance to it) of each row."""
+    with np.errstate(all="ignore"):
+        cell = np.argmin(np.nan_to_num((centres**2).sum(axis=1) - 2 * x @ centres.T, nan=np.inf), axis=1)
+        return cell, np.sqrt(((x - centres[cell]) ** 2).sum(axis=1))
+
+
 def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) where `query` holds, its nearest by inner product.
 
-    The query's own row is no candidate; scores are exact, in double precision; ties go to the smaller vec_id; fewer than `top` candidates: all.  Vectors that are not usable(),
+    The query's own row is no candidate; scores are exact, in double precision on the original vectors; ties go to the smaller vec_id; fewer than `top` candidates: all.  Vectors that are not usable(),
     of another length than most, or without a vec_id take no part.  A vec_id that repeats is taken once (its largest vector).
-    Queries meet code blocks, not codes: (queries / QUERIES) * (vectors / CODES) block rows, each returning its own `top`.
+
+    Vectors lie in cells around centres of the sample, each of one or more code blocks.  A query first searches the cells that promise most; its score at `top` then rules out every cell
+    whose bound (the centre's score and |query| times the cell's radius) is below, and only the others are searched too.  So no neighbour is lost, and what has clusters is searched in part.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).withColumn("_q", F.coalesce(query, F.lit(False)))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "_q")
+    kind = "double" if vectors.schema["embedding"].dataType.elementType.typeName() != "float" else "float"
+    real = np.float64 if kind == "double" else np.float32
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), "_q")
     rows = durable(rows.groupBy("vec_id").agg(F.max("embedding").alias("embedding"), F.max("_q").alias("_q")), "vectors")
     lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     none = "query_id long, rank int, vec_id long, score double"
@@ -122,40 +135,51 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
     n = lengths[0]["count"]
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), "vec_id"), 11) / F.lit(2.0**53)
     fitted = rows.where(unit < min(1.0, 1.1 * FIT / n)).select("vec_id", "embedding").limit(2 * FIT).toArrow().sort_by("vec_id")
-    books = spark.sparkContext.broadcast(fit(_matrix(fitted.column("embedding").combine_chunks())))  # BOOKS * WORDS vectors
+    sample = _matrix(fitted.column("embedding").combine_chunks())
+    sample = sample if len(sample) else np.zeros((1, dim))
+    books = spark.sparkContext.broadcast(fit(sample))  # BOOKS * WORDS vectors
+    centres = k_means(sample, max(1, min(CELLS, n // CODES)), np.random.Generator(np.random.PCG64(4)))
+    shared = spark.sparkContext.broadcast(centres)  # CELLS vectors at most
 
-    blocks = max(1, -(-n // CODES))
-    asked = max(1, -(-rows.where("_q").count() // QUERIES))
+    def placed(stream):
+        for batch in stream:
+            cell, far = _cell_of(_matrix(batch.column("embedding")), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), batch.column("_q"), pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "embedding", "_q", "cell", "far"])
+
+    with batches(spark, 4096):
+        rows = durable(rows.mapInArrow(placed, f"vec_id long, embedding array<{kind}>, _q boolean, cell int, far double"), "placed")
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).orderBy("cell").collect()  # CELLS rows at most
+    radius = np.full(len(centres), -np.inf)
+    radius[[r["cell"] for r in cells]] = [np.inf if np.isnan(r["radius"]) else r["radius"] for r in cells]
+    parts = {r["cell"]: -(-r["n"] // CODES) for r in cells}
+    table = spark.createDataFrame(list(parts.items()), "cell int, parts int")
+    block = F.xxhash64("cell", F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.col("parts")))
 
     def coded(stream):
-        parts: dict[int, list] = {}
+        held: dict[int, list] = {}
 
-        def out(block):
-            columns = (np.concatenate(x).tobytes() for x in zip(*parts.pop(block), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in columns)], names=["block", "ids", "codes", "errors", "vectors"])
+        def out(name):
+            columns = [np.concatenate(x) for x in zip(*held.pop(name), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0][:1]), *(pa.array([x.tobytes()], pa.binary()) for x in columns[1:])], names=["cell", "ids", "codes", "errors", "vectors"])
 
         for batch in stream:
-            block, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            name, cell, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
             for a in range(0, len(x), 256):
-                codes, _ = encode(x[a : a + 256], books.value)
-                errors = left_over(x[a : a + 256], codes, books.value)
-                for k in np.unique(block[a : a + 256]):
-                    own = block[a : a + 256] == k
-                    parts.setdefault(int(k), []).append((ids[a : a + 256][own], codes[own], errors[own], x[a : a + 256][own].astype(np.float32)))
-            for k in [k for k in parts if k != block[-1]]:
+                part = x[a : a + 256]
+                codes, _ = encode(part, books.value)
+                errors = left_over(part, codes, books.value)
+                for k in np.unique(name[a : a + 256]):
+                    own = name[a : a + 256] == k
+                    held.setdefault(int(k), []).append((cell[a : a + 256][own], ids[a : a + 256][own], codes[own], errors[own], part[own].astype(real)))
+            for k in [k for k in held if k != name[-1]]:
                 yield out(k)
-        for k in list(parts):
+        for k in list(held):
             yield out(k)
 
-    part = F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)).alias("block")
-    dealt = rows.select(part, "vec_id", "embedding").repartition(max(blocks, 6), "block").sortWithinPartitions("block", "vec_id")
+    dealt = rows.join(F.broadcast(table), "cell").select(block.alias("block"), "cell", "vec_id", "embedding")  # a row for each cell
+    dealt = dealt.repartition(max(sum(parts.values()), 6), "block").sortWithinPartitions("block", "vec_id")
     with batches(spark, 4096):
-        index = durable(dealt.mapInArrow(coded, "block long, ids binary, codes binary, errors binary, vectors binary"), "codes")
-
-    group = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(asked)).alias("group")
-    queries = rows.where("_q").select(group, "vec_id", "embedding").groupBy("group").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
-    pairs = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)))).withColumn("group", F.col("group").cast("long"))
-    pairs = pairs.join(queries, "group")
+        index = durable(dealt.mapInArrow(coded, "cell int, ids binary, codes binary, errors binary, vectors binary"), "codes")
 
     def searched(stream):
         largest = np.sqrt((books.value.astype(np.float64) ** 2).sum(axis=2)).max(axis=1).sum()
@@ -166,24 +190,63 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
                 codes = np.frombuffer(batch.column("codes")[r].as_py(), np.uint8).reshape(len(ids), -1)
                 errors = np.frombuffer(batch.column("errors")[r].as_py(), np.float64)
-                vectors = np.frombuffer(batch.column("vectors")[r].as_py(), np.float32).reshape(len(ids), -1)
+                own = np.frombuffer(batch.column("vectors")[r].as_py(), real).reshape(len(ids), -1)
                 q = batch.column("q")[r].values
-                q_ids, x = q.field("vec_id").to_numpy(), _matrix(q.field("embedding"))
-                for qid, v in zip(q_ids.tolist(), x, strict=True):
-                    table = books.value @ v.astype(np.float32)
-                    s = table[0][codes[:, 0]]
+                for qid, v in zip(q.field("vec_id").to_pylist(), _matrix(q.field("embedding")), strict=True):
+                    lookup = books.value @ v.astype(np.float32)
+                    s = lookup[0][codes[:, 0]]
                     for m in range(1, codes.shape[1]):
-                        s = s + table[m][codes[:, m]]
+                        s = s + lookup[m][codes[:, m]]
                     found.append(qid)
-                    near.append(_best(ids, s.astype(np.float64), (errors + rounding) * np.sqrt(v @ v), vectors, v, qid, top))
+                    near.append(_best(ids, s.astype(np.float64), (errors + rounding) * np.sqrt(v @ v), own, v, qid, top))
             lens = np.append(0, np.cumsum([len(i) for _, i in near])).astype(np.int32)
             s, i = (np.concatenate([x[k] for x in near]) if near else [] for k in (0, 1))
             values = pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(i, pa.int64())], names=["s", "vec_id"])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(lens), values)], names=["query_id", "near"])
 
-    small = pairs.select("group", "ids", "codes", "errors", "vectors", "q").repartition(max(6, min(blocks * asked, 10_000)), "group", F.xxhash64("ids"))
-    with batches(spark, 8):
-        lists = durable(small.mapInArrow(searched, "query_id long, near array<struct<s: double, vec_id: long>>"), "nearest")
+    def search(asked: DataFrame) -> DataFrame:
+        """(query_id, near) for queries (vec_id, embedding, cell): groups of QUERIES meet every block of their cell."""
+        asked = durable(asked, "asked")
+        size = durable(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")), "groups")
+        met_blocks = sum(r["groups"] * parts[r["cell"]] for r in size.collect())  # CELLS rows at most
+        group = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.col("groups"))
+        q = asked.join(F.broadcast(size), "cell").groupBy("cell", group.alias("group")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))  # a row for each cell
+        met = index.join(q, "cell").select("group", "ids", "codes", "errors", "vectors", "q")
+        met = met.repartition(max(6, min(met_blocks, 10_000)), "group", F.xxhash64("ids"))
+        with batches(spark, 8):
+            return durable(met.mapInArrow(searched, "query_id long, near array<struct<s: double, vec_id: long>>"), "nearest")
+
+    probes = max(1, -(-len(centres) // PROBED))
+
+    def asking(first: bool):
+        def run(stream):
+            for batch in stream:
+                x = _matrix(batch.column("embedding"))
+                with np.errstate(all="ignore"):
+                    length, mid = np.sqrt((x * x).sum(axis=1)), x @ shared.value.T
+                    promise = np.nan_to_num(mid + length[:, None] * np.where(np.isfinite(radius), radius, 0) / np.sqrt(dim), nan=np.inf)
+                    promise[:, ~(radius > -np.inf)] = -np.inf
+                    pick = np.zeros(mid.shape, bool)
+                    pick[np.arange(len(x))[:, None], np.argsort(-promise, axis=1, kind="stable")[:, :probes]] = True
+                    pick &= radius > -np.inf
+                    if not first:
+                        cut = np.array([-np.inf if c is None else c for c in batch.column("cut").to_pylist()])
+                        bound = mid + length[:, None] * radius * (1 + 1e-9)
+                        slack = 1e-9 * (np.abs(mid) + np.abs(bound)) + 1e-300
+                        pick = ~pick & (radius > -np.inf) & ~(bound + slack < cut[:, None])
+                i, cell = np.nonzero(pick)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array(cell.astype(np.int32))], names=["vec_id", "embedding", "cell"])
+
+        return run
+
+    schema = f"vec_id long, embedding array<{kind}>, cell int"
+    queries = rows.where("_q").select("vec_id", "embedding")
+    with batches(spark, 1024):
+        lists = search(queries.mapInArrow(asking(True), schema))
+        if len(cells) > probes:
+            kth = lists.groupBy("query_id").agg(F.get(F.array_sort(F.flatten(F.collect_list("near"))), F.lit(top - 1))["s"].alias("s"))
+            known = queries.join(kth, queries.vec_id == kth.query_id, "left").select("vec_id", "embedding", (-F.col("s")).alias("cut"))
+            lists = lists.unionByName(search(known.mapInArrow(asking(False), schema)))
     # s is the negative score, so ascending order is by falling score, then by vec_id.
     ranked = lists.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, top).alias("near"))
     out = ranked.select("query_id", F.posexplode("near").alias("p", "n"))

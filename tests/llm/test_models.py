@@ -143,6 +143,24 @@ def test_neighbours_are_exact(spark):
         assert got[q] == [int(ids[k]) for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
 
 
+def test_neighbours_in_cells(spark, monkeypatch):
+    """Clustered vectors in many cells: the result is that of brute force in double precision, and far cells are not searched."""
+    monkeypatch.setattr(ann, "CODES", 100)
+    rng = np.random.default_rng(6)
+    mid = 10 * rng.standard_normal((30, 12))
+    x = np.concatenate([c + 0.3 * rng.standard_normal((100, 12)) for c in mid] + [rng.standard_normal((50, 12))])
+    ids = rng.permutation(len(x)).astype(np.int64)
+    e = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(e.repartition(3), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert len(got) == (ids % 20 == 0).sum()
+    for q, found in got.items():
+        s = sum(x[:, j] * x[ids == q][0][j] for j in range(12))
+        best = [k for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
+        assert found == [(int(ids[k]), s[k]) for k in best]
+
+
 def test_many_url_rules(spark, monkeypatch):
     hosts = ["a.net", "b.a.net", "xa.net", "", "net", "c.d.org"]
     rows = spark.createDataFrame([(h, p) for h in hosts for p in ("", "/", "/en/x", "/en")], "host string, path string")
