@@ -68,3 +68,40 @@ def trend(current: Column, prior: Column) -> Column:
 
 def review(score: Column, has_action: Column) -> Column:
     return F.when((score >= 55) | ((score >= 40) & has_action), "approve").when(score < 30, "dismiss").otherwise("keep")
+
+
+#: Points of what is featured.
+LENS_POINTS = {"high": 40, "medium": 20, "low": 5}
+STAGE_POINTS = {"emerging": 15, "resurfacing": 12, "spreading": 8}
+SIGNAL_POINTS = {"viral": 20, "missing_coverage": 18, "amplified": 15, "elite_only": 8}
+TIER_POINTS = {"national": 6.0, "regional": 3.0, "local": 1.5, "social": 0.5}
+
+
+def _points(value: Column, table: dict[str, int]) -> Column:
+    return F.coalesce(*[F.when(value == k, v) for k, v in table.items()], F.lit(0))
+
+
+def acceleration(last3: Column, last14: Column) -> Column:
+    """Points for a mean of the last 3 days of 3, 2 or 1.5 times that of 14; none below 5 items."""
+    ratio = (last3 / 3.0) / (last14 / 14.0)
+    return F.when(last14 < 5, 0).when(ratio >= 3, 25).when(ratio >= 2, 18).when(ratio >= 1.5, 10).otherwise(0)
+
+
+def featured_score(urgency: Column, last3: Column, last14: Column, stage_: Column, tiers: dict[str, Column], active_days: Column, signal: Column, featured_days: Column) -> Column:
+    """What speaks for featuring a frame: urgency, acceleration, novelty, spread over tiers (30 at most), persistence (14) and momentum, less 8 (24 at most) for each day beyond two it was featured."""
+    spread = sum((F.coalesce(n, F.lit(0)) * TIER_POINTS[k] for k, n in tiers.items()), F.lit(0.0))
+    worn = F.when(featured_days > 2, F.least((featured_days - 2) * 8, F.lit(24))).otherwise(0)
+    return _points(urgency, LENS_POINTS) + acceleration(last3, last14) + _points(stage_, STAGE_POINTS) + F.least(spread, F.lit(30.0)) + F.least(active_days * 2, F.lit(14)) + _points(signal, SIGNAL_POINTS) - worn
+
+
+#: Points by kind of source.
+EVIDENCE_POINTS = {"public_record": 15, "news": 5, "canvassing": 5, "opponent_statement": 10, "social": -5}
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+def evidence(url: Column, name: Column, text: Column, kind: Column, quality: Column) -> Column:
+    """0-100: a source that is named and linked, length, numbers, dates and kind speak for it, a bad extraction against."""
+    flag = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    s = F.lit(30) + flag(F.length(url) > 0, 15) + flag(F.length(name) > 0, 10) + flag(F.length(text) > 500, 10) + flag(F.length(text) > 1500, 5)
+    s = s + flag(text.rlike(r"\d"), 15) + flag(text.rlike(rf"(?i)\b({MONTHS})\b|\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b"), 10) + _points(kind, EVIDENCE_POINTS)
+    return F.greatest(F.lit(0), F.least(F.lit(100), s - flag(quality == "poor", 35) - flag(quality == "mixed", 15))).cast("int")

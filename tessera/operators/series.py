@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import stored
+
 
 def dense_days(counts: DataFrame, key: str, day: str, value: str) -> DataFrame:
     """counts per key and day, with zeros for the missing days between the first and last day of each key."""
@@ -42,7 +44,8 @@ def nearest_as_of(left: DataFrame, right: DataFrame, key: str, at: str, ts: str,
     """
     epoch = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     size = seconds * 1_000_000
-    l = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_at", epoch(at))  # noqa: E741
+    # Stored, because the numbers are read twice and another run of the plan may number otherwise.
+    l = stored(left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_at", epoch(at)), "numbered")  # noqa: E741
     probe = l.select("_row", key, "_at", F.explode(F.array(*[F.floor(F.col("_at") / size) + d for d in (-1, 0, 1)])).alias("_b"))
     r = right.select(key, F.floor(epoch(ts) / size).alias("_b"), epoch(ts).alias("_t"), F.col(value).alias("_v")).where("_v is not null")
     hit = probe.join(r, [key, "_b"]).where(F.abs(F.col("_t") - F.col("_at")) <= size)

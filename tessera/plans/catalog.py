@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.plans import desk, knowledge, media, newsroom, routes, wires
+from tessera.plans import desk, knowledge, ledger, media, newsroom, routes, wires
 
 
 def queries() -> dict:
-    return media.QUERIES | knowledge.QUERIES | routes.QUERIES | newsroom.QUERIES | desk.QUERIES | wires.QUERIES
+    return media.QUERIES | knowledge.QUERIES | routes.QUERIES | newsroom.QUERIES | desk.QUERIES | wires.QUERIES | ledger.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return media.SQL | knowledge.SQL | routes.SQL | newsroom.SQL | desk.SQL | wires.SQL
+    return media.SQL | knowledge.SQL | routes.SQL | newsroom.SQL | desk.SQL | wires.SQL | ledger.SQL
