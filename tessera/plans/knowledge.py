@@ -109,10 +109,16 @@ def election_dates(spark, d):
     return table(spark, d, "nation").select(y.alias("year"), F.date_format(names.general_election(y), "yyyy-MM-dd").alias("general"))
 
 
-@query()
+@query(r"""
+with x as (select doc_id, regexp_replace(lower(text), '([^a-z0-9])', '\1\1', 'g') as t, regexp_replace(lower(split_part(text, chr(10), 1)), '([^a-z0-9])', '\1\1', 'g') as h from documents),
+k(word, base, more) as (values ('license', 30, 5), ('version', 12, 0), ('the  end', 35, 5), ('commons', 30, 5)),
+n as (select doc_id, word, base, more, len(regexp_extract_all(t, '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')) as n, len(regexp_extract_all(h, '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')) as m from x, k),
+s as (select doc_id, sum(case when n > 0 then base + case when m > 0 then 10 else 0 end + case when n > 1 then more else 0 end else 0 end) as total, count(case when n > 0 and word <> 'version' then 1 end) as strong, sum(case when word = 'version' then n else 0 end) as weak from n group by 1),
+b as (select doc_id, total + case when len(regexp_extract_all(t, '(^|[^a-z0-9])apache($|[^a-z0-9])')) > 0 then 10 else 0 end as total, strong, weak from s join x using (doc_id))
+select doc_id, cast(least(100, total) as int) as strength from b where (strong > 0 or weak >= 2) and total >= 30""")
 def issue_matches(spark, d):
     s = names.issue_strength(F.col("text"), ["license", "version", "the end", "commons"], {"version"}, ("apache",))
-    return table(spark, d, "documents").select("doc_id", s.alias("strength")).where("strength > 0")
+    return table(spark, d, "documents").select("doc_id", s.cast("int").alias("strength")).where("strength > 0")
 
 
 @query()
