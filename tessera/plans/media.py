@@ -348,11 +348,11 @@ def _centroids(spark, d):
     return c.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-@query("select label, cast(i - 1 as int) as i, round(cast(sum(cast(x as decimal(24,12))) as double) / count(*), 4) as x from (select label, unnest(range(1, 65)) as i, unnest(cast(embedding as double[])) as x from embeddings) group by 1, 2")
+@query("select label, cast(i - 1 as int) as i, floor(cast(sum(cast(x as decimal(24,12))) as double) / count(*) * 10000 + 0.5) / 10000 as x from (select label, unnest(range(1, 65)) as i, unnest(cast(embedding as double[])) as x from embeddings) group by 1, 2")
 def centroid_by_label(spark, d):
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     exact = F.sum(F.col("x").cast("double").cast("decimal(24,12)")).cast("double")  # no order of summation shows in the last digit
-    return e.groupBy("label", "i").agg(F.round(exact / F.count("*"), 4).alias("x"))
+    return e.groupBy("label", "i").agg((F.floor(exact / F.count("*") * 10000 + 0.5) / 10000).alias("x"))
 
 
 @query("""
