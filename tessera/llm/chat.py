@@ -47,9 +47,9 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     Nodes on a cycle have no root and are left out.
     """
 
-    def key(node: str) -> Column:  # the names themselves, after a hash that settles most comparisons
+    def key(node: str) -> Column:  # 128 bits: no two of any number of nodes that can be stored will share it
         names = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")), F.col(node)
-        return F.struct(F.xxhash64(*names).alias("x"), names[0].alias("c"), names[1].alias("n"))
+        return F.struct(F.xxhash64(*names).alias("x"), F.xxhash64(F.lit(1), *names).alias("y"))
 
     base = nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     mine = base.select(key("node").alias("h"), "conv_id", "node", "score", key("parent").alias("up"), F.col("parent").isNull().alias("top"))
@@ -62,7 +62,7 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     limit = tree.count()
     while reach <= limit and not tree.where("up is not null").limit(1).isEmpty():
         above = tree.select(F.col("h").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        tree = tree.join(above, "up", "left").select("h", "conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+        tree = tree.join(above.hint("merge"), "up", "left").select("h", "conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
         tree = durable(tree, "tree")
         jumps.append(tree.select("h", "up"))
         reach *= 2
