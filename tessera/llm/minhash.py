@@ -31,8 +31,8 @@ BLOCK, ANCHORS = 128, 12
 SIDE = 1024
 #: Copies of a component's texts, on average, that may be sent to meet its minor classes; beyond, rarest shingles propose the pairs.
 SPREAD = 4
-#: Ratio of the size classes of these.
-RATIO = 1.05
+#: Ratio of the size classes of these, and how many pairs they may propose for a text that would be sent.
+RATIO, LESS = 1.05, 1.0
 #: Estimated similarity from which a banded pair goes on to the exact comparison: 5 standard errors below 0.75.
 SCREEN = 0.53
 
@@ -299,8 +299,8 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "component long, id long, class long, minor boolean, shingles array<long>").dropDuplicates(["component", "id"])
 
 
-def _probed(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a minor row and one of another class that may be similar: they share one of their rarest shingles.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (component, low, apart, side, shingle, id, class, minor, x): sets under their rarest shingles; similar ones share one.
 
     Two sets of sizes x and y must have t / (1 + t) * (x + y) shingles in common, so they share one of the x - that + 1 rarest of x (and likewise of y).
     Sizes are cut into classes of RATIO, and each row stands under its rarest shingles once for each class that a partner may have,
@@ -319,10 +319,27 @@ def _probed(sets: DataFrame, percent: int) -> DataFrame:
     deep = (x - F.ceil(F.lit(t / (1 + t)) * (x + least) - 1e-6) + 1).cast("int")
     rows = rows.withColumn("deep", F.least(deep, x)).where((F.col("deep") > 0) & (least * t <= x))
     keys = rows.select("component", "id", "class", "minor", "x", F.least(F.col("c"), F.col("c") + F.col("d")).alias("low"), F.abs("d").alias("apart"), F.signum("d").cast("int").alias("side"), F.explode(F.slice("rare", F.lit(1), F.col("deep"))).alias("shingle"))
-    keys = durable(keys, "prefixes")
-    on = ["component", "low", "apart", "side", "shingle"]  # the smaller of two classes meets the larger, not its like
-    probes = keys.where("minor").withColumn("side", -F.col("side")).select(*on, F.col("id").alias("a"), F.col("class").alias("ca"), F.col("x").alias("xa"))
-    met = probes.join(keys.select(*on, F.col("id").alias("b"), F.col("class").alias("cb"), F.col("x").alias("xb")), on)
+    return keys
+
+
+_ON = ["component", "low", "apart", "side", "shingle"]
+
+
+def _turned(keys: DataFrame) -> DataFrame:
+    """Minor rows as they ask: the smaller of two classes meets the larger, not its like."""
+    return keys.where("minor").withColumn("side", -F.col("side"))
+
+
+def _meetings(keys: DataFrame) -> DataFrame:
+    """(component, met): how many pairs _probed() would look at, from counts alone."""
+    asks = _turned(keys).groupBy(*_ON).agg(F.count("*").alias("asks"))
+    return asks.join(keys.groupBy(*_ON).agg(F.count("*").alias("there")), _ON).groupBy("component").agg(F.sum(F.col("asks") * F.col("there")).alias("met"))
+
+
+def _probed(keys: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a minor row and one of another class that share one of their rarest shingles and whose sizes allow the similarity."""
+    probes = _turned(keys).select(*_ON, F.col("id").alias("a"), F.col("class").alias("ca"), F.col("x").alias("xa"))
+    met = probes.join(keys.select(*_ON, F.col("id").alias("b"), F.col("class").alias("cb"), F.col("x").alias("xb")), _ON)
     return met.where((F.col("ca") != F.col("cb")) & (100 * F.least("xa", "xb") >= percent * F.greatest("xa", "xb"))).select("a", "ca", "b", "cb").distinct()
 
 
@@ -380,16 +397,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         counts = own.groupBy("component", "class").agg(F.count("*").alias("n"))
         main = counts.groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
         own = durable(own.join(main, "component").select("component", "id", "class", (F.col("class") != F.col("main")).alias("minor")), "classes")
-        mass = own.groupBy("component").agg(F.count("*").alias("n"), F.count_if("minor").alias("m"))
-        mass = mass.where(F.col("m") * F.ceil(F.col("n") / (BLOCK - ANCHORS)) > SPREAD * F.col("n")).select("component")
-        many = durable(own.join(mass, "component", "left_semi"), "many")
-        own = own.join(mass, "component", "left_anti")
+        # Two exact ways for the minor rows: each meets every block of its component, or those rows that share a rarest shingle; by component, what is less.
+        mass = own.groupBy("component").agg(F.count("*").alias("n"), F.count_if("minor").alias("m")).withColumn("sent", F.col("m") * F.ceil(F.col("n") / (BLOCK - ANCHORS)))
+        mass = durable(mass.where(F.col("sent") > SPREAD * F.col("n")), "mass")
+        few = None
+        if not mass.isEmpty():
+            many = own.join(mass.select("component"), "component", "left_semi").join(print_of, "id").join(texts, "id")
+            sets = durable(_sets(many.select("component", "id", "class", "minor", "f1", "f2", "text")), "shingles")
+            keys = durable(_prefixes(sets, percent), "prefixes")
+            few = mass.join(_meetings(keys), "component", "left").where(F.coalesce("met", F.lit(0)) <= F.col("sent") * LESS).select("component")
+            few = durable(few, "few")
+            own = own.join(few, "component", "left_anti")
         more = own.where("minor").join(split.select("component", "block").distinct(), "component").select("block", "id", "class", "minor")
         rest = split.join(own.select("id", "class"), "id").select("block", "id", "class", F.lit(False).alias("minor"))
         found = durable(_confirmed(with_text(rest.unionByName(more)), percent), "links")
-        if not many.isEmpty():  # too many rows outside of the main class to send each to every block
-            sets = durable(_sets(many.join(print_of, "id").join(texts, "id").select("component", "id", "class", "minor", "f1", "f2", "text")), "shingles")
-            pairs = durable(_probed(sets, percent), "pairs")
+        if few is not None and not few.isEmpty():
+            pairs = durable(_probed(keys.join(few, "component", "left_semi"), percent), "pairs")
             sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
             pairs = pairs.join(sized, "a").withColumn("block", F.xxhash64(F.lit(11), "a", F.pmod(F.xxhash64(F.lit(12), "b"), F.col("chunks"))))
             asked = pairs.select("block", F.col("a").alias("id"), F.col("ca").alias("class"), F.lit(True).alias("minor")).distinct()

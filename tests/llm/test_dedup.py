@@ -90,11 +90,13 @@ def test_minhash_family_below_the_threshold(spark, monkeypatch):
     assert len(met) == 1 and met[0].count() < 10_000
 
 
-def test_minhash_many_minor_classes(spark, monkeypatch):
+@pytest.mark.parametrize("less", [1e9, 0.0])
+def test_minhash_many_minor_classes(spark, monkeypatch, less):
     """The rarest shingles propose every pair that brute force links, whatever the sizes."""
     monkeypatch.setattr(minhash, "BLOCK", 24)
     monkeypatch.setattr(minhash, "ANCHORS", 2)
     monkeypatch.setattr(minhash, "SPREAD", 0)
+    monkeypatch.setattr(minhash, "LESS", less)
     rng = random.Random(4)
     base = [f"t{i}" for i in range(70)]
     texts = []
