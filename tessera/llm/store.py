@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -52,10 +53,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete the tables of a scope (default: all written outside of one).  Only for callers whose results are already stored."""
+    """Delete the tables of a scope (default: all written outside of one).  Only for callers whose results are already stored.
+
+    The driver's collector is asked to run, because Spark drops the shuffle files and broadcasts of finished jobs only once their plans are collected.
+    """
     paths = _written[0] if paths is None else paths
     while paths:
         remove(spark, paths.pop())
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:
