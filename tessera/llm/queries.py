@@ -1,11 +1,11 @@
-"""The thin queries of the ten operators, over whole tables, and the SQL of those that SQL can express."""
+"""The thin queries of the thirteen operators, over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, embeddings, langid, minhash, mixing, packing, pii, quality, urls
+from tessera.llm import ann, chat, embeddings, langid, minhash, mixing, packing, pii, quality, spelling, tokens, trie, urls
 
 #: op6's rules, by contract.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -78,8 +78,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def words() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = tokens.write(_table(spark, sf_dir, "documents"), words())
+    return written.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.rebuilt(_table(spark, sf_dir, "conversations"))
+    return trie.nodes(turns).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.words(_table(spark, sf_dir, "documents"))
+    return spelling.variants(counted)
+
+
 def queries() -> dict:
-    own = (op1_language_id, op2_chat_formatting, op3_minhash_dedup, op4_source_mixing, op5_nearest_neighbours, op6_url_filter, op7_pii_pseudonyms, op8_embedding_dedup, op9_quality_classifier, op10_packing)
+    own = (op1_language_id, op2_chat_formatting, op3_minhash_dedup, op4_source_mixing, op5_nearest_neighbours, op6_url_filter, op7_pii_pseudonyms, op8_embedding_dedup, op9_quality_classifier, op10_packing, op11_token_files, op12_prefix_trie, op13_spelling_variants)
     return {f.__name__: f for f in own}
 
 
