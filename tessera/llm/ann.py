@@ -89,9 +89,8 @@ def left_over(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray
     return np.sqrt((rest**2).sum(axis=1)) * (1 + 1e-9) + 1e-12 * np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
 
 
-def _best(ids: np.ndarray, s: np.ndarray, bound: np.ndarray, vectors: np.ndarray, v: np.ndarray, qid: int, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(negative exact scores, ids) of the `top` best rows but qid.  s: estimates that are off by at most bound; where either is not a number, the row is scored."""
-    other = ids != qid
+def _best(ids: np.ndarray, s: np.ndarray, bound: np.ndarray, vectors: np.ndarray, v: np.ndarray, other: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(negative exact scores, ids) of the `top` best of the `other` rows.  s: estimates that are off by at most bound; where either is not a number, the row is scored."""
     low, high = np.where(np.isfinite(s - bound), s - bound, -np.inf), s + bound
     low[~other] = -np.inf
     cut = np.partition(low, len(low) - top)[len(low) - top] if len(low) > top else -np.inf
@@ -115,7 +114,7 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) where `query` holds, its nearest by inner product.
 
     The query's own row is no candidate; scores are exact, in double precision on the original vectors; ties go to the smaller vec_id; fewer than `top` candidates: all.  Vectors that are not usable(),
-    of another length than most, or without a vec_id take no part.  A vec_id that repeats is taken once (its largest vector).
+    of another length than most, or without a vec_id take no part.  Rows that repeat a vec_id are candidates each, and queries each.
 
     Vectors lie in cells around centres of the sample, each of one or more code blocks.  A query first searches the cells that promise most; its score at `top` then rules out every cell
     whose bound (the centre's score and |query| times the cell's radius) is below, and only the others are searched too.  So no neighbour is lost, and what has clusters is searched in part.
@@ -125,7 +124,7 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
     kind = "double" if vectors.schema["embedding"].dataType.elementType.typeName() != "float" else "float"
     real = np.float64 if kind == "double" else np.float32
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), "_q")
-    rows = durable(rows.groupBy("vec_id").agg(F.max("embedding").alias("embedding"), F.max("_q").alias("_q")), "vectors")
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # row numbers that stay
     lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     none = "query_id long, rank int, vec_id long, score double"
     if not lengths:
@@ -133,8 +132,8 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
     dim = lengths[0]["d"]
     rows = rows.where(F.size("embedding") == dim)
     n = lengths[0]["count"]
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), "vec_id"), 11) / F.lit(2.0**53)
-    fitted = rows.where(unit < min(1.0, 1.1 * FIT / n)).select("vec_id", "embedding").limit(2 * FIT).toArrow().sort_by("vec_id")
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), "vec_id", "row"), 11) / F.lit(2.0**53)
+    fitted = rows.where(unit < min(1.0, 1.1 * FIT / n)).select("row", "embedding").limit(2 * FIT).toArrow().sort_by("row")
     sample = _matrix(fitted.column("embedding").combine_chunks())
     sample = sample if len(sample) else np.zeros((1, dim))
     books = spark.sparkContext.broadcast(fit(sample))  # BOOKS * WORDS vectors
@@ -144,42 +143,43 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
     def placed(stream):
         for batch in stream:
             cell, far = _cell_of(_matrix(batch.column("embedding")), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), batch.column("_q"), pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "embedding", "_q", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "embedding", "_q")), pa.array(cell.astype(np.int32)), pa.array(far)], names=["row", "vec_id", "embedding", "_q", "cell", "far"])
 
     with batches(spark, 4096):
-        rows = durable(rows.mapInArrow(placed, f"vec_id long, embedding array<{kind}>, _q boolean, cell int, far double"), "placed")
+        rows = durable(rows.mapInArrow(placed, f"row long, vec_id long, embedding array<{kind}>, _q boolean, cell int, far double"), "placed")
     cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).orderBy("cell").collect()  # CELLS rows at most
     radius = np.full(len(centres), -np.inf)
     radius[[r["cell"] for r in cells]] = [np.inf if np.isnan(r["radius"]) else r["radius"] for r in cells]
     parts = {r["cell"]: -(-r["n"] // CODES) for r in cells}
     table = spark.createDataFrame(list(parts.items()), "cell int, parts int")
-    block = F.xxhash64("cell", F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.col("parts")))
+    block = F.xxhash64("cell", F.pmod(F.xxhash64(F.lit(6), "row"), F.col("parts")))
 
     def coded(stream):
         held: dict[int, list] = {}
 
         def out(name):
             columns = [np.concatenate(x) for x in zip(*held.pop(name), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0][:1]), *(pa.array([x.tobytes()], pa.binary()) for x in columns[1:])], names=["cell", "ids", "codes", "errors", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0][:1]), *(pa.array([x.tobytes()], pa.binary()) for x in columns[1:])], names=["cell", "rows", "ids", "codes", "errors", "vectors"])
 
         for batch in stream:
-            name, cell, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
+            name, cell, row, ids = (batch.column(i).to_numpy() for i in range(4))
+            x = _matrix(batch.column(4))
             for a in range(0, len(x), 256):
                 part = x[a : a + 256]
                 codes, _ = encode(part, books.value)
                 errors = left_over(part, codes, books.value)
                 for k in np.unique(name[a : a + 256]):
                     own = name[a : a + 256] == k
-                    held.setdefault(int(k), []).append((cell[a : a + 256][own], ids[a : a + 256][own], codes[own], errors[own], part[own].astype(real)))
+                    held.setdefault(int(k), []).append((cell[a : a + 256][own], row[a : a + 256][own], ids[a : a + 256][own], codes[own], errors[own], part[own].astype(real)))
             for k in [k for k in held if k != name[-1]]:
                 yield out(k)
         for k in list(held):
             yield out(k)
 
-    dealt = rows.join(F.broadcast(table), "cell").select(block.alias("block"), "cell", "vec_id", "embedding")  # a row for each cell
-    dealt = dealt.repartition(max(sum(parts.values()), 6), "block").sortWithinPartitions("block", "vec_id")
+    dealt = rows.join(F.broadcast(table), "cell").select(block.alias("block"), "cell", "row", "vec_id", "embedding")  # a row for each cell
+    dealt = dealt.repartition(max(sum(parts.values()), 6), "block").sortWithinPartitions("block", "vec_id", "row")
     with batches(spark, 4096):
-        index = durable(dealt.mapInArrow(coded, "cell int, ids binary, codes binary, errors binary, vectors binary"), "codes")
+        index = durable(dealt.mapInArrow(coded, "cell int, rows binary, ids binary, codes binary, errors binary, vectors binary"), "codes")
 
     def searched(stream):
         largest = np.sqrt((books.value.astype(np.float64) ** 2).sum(axis=2)).max(axis=1).sum()
@@ -187,34 +187,34 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
         for batch in stream:
             found, near = [], []
             for r in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
+                numbers, ids = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in ("rows", "ids"))
                 codes = np.frombuffer(batch.column("codes")[r].as_py(), np.uint8).reshape(len(ids), -1)
                 errors = np.frombuffer(batch.column("errors")[r].as_py(), np.float64)
                 own = np.frombuffer(batch.column("vectors")[r].as_py(), real).reshape(len(ids), -1)
                 q = batch.column("q")[r].values
-                for qid, v in zip(q.field("vec_id").to_pylist(), _matrix(q.field("embedding")), strict=True):
+                for qid, v in zip(q.field("row").to_pylist(), _matrix(q.field("embedding")), strict=True):
                     lookup = books.value @ v.astype(np.float32)
                     s = lookup[0][codes[:, 0]]
                     for m in range(1, codes.shape[1]):
                         s = s + lookup[m][codes[:, m]]
                     found.append(qid)
-                    near.append(_best(ids, s.astype(np.float64), (errors + rounding) * np.sqrt(v @ v), own, v, qid, top))
+                    near.append(_best(ids, s.astype(np.float64), (errors + rounding) * np.sqrt(v @ v), own, v, numbers != qid, top))
             lens = np.append(0, np.cumsum([len(i) for _, i in near])).astype(np.int32)
             s, i = (np.concatenate([x[k] for x in near]) if near else [] for k in (0, 1))
             values = pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(i, pa.int64())], names=["s", "vec_id"])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(lens), values)], names=["query_id", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(lens), values)], names=["query_row", "near"])
 
     def search(asked: DataFrame) -> DataFrame:
-        """(query_id, near) for queries (vec_id, embedding, cell): groups of QUERIES meet every block of their cell."""
+        """(query_row, near) for queries (row, embedding, cell): groups of QUERIES meet every block of their cell."""
         asked = durable(asked, "asked")
         size = durable(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")), "groups")
         met_blocks = sum(r["groups"] * parts[r["cell"]] for r in size.collect())  # CELLS rows at most
-        group = F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.col("groups"))
-        q = asked.join(F.broadcast(size), "cell").groupBy("cell", group.alias("group")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))  # a row for each cell
-        met = index.join(q, "cell").select("group", "ids", "codes", "errors", "vectors", "q")
-        met = met.repartition(max(6, min(met_blocks, 10_000)), "group", F.xxhash64("ids"))
+        group = F.pmod(F.xxhash64(F.lit(7), "row"), F.col("groups"))
+        q = asked.join(F.broadcast(size), "cell").groupBy("cell", group.alias("group")).agg(F.collect_list(F.struct("row", "embedding")).alias("q"))  # a row for each cell
+        met = index.join(q, "cell").select("group", "rows", "ids", "codes", "errors", "vectors", "q")
+        met = met.repartition(max(6, min(met_blocks, 10_000)), "group", F.xxhash64("rows"))
         with batches(spark, 8):
-            return durable(met.mapInArrow(searched, "query_id long, near array<struct<s: double, vec_id: long>>"), "nearest")
+            return durable(met.mapInArrow(searched, "query_row long, near array<struct<s: double, vec_id: long>>"), "nearest")
 
     probes = max(1, -(-len(centres) // PROBED))
 
@@ -235,19 +235,20 @@ def neighbours(vectors: DataFrame, query: Column, top: int = 20) -> DataFrame:
                         slack = 1e-9 * (np.abs(mid) + np.abs(bound)) + 1e-300
                         pick = ~pick & (radius > -np.inf) & ~(bound + slack < cut[:, None])
                 i, cell = np.nonzero(pick)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array(cell.astype(np.int32))], names=["vec_id", "embedding", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array(cell.astype(np.int32))], names=["row", "embedding", "cell"])
 
         return run
 
-    schema = f"vec_id long, embedding array<{kind}>, cell int"
-    queries = rows.where("_q").select("vec_id", "embedding")
+    schema = f"row long, embedding array<{kind}>, cell int"
+    queries = rows.where("_q").select("row", "embedding")
     with batches(spark, 1024):
         lists = search(queries.mapInArrow(asking(True), schema))
         if len(cells) > probes:
-            kth = lists.groupBy("query_id").agg(F.get(F.array_sort(F.flatten(F.collect_list("near"))), F.lit(top - 1))["s"].alias("s"))
-            known = queries.join(kth, queries.vec_id == kth.query_id, "left").select("vec_id", "embedding", (-F.col("s")).alias("cut"))
+            kth = lists.groupBy("query_row").agg(F.get(F.array_sort(F.flatten(F.collect_list("near"))), F.lit(top - 1))["s"].alias("s"))
+            known = queries.join(kth, queries.row == kth.query_row, "left").select("row", "embedding", (-F.col("s")).alias("cut"))
             lists = lists.unionByName(search(known.mapInArrow(asking(False), schema)))
     # s is the negative score, so ascending order is by falling score, then by vec_id.
-    ranked = lists.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, top).alias("near"))
+    ranked = lists.groupBy("query_row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, top).alias("near"))
+    ranked = ranked.join(rows.where("_q").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row")
     out = ranked.select("query_id", F.posexplode("near").alias("p", "n"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), (-F.col("n.s")).alias("score"))

@@ -72,24 +72,25 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bands array<long>, sketch binary); empty sets have null bands and sketch."""
+    """(doc_id, n_shingles, f1, f2, bands array<long>, sketch binary, t); empty sets have null bands and sketch; t: a hash of the text."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+            for doc, t, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 if not len(s):
-                    rows.append((doc, 0, 0, 0, None, None))
+                    rows.append((doc, 0, 0, 0, None, None, t))
                     continue
                 m = minhash(s)
                 keys = m[: BANDS * ROWS].reshape(BANDS, ROWS)
                 key = mix(mix(mix(keys[:, 0]) + keys[:, 1]) + keys[:, 2] + _INDEX[:BANDS])
-                rows.append((doc, len(s), *fingerprint(s), key.astype(np.int64).tolist(), odd_sketch(m).tobytes()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list("abcdef")) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=list("abcdef"))
+                rows.append((doc, len(s), *fingerprint(s), key.astype(np.int64).tolist(), odd_sketch(m).tobytes(), t))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list("abcdefg")) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=list("abcdefg"))
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "a long, b long, c long, d long, e array<long>, f binary")
-    return out.toDF("doc_id", "n_shingles", "f1", "f2", "bands", "sketch")
+    text = F.col("text").cast("string")
+    out = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, "a long, b long, c long, d long, e array<long>, f binary, g long")
+    return out.toDF("doc_id", "n_shingles", "f1", "f2", "bands", "sketch", "t")
 
 
 def _blocks(groups: DataFrame, key: str, size: str) -> DataFrame:
@@ -241,7 +242,7 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
                 expect = list(zip(part.column("f1").to_pylist(), part.column("f2").to_pylist(), strict=True))
                 sets, ids, kind, minor, seen = [], [], [], [], set()
                 for s, want, i, c, m in zip(shingle_sets(part.column("text")), expect, part.column("id").to_pylist(), part.column("class").to_pylist(), part.column("minor").to_pylist(), strict=True):
-                    if (i, m) not in seen and fingerprint(s) == want:  # a doc_id may stand in several rows
+                    if (i, m) not in seen and fingerprint(s) == want:  # rows may repeat
                         seen.add((i, m))
                         sets.append(s)
                         ids.append(i)
@@ -288,7 +289,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             f1, f2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             keep, sets = [], []
             for k, s in enumerate(shingle_sets(batch.column(6))):
-                if fingerprint(s) == (f1[k], f2[k]):  # a doc_id may stand in several rows
+                if fingerprint(s) == (f1[k], f2[k]):
                     keep.append(k)
                     sets.append(s.astype(np.int64))
             part = batch.take(pa.array(keep, pa.int64()))
@@ -359,11 +360,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     sig = durable(signatures(docs), "signatures")
-    sets = sig.where("n_shingles > 0 and doc_id is not null")
-    groups = durable(sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "sets")
-    reps = sets.withColumnRenamed("doc_id", "id").join(groups, ["id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["id", "f1", "f2"])
-    # A doc_id that stands in several rows with different texts names several sets; they are told apart by f1.
-    reps = durable(reps, "representatives")
+    worded = sig.where("n_shingles > 0 and doc_id is not null")
+    # Each distinct set has a number of its own (id), and is read from the text of its least document: a doc_id may stand in several rows with different texts.
+    one = worded.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "t")).alias("from"))
+    groups = durable(one.select("f1", "f2", "n_shingles", "from.doc_id", "from.t", F.monotonically_increasing_id().alias("id")), "sets")
+    reps = worded.join(groups, ["doc_id", "t", "f1", "f2", "n_shingles"]).dropDuplicates(["id"])
+    reps = durable(reps.select("id", "n_shingles", "f1", "f2", "bands", "sketch", "doc_id", "t"), "representatives")
 
     keys = reps.select("id", F.explode("bands").alias("key"))
     crowd = durable(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
@@ -378,11 +380,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     sized = loose.join(loose.groupBy("component").agg(F.count("*").alias("n")), "component")
     placed = durable(_blocks(sized.withColumnRenamed("node", "id"), "component", "n").select("component", "id", "block", "parts"), "blocks")
-    print_of = reps.select("id", "f1", "f2")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    print_of = reps.select("id", "f1", "f2", "doc_id", "t")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
 
     def with_text(rows: DataFrame) -> DataFrame:
-        full = rows.join(print_of, "id").join(texts, "id")
+        full = rows.join(print_of, "id").join(texts, ["doc_id", "t"])
         return _dealt(full.select("block", "id", "f1", "f2", "class", "minor", "text"))
 
     firm = placed.select("block", "id", F.lit(None).cast("long").alias("class"), F.lit(False).alias("minor"))
@@ -402,7 +404,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         mass = durable(mass.where(F.col("sent") > SPREAD * F.col("n")), "mass")
         few = None
         if not mass.isEmpty():
-            many = own.join(mass.select("component"), "component", "left_semi").join(print_of, "id").join(texts, "id")
+            many = own.join(mass.select("component"), "component", "left_semi").join(print_of, "id").join(texts, ["doc_id", "t"])
             sets = durable(_sets(many.select("component", "id", "class", "minor", "f1", "f2", "text")), "shingles")
             keys = durable(_prefixes(sets, percent), "prefixes")
             few = mass.join(_meetings(keys), "component", "left").where(F.coalesce("met", F.lit(0)) <= F.col("sent") * LESS).select("component")
@@ -420,8 +422,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             found = found.unionByName(durable(_confirmed(with_text(asked), percent), "links"))
         final = connected_components(firm.unionByName(found))
     final = final.withColumnRenamed("node", "id").groupBy("id").agg(F.min("component").alias("component"))
-    whole = groups.join(final, "id", "left").select("f1", "f2", F.col("n_shingles").alias("size"), F.coalesce("component", "id").alias("component"))
+    whole = groups.join(final, "id", "left").select("f1", "f2", F.col("n_shingles").alias("size"), "doc_id", F.coalesce("component", "id").alias("component"))
+    whole = durable(_by_document(worded, whole), "components")
     same = (sig.f1 == whole.f1) & (sig.f2 == whole.f2) & (sig.n_shingles == whole["size"])
-    out = sig.select("doc_id", "n_shingles", "f1", "f2").join(whole, same, "left")
+    out = sig.select("doc_id", "n_shingles", "f1", "f2").join(whole.select("f1", "f2", "size", "component"), same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _by_document(sets: DataFrame, whole: DataFrame) -> DataFrame:
+    """whole (f1, f2, size, doc_id: the set's least, component) with the least doc_id reachable as component, also through documents that have several sets."""
+    many = sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("many"))
+    several = sets.join(many, F.col("doc_id") == F.col("many"), "left_semi").select(F.col("doc_id").alias("d"), "f1", "f2", F.col("n_shingles").alias("size"))
+    several = several.join(whole.select("f1", "f2", "size", "component"), ["f1", "f2", "size"]).select("d", "component").distinct()
+    joined = several.join(several.groupBy("d").agg(F.min("component").alias("to")), "d").where("component <> to").select(F.col("component").alias("a"), F.col("to").alias("b"))
+    joined = durable(joined, "joined")
+    if not joined.isEmpty():
+        more = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        whole = whole.join(more, "component", "left").withColumn("component", F.coalesce("to", "component"))
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("least"))
+    return whole.join(least, "component").select("f1", "f2", "size", F.col("least").alias("component"))

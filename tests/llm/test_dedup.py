@@ -67,6 +67,20 @@ def test_minhash_edge_cases(spark):
     assert got == [(3, 2, 3, True), (3, 2, 3, True), (5, 2, 3, False), (None, 2, None, True)]
 
 
+@pytest.mark.parametrize("block", [128, 4])
+def test_minhash_of_documents_with_several_texts(spark, monkeypatch, block):
+    """Different texts of one doc_id are told apart and both link; what they link with is reachable through the document."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "ANCHORS", 1)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y")], "doc_id long, text string")
+    assert sorted(tuple(r)[::2] for r in minhash.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    rows = [(5, a), (5, b), (9, a + " x"), (4, b + " y"), (7, c), (7, c), (8, c + " z"), (6, "alone in the whole wide world")] + [(20, f"{c} {i}") for i in range(30)] + [(21, f"{a} q{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(5, 4), (9, 4), (4, 4), (21, 4), (7, 7), (8, 7), (20, 7), (6, 6)}
+
+
 def test_minhash_crowded_group(spark, monkeypatch):
     """Groups larger than a block: none of the links between blocks, outliers included, may be lost."""
     monkeypatch.setattr(minhash, "BLOCK", 24)

@@ -126,6 +126,14 @@ def test_neighbours_recall_and_edges(spark):
     assert ann.neighbours(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_and_null_ids(spark):
+    """Every row but the query's own is a candidate, also where its vec_id repeats; rows without a vec_id take no part."""
+    rows = [(1, [0.9, 0.1]), (1, [0.8, 0.3]), (2, [0.5, 0.0]), (0, [1.0, 0.0]), (None, [7.0, 0.0]), (0, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("clash"))
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbours(df, F.col("vec_id") == 0).collect()]
+    assert sorted(got) == sorted([(0, 1, 0, 2.0), (0, 2, 1, 0.9), (0, 3, 1, 0.8), (0, 4, 2, 0.5), (0, 1, 0, 2.0), (0, 2, 1, 1.8), (0, 3, 1, 1.6), (0, 4, 2, 1.0)])
+
+
 def test_neighbours_are_exact(spark):
     """A group of 1000 copies: the 20 smallest vec_ids; near copies within the quantisation error: the true order."""
     rng = np.random.default_rng(2)
