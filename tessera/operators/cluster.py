@@ -6,11 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
+from tessera.operators import graph, near
+from tessera.storage import stored
 
 
 def near_duplicate(sim: Column, same_source: Column, ts_a: Column, ts_b: Column, days: int = 7) -> Column:
@@ -122,11 +125,52 @@ def chained_linkage(vectors: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
+def within(rows: DataFrame, frame: str, key: str, vector: str, cut: float, side: int = 1024) -> DataFrame:
+    """(frame, a, b): links that join all rows of a frame whose cosine distance is within cut, a spanning forest of each block instead of all pairs.
+
+    A frame's rows are dealt to parts of about `side`; each pair of parts is a block that one task compares, so a frame of any size is spread over tasks.
+    """
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    parts = rows.groupBy(frame).agg(F.ceil(F.count("*") / side).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64(F.lit(3), key), F.col("parts")).cast("int")
+    dealt = rows.select(frame, key, F.col(vector).cast("array<double>").alias("v")).join(parts, frame).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.xxhash64(frame, F.least("own", "other"), F.greatest("own", "other"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(block.alias("block"), F.col(frame).alias("frame"), F.col(key).alias("k"), "v").repartition(n, "block").sortWithinPartitions("block", "k")
+
+    def linked(stream):
+        for t in near.whole(stream):
+            x = near.matrix(t.column("v"))
+            todo, a, b = np.arange(len(x)), [], []
+            while len(todo):
+                queue, todo = [int(todo[0])], todo[1:]
+                while queue and len(todo):
+                    i = queue.pop()
+                    hit = 1 - x[todo] @ x[i] <= cut + 1e-9
+                    a += [i] * int(hit.sum())
+                    b += todo[hit].tolist()
+                    queue += todo[hit].tolist()
+                    todo = todo[~hit]
+            k = t.column("k").combine_chunks()
+            f = t.column("frame").combine_chunks()
+            yield pa.RecordBatch.from_arrays([f.take(pa.array(a, pa.int64())), k.take(pa.array(a, pa.int64())), k.take(pa.array(b, pa.int64()))], names=["frame", "a", "b"])
+
+    return dealt.mapInArrow(linked, f"frame {kinds[frame]}, a {kinds[key]}, b {kinds[key]}").withColumnRenamed("frame", frame)
+
+
 def variants(quotes: DataFrame, frame: str, key: str, vector: str, cut: float = 0.42, matrix: int = 2000) -> DataFrame:
     """(frame, key, variant): complete linkage inside each frame; variant is its least key.
 
-    A frame is what one task holds.  Up to `matrix` rows are linked by their distance matrix, more by chains without one.
+    Rows further apart than cut never share a cluster, so the components of the graph of rows within cut are linked each by itself: a task holds a
+    component, not a frame.  Up to `matrix` rows of one are linked by their distance matrix, more by chains without one.  A row without a vector is a variant of its own.
     """
+    kinds = dict(quotes.dtypes)
+    rows = stored(quotes.select(frame, key, vector), "quotes")
+    links = within(rows.where(F.col(vector).isNotNull()), frame, key, vector, cut)
+    node = lambda k: F.struct(F.col(frame).alias("f"), F.col(k).alias("k"))
+    of = graph.components(links.select(node("a").alias("src"), node("b").alias("dst"))).select("node.*", F.col("component.k").alias("component"))
+    of = of.select(F.col("f").alias(frame), F.col("k").alias(key), "component")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -135,8 +179,19 @@ def variants(quotes: DataFrame, frame: str, key: str, vector: str, cut: float =
         keys = pdf[key].to_numpy()
         return pd.DataFrame({frame: pdf[frame], key: keys, "variant": [keys[label == v].min() for v in label]})
 
-    types = dict(quotes.dtypes)
-    return quotes.select(frame, key, vector).groupBy(frame).applyInPandas(run, f"{frame} {types[frame]}, {key} {types[key]}, variant {types[key]}")
+    joined = rows.join(of, [frame, key])
+    many = joined.groupBy(frame, "component").applyInPandas(run, f"{frame} {kinds[frame]}, {key} {kinds[key]}, variant {kinds[key]}")
+    alone = rows.join(of, [frame, key], "left_anti").select(frame, key, F.col(key).alias("variant"))
+    return many.unionByName(alone)
+
+
+def variant_summaries(quotes: DataFrame, of: DataFrame, frame: str, key: str, vector: str, ts: str) -> DataFrame:
+    """(frame, variant, quotes, first_seen, last_seen, centroid) of variants (frame, key, variant): the mean of the members' vectors, and the span of their times."""
+    rows = quotes.join(of, [frame, key])
+    facts = rows.groupBy(frame, "variant").agg(F.count("*").alias("quotes"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+    means = rows.select(frame, "variant", F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy(frame, "variant", "i").agg(F.avg("x").alias("x"))
+    means = means.groupBy(frame, "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
+    return facts.join(means, [frame, "variant"], "left")
 
 
 def triage(merge: Column, uncertain: Column, noise: Column, promote: Column) -> Column:

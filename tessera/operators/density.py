@@ -1,10 +1,16 @@
-"""Density clustering and projections of bounded groups (frames, candidate sets), in numpy."""
+"""Density clusters: of bounded groups in numpy, and of all points of a plane by Boruvka rounds over grid cells; projections and absorption of noise."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.storage import stored
+
+#: Small cells along a cell; growth of the cells from one search to the next; points of a cell at the first search at most.
+FINE, GROWTH, CROWD = 8, 4, 256
 
 
 def hdbscan_leaf(x: np.ndarray, min_size: int, min_samples: int = 1) -> np.ndarray:
@@ -88,29 +94,153 @@ def plane(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, x, y): the first two principal components, fitted and applied by Spark ML."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.sql import functions as F
 
     v = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     p = PCA(k=2, inputCol="v", outputCol="p").fit(v).transform(v).select(key, vector_to_array("p").alias("p"))
     return p.select(key, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def absorbed(points: DataFrame, key: str, cluster: str, x: str = "x", y: str = "y", reach: float = 2.0) -> DataFrame:
-    """(key, cluster): noise (a null cluster) joins the nearest centroid if it lies within `reach` times the 0.9 quantile of its members' distances.
+def kth(rows: DataFrame, column: str, k: int) -> float:
+    """The k-th least value (from 0) of a column without nulls: sorted over tasks, of which only the sizes are collected."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    ranked = stored(rows.select(column).repartitionByRange(n, column).sortWithinPartitions(column).select(column, at.alias("at")), "ranked")
+    sizes = ranked.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each task
+    for r in sizes:
+        if k < r["n"]:
+            return ranked.where(F.col("at") == (r["part"] << 33) + k).first()[column]
+        k -= r["n"]
+    raise ValueError("fewer values than that")
 
-    Centroids (a row per cluster) meet only the noise of the same or an adjacent square, as wide as the longest reach, so the join has keys.
-    """
-    from pyspark.sql import functions as F
 
+def absorbed(points: DataFrame, key: str, cluster: str, x: str = "x", y: str = "y", reach: float = 2.0, share: float = 0.9) -> DataFrame:
+    """(key, cluster): noise (a null cluster) joins the nearest centroid (ties: the least cluster) within `reach` times the distance that `share` of all members keep to theirs.
+
+    The distances of all clusters' members are pooled: of n sorted ones it is that at place floor(n * share), the last at most.
+    Centroids (a row per cluster) meet only the noise of the same or an adjacent square, as wide as that reach, so the join has keys.
+    """
     own = points.where(F.col(cluster).isNotNull())
-    mid = own.groupBy(cluster).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"))
-    gap = lambda: F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
-    limit = own.join(mid, cluster).groupBy(cluster).agg((F.percentile(gap(), F.lit(0.9)) * reach).alias("_limit"))
-    mid = mid.join(limit, cluster).withColumnRenamed(cluster, "_to")
-    wide = mid.agg(F.max("_limit")).first()[0] or 1.0
+    mid = stored(own.groupBy(cluster).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y")), "centroids")
+    gap = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
+    gaps = own.join(mid, cluster).select(gap.alias("gap"))
+    many = own.count()
+    if not many:
+        return points.select(key, cluster)
+    limit = reach * kth(gaps, "gap", min(int(many * share), many - 1))
+    wide = max(limit, 1e-12)
     square = lambda c: F.floor(F.col(c) / wide)
-    mid = mid.withColumn("_i", square("_x")).withColumn("_j", square("_y"))
+    mid = mid.withColumnRenamed(cluster, "_to").withColumn("_i", square("_x")).withColumn("_j", square("_y"))
     noise = points.where(F.col(cluster).isNull()).withColumn("_i", F.explode(F.array(*[square(x) + k for k in (-1, 0, 1)]))).withColumn("_j", F.explode(F.array(*[square(y) + k for k in (-1, 0, 1)])))
-    met = noise.join(mid, ["_i", "_j"]).withColumn("_gap", gap()).where("_gap <= _limit")
+    met = noise.join(mid, ["_i", "_j"]).withColumn("_gap", gap).where(F.col("_gap") <= limit)
     best = met.groupBy(key).agg(F.min_by("_to", F.struct("_gap", "_to")).alias("_to"))
     return points.join(best, key, "left").select(key, F.coalesce(cluster, "_to").alias(cluster))
+
+
+def _apart(a: str, b: str) -> tuple[Column, Column]:
+    """Least and greatest distance of two boxes."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    least, most = [], []
+    for lo, hi in (("x0", "x1"), ("y0", "y1")):
+        least.append(F.greatest(c(a, lo) - c(b, hi), c(b, lo) - c(a, hi), F.lit(0.0)))
+        most.append(F.greatest(c(a, hi) - c(b, lo), c(b, hi) - c(a, lo)))
+    return F.sqrt(least[0] * least[0] + least[1] * least[1]), F.sqrt(most[0] * most[0] + most[1] * most[1])
+
+
+def _nearest_other(state: DataFrame, asks: DataFrame, width: float, widest: float) -> DataFrame:
+    """(comp, w, to): the shortest way from each asking component of state (spot, x, y, comp) to another one; ties: the least pair of spots.
+
+    Searched in cells of `width`, then of GROWTH times that, and so on, until an asking component has found a spot within a cell's width or the cells hold all.
+    In a search each component of a small cell is one box.  Boxes of adjacent cells bound the way from below and above; only spots of those boxes that the
+    bounds leave are compared.  Spots within the last width are one component by then, so a small cell holds few boxes, however crowded it is.
+    """
+    found, left = None, stored(asks.select("comp"), "asking")
+    while True:
+        small = width / FINE
+        spots = state.select("spot", "x", "y", "comp", F.floor(F.col("x") / small).alias("i"), F.floor(F.col("y") / small).alias("j"))
+        boxes = spots.groupBy("i", "j", "comp").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        boxes = stored(boxes.withColumns({"ci": F.floor(F.col("i") / FINE), "cj": F.floor(F.col("j") / FINE)}), "boxes")
+        own = boxes.join(left, "comp").withColumn("ci", F.explode(F.array(*[F.col("ci") + d for d in (-1, 0, 1)]))).withColumn("cj", F.explode(F.array(*[F.col("cj") + d for d in (-1, 0, 1)])))
+        least, most = _apart("p", "q")
+        met = own.alias("p").join(boxes.alias("q"), ["ci", "cj"]).where(F.col("p.comp") != F.col("q.comp")).where(least <= width)
+        met = stored(met.select(*[F.col(f"p.{c}") for c in ("i", "j", "comp")], *[F.col(f"q.{c}").alias(f"{c}2") for c in ("i", "j", "comp")], least.alias("least"), most.alias("most")), "met")
+        bound = met.groupBy("comp").agg(F.least(F.min("most"), F.lit(width)).alias("bound"))
+        met = met.join(bound, "comp").where(F.col("least") <= F.col("bound")).select("i", "j", "comp", "i2", "j2", "comp2")
+        pairs = met.join(spots.withColumnRenamed("spot", "a"), ["i", "j", "comp"])
+        other = spots.select(F.col("spot").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), *[F.col(c).alias(f"{c}2") for c in ("i", "j", "comp")])
+        pairs = pairs.join(other, ["i2", "j2", "comp2"])
+        gap = F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")))
+        best = pairs.select("comp", gap.alias("w"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("comp2").alias("to")).where(F.col("w") <= width)
+        hit = stored(best.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "to")).alias("b")).select("comp", "b.w", "b.to"), "ways")
+        found = hit if found is None else found.unionByName(hit)
+        left = stored(left.join(hit, "comp", "left_anti"), "asking")
+        if width > widest or left.isEmpty():
+            return found
+        width *= GROWTH
+
+
+def leaves(points: DataFrame, key: str, x: str = "x", y: str = "y", min_size: int = 2) -> DataFrame:
+    """(key, cluster): the leaves of the condensed single-linkage tree of all points of a plane; cluster is a leaf's least key, null for noise.
+
+    A component of the minimum spanning tree, grown by its edges from the shortest, is small below min_size.  Two that are not small make a true split where they
+    meet; a leaf is what such a component holds when it first meets another (or at the end, if it never does).  No tree is collected.  In Boruvka rounds each component finds its
+    shortest way to another one.  It takes the way if it is still small then, that is, if its first min_size points meet later, and each of its points notes the longest way it has come
+    by.  When none takes its way any more, a component keeps as a leaf the points that had come before its shortest way to another.  Rounds follow log2(min_size).
+
+    Equal points are one spot; points with a null or non-finite place are noise.  Ways of equal length are taken in the order of their keys.  Fewer points than min_size: all noise.
+    """
+    place = points.select(F.col(key).alias("spot"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    fine = ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    place = stored(place, "places")
+    spots = place.where(F.coalesce(fine, F.lit(False))).groupBy("x", "y").agg(F.min("spot").alias("spot"), F.count("*").alias("n"))
+    spots = stored(spots, "spots")
+    facts = spots.agg(F.count("*"), F.sum("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    none = place.select(F.col("spot").alias(key), F.lit(None).cast(dict(points.dtypes)[key]).alias("cluster"))
+    if not facts[0] or facts[1] < min_size:
+        return none
+    widest = max(facts[3] - facts[2], facts[5] - facts[4], 1e-300)
+    width = widest * (16 / facts[0]) ** 0.5
+    for _ in range(200):  # cells get smaller until none is crowded
+        crowd = spots.groupBy(F.floor(F.col("x") / width), F.floor(F.col("y") / width)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if crowd <= CROWD or width < widest * 1e-12:
+            break
+        width /= GROWTH
+
+    # late: the longest way by which a spot came to its component; at that time it met the component's first spots.
+    state = stored(spots.select("spot", "x", "y", "n", F.col("spot").alias("comp"), F.lit(0.0).alias("late")), "state")
+    order = Window.partitionBy("comp").orderBy("late", "spot")
+
+    def since(state: DataFrame) -> DataFrame:
+        """When a component's first min_size points have met; later ones belong to it from when they come."""
+        first = state.select("comp", "late", "spot", "n").withColumn("place", F.row_number().over(order)).where(F.col("place") <= min_size)
+        return first.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") >= min_size).groupBy("comp").agg(F.min("late").alias("since"))
+
+    known = stored(_nearest_other(state, state.select("comp"), width, widest), "ways")
+    while True:
+        ways = known.join(since(state), "comp", "left").where(F.col("since").isNull() | (F.col("since") > F.col("w"))).select("comp", "w", "to")
+        ways = stored(ways, "taken")
+        if ways.isEmpty():
+            break
+        # Ways lead along ever shorter ones to a component that takes none, or to two that take each other's.
+        back = ways.select(F.col("comp").alias("to"), F.col("to").alias("back"))
+        hops = ways.join(back, "to", "left").select("comp", "w", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("top"))
+        hops = stored(hops, "hops")
+        while True:
+            on = hops.select(F.col("comp").alias("top"), F.col("top").alias("next"))
+            step = stored(hops.join(on, "top", "left").select("comp", "w", F.coalesce("next", "top").alias("top"), (F.col("next") != F.col("top")).alias("moved")), "hops")
+            hops = step.select("comp", "w", "top")
+            if step.where("moved").isEmpty():
+                break
+        joined = state.join(hops, "comp", "left").withColumn("comp", F.coalesce("top", "comp"))
+        state = stored(joined.select("spot", "x", "y", "n", "comp", F.greatest("late", F.coalesce("w", F.lit(0.0))).alias("late")), "state")
+
+        new = stored(hops.select(F.col("top").alias("comp")).distinct(), "new")
+        gone = hops.select("comp").unionByName(new)
+        known = stored(known.join(gone, "comp", "left_anti").unionByName(_nearest_other(state, new, width, widest)), "ways")
+
+    state = stored(state.join(since(state), "comp").select("spot", "x", "y", "comp", F.greatest("late", "since").alias("entry")), "state")
+    until = known.select("comp", F.col("w").alias("until"))
+    kept = state.join(until, "comp", "left").where(F.col("until").isNull() | (F.col("entry") < F.col("until")))
+    kept = stored(kept.select("comp", "x", "y"), "leaves")
+    named = place.join(kept, ["x", "y"]).select("spot", "comp")
+    named = named.join(named.groupBy("comp").agg(F.min("spot").alias("cluster")), "comp").select("spot", "cluster")
+    return place.join(named, "spot", "left").select(F.col("spot").alias(key), "cluster")

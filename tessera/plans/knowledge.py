@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.operators import claims, density
+from tessera.operators import claims, density, layout
 from tessera.sources.tables import table
 
 QUERIES: dict = {}
@@ -128,5 +128,11 @@ def density_clusters(spark, d):
 
 @query()
 def landscape(spark, d):
-    out = density.plane(table(spark, d, "embeddings"), "vec_id", "embedding")
-    return out.select("vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    out = layout.plane(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return out.select("vec_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query()
+def plane_clusters(spark, d):
+    """Density clusters of all rows together on the plane of the principal components; noise has none.  The sequential tree is in the tests."""
+    return density.leaves(density.plane(table(spark, d, "embeddings"), "vec_id", "embedding"), "vec_id", min_size=2)

@@ -317,9 +317,9 @@ def title_jaccard_pairs(spark, d):
 
 
 @query(r"""
-with q as (select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) as s, regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':\d+$', ''), '^www\.', '') as h,
+with q as (select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) as s, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') as h,
   regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') as p,
-  list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^utm_|^(fbclid|gclid|ref|ref_src|mc_cid|mc_eid)(=|$)'))) as k from pages)
+  list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.') and not regexp_matches(x, '(?i)^(utm_source|utm_medium|utm_campaign|utm_term|utm_content|fbclid|gclid|mc_cid|mc_eid|ref|ref_src|ref_url|share|sharedfrom|amp)='))) as k from pages)
 select page_id, s || '://' || h || p || case when len(k) > 0 then '?' || array_to_string(k, '&') else '' end as canonical from q""")
 def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
@@ -585,6 +585,14 @@ def frame_variants(spark, d):
     return cluster.variants(e, "label", "vec_id", "embedding")
 
 
+@query()
+def variant_summaries(spark, d):
+    """Variants with their size, span and centroid (its first component, rounded)."""
+    e = table(spark, d, "embeddings").withColumn("ts", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 90).cast("int")))
+    out = cluster.variant_summaries(e, cluster.variants(e, "label", "vec_id", "embedding"), "label", "vec_id", "embedding", "ts")
+    return out.select("label", "variant", "quotes", "first_seen", "last_seen", F.round(F.get("centroid", F.lit(0)), 6).alias("centroid"))
+
+
 @query("""select o_custkey, o_orderkey, o_orderpriority from orders qualify rank() over (partition by o_custkey order by o_orderpriority desc) = 1""")
 def cited_matches(spark, d):
     return review.best_matches(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", "o_orderpriority")

@@ -29,10 +29,14 @@ def test_title_rules(spark):
 def test_urls_and_platforms(spark):
     assert one(spark, text.canonical_url(F.col("u")), u="HTTPS://WWW.Example.com/a/?utm_source=x&b=2&a=1#top") == "https://example.com/a?a=1&b=2"
     assert one(spark, text.domain(F.col("u")), u=None) is None
+    assert one(spark, text.canonical_url(F.col("u")), u="http://a.example:8080/x?share=1&Amp=1&ref_url=u&sharedfrom=2&utm_id=7&empty=&flag&k=v") == "http://a.example:8080/x?k=v&utm_id=7"
+    assert one(spark, text.canonical_url(F.col("u")), u="no host") is None
     p = lambda u, n: one(spark, text.platform(F.col("u"), F.col("n")), u=u, n=n)
     assert p("https://fed.brid.gy/r/https://bsky.app/profile/x", "Mastodon via x") == "bluesky"
     assert p("https://old.reddit.com/r/x", None) == "reddit" and p("https://a.example", "YouTube: x") == "youtube" and p("https://a.example", None) is None
     assert one(spark, text.junk_title(F.col("t"), ["untitled"]), t=" Untitled ") and one(spark, text.junk_title(F.col("t"), []), t="www.example.com") and not one(spark, text.junk_title(F.col("t"), []), t="A story")
+    assert p("http://news.example/nitter-shuts-down", None) is None and p("https://nitter.poast.org/a", None) == "twitter" and p("https://mastodon.social/@a/1", None) == "mastodon" and p("https://x.mastodon.social/", None) is None
+    assert one(spark, text.strip_html(F.col("h")), h="&mdash;&#8217;&eacute;&#x27;&#x1F600;&amp;lt; &nope; &#0; a&nbsp;&#160;b & c; &#xD800;") == "—’é'😀&lt; &nope; \ufffd a b & c; \ufffd"
     assert one(spark, text.strip_html(F.col("h")), h="<p>a&amp;b</p><script>x<y</script> <b>c</b>") == "a&b c"
     assert one(spark, text.humanise_name(F.col("n")), n="SMITH, JANE") == "Jane Smith"
     assert one(spark, text.json_list(F.col("j")), j="not json") == []

@@ -7,6 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import cluster, density, graph, stories
 
 T0 = dt.datetime(2024, 1, 1)
@@ -19,7 +20,7 @@ def test_ratio_and_simhash(spark):
     body = "The quick brown fox jumped over seven lazy dogs while rain kept falling on the town"
     df = spark.createDataFrame([(body,), (body + " today",), (None,), ("of the",)], "t string")
     a, b, none, empty = (r.h for r in df.select(stories.simhash("t").alias("h")).collect())
-    assert none == empty == 0 and a and bin((a ^ b) % 2**64).count("1") < 25
+    assert none is None and empty is None and a and bin((a ^ b) % 2**64).count("1") < 25
 
 
 def test_duplicate_pairs(spark):
@@ -32,6 +33,29 @@ def test_duplicate_pairs(spark):
     assert got == {1: (2, 1.0), 6: (7, 1.0)}
 
 
+def test_duplicate_pairs_against_brute_force(spark):
+    """A prefix is found anywhere in a title: inside a word, behind other words; every stub against every article."""
+    rng = random.Random(7)
+    words = ["plan", "harbour", "bridge", "wonderfulness", "council", "town", "vote", "for", "the", "new", "budget", "-", "Ünïon"]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(3, 9)))
+    rows = [(1, "wonderfulness plan for the town council", "s"), (2, "Unwonderfulness plan for the town council", "b" * 600)]
+    for i in range(3, 160):
+        t = rng.choice(rows)[1] if rng.random() < 0.6 else title()
+        t = rng.choice(["", "", "Un", "Update: ", "A "]) + (t or "") + rng.choice(["", "", " x", " - The Daily"])
+        rows.append((i, rng.choice([t, t, t, None]), rng.choice(["s", "b" * 600, "b" * 300, None])))
+    df = spark.createDataFrame(rows, "id long, title string, body string").repartition(4)
+    norm = {r.id: (r.norm, r.low) for r in df.select("id", text.publisher_stripped(F.col("title")).alias("norm"), F.lower("title").alias("low")).collect()}
+    want = {}
+    for i, t, b in rows:
+        if t is None or b is None or len(b) >= 200 or len(norm[i][0]) < 20:
+            continue
+        near = [(-difflib.SequenceMatcher(None, norm[i][0], norm[j][0]).ratio(), j) for j, u, c in rows if u is not None and c is not None and len(c) >= 500 and norm[i][0][:30] in norm[j][1]]
+        near = [x for x in near if -x[0] >= 0.9]
+        if near:
+            want[i] = min(near)[1]
+    assert {r.stub_id: r.canonical_id for r in stories.duplicate_pairs(df, F.lit(True)).collect()} == want and want[1] == 2 and len(want) > 2
+
+
 def test_links_and_assignment(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
@@ -105,6 +129,11 @@ def test_greedy_clusters(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_texts_without_words_do_not_pair(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (4, "Привет мир 日本"), (5, "primary election"), (6, "one two three"), (7, "one two three")], "k long, t string")
+    assert {(r.a, r.b, r.distance) for r in stories.simhash_pairs(df.select("k", stories.simhash("t").alias("h")), "k", "h").collect()} == {(6, 7, 0)}
+
+
 def test_simhash_pairs(spark):
     rng = random.Random(2)
     hashes = [rng.getrandbits(64) for _ in range(60)]
