@@ -69,3 +69,34 @@ def test_too_many_keywords(spark, world, monkeypatch):
     words(("d", True, T))
     with pytest.raises(ValueError):
         job.active(spark, at("words"))
+
+
+def test_suspect_samples_in_every_order_of_arrival(spark, tmp_path):
+    """The standing flags are those of the batch rules over all samples, whatever order they come in within the watermark."""
+    import random
+
+    from tessera.operators import upkeep
+    from tessera.streaming import suspects
+
+    rng = random.Random(1)
+    rows = [(f"s{s}", T + dt.timedelta(minutes=m), float(rng.choice([40, 45, 70, 10])), float(rng.choice([55, 60, 30]))) for s in range(3) for m in range(0, 240, 10)]
+    late = [r for r in rows if rng.random() < 0.3]
+    batches = [[] for _ in range(6)]
+    for r in rows:  # a sample comes with its hour or one batch later
+        batches[int((r[1] - T).total_seconds() // 3600) + (r in late)].append(r)
+    schema = "source string, at timestamp, own double, other double"
+    source, told = f"file://{tmp_path}/in", f"file://{tmp_path}/told"
+
+    def append(batch, number):
+        batch.write.mode("overwrite").parquet(f"{told}/{number}")
+
+    for b in batches:
+        rng.shuffle(b)
+        spark.createDataFrame(b or [("s0", T, 1.0, 1.0)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = suspects.flagged(spark.readStream.schema(schema).parquet(source), "3 hours")
+        stream.writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {tuple(r) for r in suspects.latest(spark.read.schema(suspects.OUT).parquet(f"{told}/*")).select("source", "at", "suspect").collect()}
+    every = spark.createDataFrame(rows, schema)
+    want = {tuple(r) for r in upkeep.samples(every.limit(0), every).select("source", "at", "suspect").collect()}
+    assert got == want and any(r[2] for r in want)
