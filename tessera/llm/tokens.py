@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.minhash import _grouped
 from tessera.llm.mph import MinimalHash, fingerprint
 from tessera.llm.packing import Encoder
-from tessera.llm.store import batches, durable, shared_dir
+from tessera.llm.store import batches, durable, remove, shared_dir
 from tessera.llm.textual import mix
 
 MAGIC = b"TSRIDS1\0"
@@ -37,7 +37,7 @@ KEYS = 1 << 20
 #: Ids of a stretch of a shard that one task reads.
 STRETCH = 1 << 20
 #: Bytes of ids that a task hands on at a time.
-PIECE = 1 << 24
+PIECE = 1 << 22
 
 #: Characters whose NFC form is themselves and whose lower case is one character; texts of others are the library's.
 _PLAIN = re.compile("[\t\n\r !-~¡-¬®-įı-ɏ]*")
@@ -208,46 +208,82 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
 
     A null text is empty: the end id alone.  Rows of equal doc_id stand in the order of a hash of their texts and are numbered; a null doc_id is a key
     like any other and stands last.  Very long texts are encoded whole.  Other columns are ignored.  An empty table gives no file.
-    shards (default: the session's shuffle partitions) bounds the shards, so one shard's documents, cut at equal shares of the rows, fit a task; they are streamed.
+    Each task of the scan encodes its texts into a run; only places in runs are sorted, and the shards are copied from the runs in that order: no text or id is shuffled.
+    shards (default: the session's shuffle partitions) bounds the number of shards, which hold about equal shares of the rows; all are streamed.
     """
     spark: SparkSession = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    files, at = _files(folder)
+    runs = f"{folder}/runs"
+    files, at = _files(runs)
     files.create_dir(at, recursive=True)
 
-    def shard(stream):
+    def coded(stream):
+        """Ids of the rows of one task of the scan, in its order, as a run of its own."""
         enc = encoder(tokenizer)
         wide = 2 if max(enc.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else 4
+        files, at = _files(runs)
+        name, out, start = f"run-{uuid.uuid4().hex}", None, 0
+        try:
+            for batch in stream:
+                out = out or files.open_output_stream(f"{at}/{name}")
+                size = []
+                for ids in enc.encode(["" if t is None else t for t in batch.column(1).to_pylist()]):
+                    out.write(np.append(ids, end_id).astype(f"<u{wide}").tobytes())
+                    size.append(len(ids) + 1)
+                first = start + np.append(0, np.cumsum(size, dtype=np.int64))
+                start = int(first[-1])
+                columns = [batch.column(0), batch.column(2), pa.array([name] * len(size), pa.string()), pa.array(first[:-1]), pa.array(size, pa.int64()), pa.array(np.full(len(size), wide, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "run", "at", "n_tokens", "wide"])
+        finally:
+            if out is not None:
+                out.close()
+
+    def shard(stream):
+        """Copies the sorted documents of one task from their runs to a shard; what stands together in a run is read at once."""
+        (source, there), (files, at) = _files(runs), _files(folder)
         number, name, out, start = TaskContext.get().partitionId(), f"ids-{uuid.uuid4().hex}.bin", None, 0
-        files, at = _files(folder)
-        last, nth = object(), 0
+        last, nth, opened, x = object(), 0, None, None
         try:
             for batch in stream:
-                doc = batch.column(0).to_pylist()
+                doc, run = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                place, size, wide = (batch.column(i).to_numpy() for i in (3, 4, 5))
                 if out is None and doc:
                     out = files.open_output_stream(f"{at}/{name}")
-                    out.write(MAGIC + wide.to_bytes(4, "little") + bytes(4))
-                size, order = [], []
-                for d, ids in zip(doc, enc.encode(["" if t is None else t for t in batch.column(1).to_pylist()]), strict=True):
+                    out.write(MAGIC + int(wide[0]).to_bytes(4, "little") + bytes(4))
+                i = 0
+                while i < len(doc):
+                    j, total = i + 1, int(size[i])
+                    while j < len(doc) and run[j] == run[i] and place[j] == place[i] + total and total < STRETCH:
+                        total += int(size[j])
+                        j += 1
+                    if opened != run[i]:
+                        if x is not None:
+                            x.close()
+                        x, opened = source.open_input_file(f"{there}/{run[i]}"), run[i]
+                    out.write(x.read_at(total * int(wide[i]), int(place[i]) * int(wide[i])))
+                    i = j
+                order = []
+                for d in doc:
                     nth = nth + 1 if d == last else 0
                     last = d
-                    out.write(np.append(ids, end_id).astype(f"<u{wide}").tobytes())
-                    size.append(len(ids) + 1)
                     order.append(nth)
-                first = start + np.append(0, np.cumsum(size, dtype=np.int64))
+                first = start + np.append(0, np.cumsum(size))
                 start = int(first[-1])
-                columns = [batch.column(0), pa.array(order, pa.int64()), pa.array(np.full(len(doc), number, np.int32)), pa.array([name] * len(doc), pa.string()), pa.array(first[:-1]), pa.array(size, pa.int64())]
+                columns = [batch.column(0), pa.array(order, pa.int64()), pa.array(np.full(len(doc), number, np.int32)), pa.array([name] * len(doc), pa.string()), pa.array(first[:-1]), pa.array(size)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "nth", "shard", "file", "start", "n_tokens"])
         finally:
-            if out is not None:
-                out.close()
+            for f in (x, out):
+                if f is not None:
+                    f.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     with batches(spark, 256):
-        places = durable(rows.mapInArrow(shard, "doc_id long, nth long, shard int, file string, start long, n_tokens long"), "places")
+        found = durable(rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(coded, "doc_id long, t long, run string, at long, n_tokens long, wide int"), "runs")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("t"), F.col("run"), F.col("at")]
+    found = found.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    places = durable(found.mapInArrow(shard, "doc_id long, nth long, shard int, file string, start long, n_tokens long"), "places")
+    remove(spark, runs)
     # One row for each shard: a number that the caller sets.
     ends = (F.min_by("doc_id", "start").alias("first"), F.max_by(F.struct("doc_id", "nth"), "start").alias("last"))
     summed = places.groupBy("shard", "file").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"), *ends).orderBy("shard").collect()
