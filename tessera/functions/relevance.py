@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +16,19 @@ NOISE_PENALTY, CONNECTED = 50, 60
 #: What a verdict starts from.
 VERDICTS = {"irrelevant": 0, "loosely_related": 20, "relevant": 50, "critical": 75}
 URGENCIES = ["low", "medium", "high", "critical"]
+#: Terms of the topics that are noise, of elections, records, attacks and claims, and what is left out by default.
+SPORTS = ["phillies", "eagles", "flyers", "76ers", "mlb", "nba", "nfl", "nhl", "coach", "manager", "playoffs", "game", "season"]
+ENTERTAINMENT = ["movie", "concert", "celebrity", "actor", "music", "festival", "streaming"]
+WEATHER = ["weather", "forecast", "rain", "snow", "storm", "temperature", "heat wave"]
+FOOD = ["restaurant", "dining", "chef", "menu", "food", "bar", "brewery"]
+CRIME = ["arrest", "shooting", "robbery", "burglary", "assault", "police blotter"]
+EXCLUDED = ["sports", "phillies", "eagles", "flyers", "76ers", "mlb", "nba", "nfl", "nhl", "playoffs", "game", "manager", "coach", "celebrity", "restaurant", "recipe", "weather", "lottery"]
+ELECTION = ["campaign", "candidate", "election", "vote", "voter", "ballot", "poll", "endorsement", "debate", "primary", "general election", "yard sign"]
+RECORDS = ["filing", "finance", "campaign finance", "donation", "pac", "committee", "ballot", "election", "ethics", "public record"]
+ATTACKS = ["false", "lied", "lying", "misleading", "failed", "failure", "attack", "accused", "reckless", "dangerous", "corrupt", "flip-flop"]
+CLAIMS = ["says", "said", "claims", "claimed", "announced", "stated", "pledged", "promised"]
+NAME_TITLES = ["jr", "sr", "mr", "ms", "dr", "rep", "sen", "hon", "ii", "iii"]
+STATEMENT_TYPES, SPARSE_TYPES, RECORD_TYPE, NEWS_TYPE = ["opponent_statement", "campaign_note"], ["public_record", "social"], "public_record", "news"
 
 
 def _n(flag: Column, points: Column | float) -> Column:
@@ -23,11 +39,69 @@ def _any(*flags: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in flags])
 
 
-def mentions(text: Column, words: list[str]) -> Column:
-    """Whether any of the words or phrases stands in the text as such; false for a null text."""
-    from tessera.functions.text import keyword_pattern
+@dataclass(frozen=True)
+class Race:
+    """What a campaign says of itself: names, places and words; empty where it says nothing."""
 
-    return F.coalesce(text.rlike(keyword_pattern(words)), F.lit(False)) if words else F.lit(False)
+    candidate: str = ""
+    opponents: tuple[str, ...] = ()
+    district: tuple[str, ...] = ()
+    location: str = ""
+    office: tuple[str, ...] = ()
+    geography: tuple[str, ...] = ()
+    priorities: tuple[str, ...] = ()
+    issues: tuple[str, ...] = ()
+    keywords: tuple[str, ...] = ()
+    excluded: tuple[str, ...] = ()
+    sparse: bool = False
+
+
+def surname(name: str) -> list[str]:
+    """The word of a name that stands for it in a text: the last of over two letters, before the comma if there is one, titles left out."""
+    parts = [re.sub("[^a-z]", "", w) for w in name.split(",")[0].lower().split()]
+    return [w for w in parts if len(w) > 2 and w not in NAME_TITLES][-1:]
+
+
+def said(text: Column, terms: Iterable[str], shortest: int = 1) -> Column:
+    """Whether any of the terms stands in a lower-case text between word boundaries; terms of fewer characters than `shortest` never do."""
+    clean = sorted({re.sub(r"\s+", " ", t).strip().lower() for t in terms} - {""})
+    clean = ["".join(c if c.isalnum() or c in " _" else "\\" + c for c in t) for t in clean if len(t) >= shortest]
+    return text.rlike(r"\b(?:" + "|".join(clean) + r")\b") if clean else F.lit(False)
+
+
+def _issue_terms(name: str) -> list[str]:
+    """An issue's name as a phrase, and its words of four characters and more."""
+    return [*([name] if len(name.strip()) >= 3 else []), *(t for t in re.split("[^a-z0-9]+", name.lower()) if len(t) >= 4)]
+
+
+def text_relevance(title: Column, body: Column, summary: Column, kind: Column, name: Column, url: Column, quality: Column, race: Race) -> Column:
+    """race_relevance() of an item with every signal read from its text, and a list of reasons.
+
+    The text is title, body, summary, kind, name and url of the source together, in lower case, white space collapsed; nulls are empty.  Names count by surname()
+    as a whole word; phrases of under three characters never do.  kind tells statements, public records and news; quality "poor" is that of a bad extraction.
+    """
+    t = F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, body, summary, kind, name, url)]), r"\s+", " ")))
+    kind = F.coalesce(kind, F.lit(""))
+    phrase = lambda terms: said(t, terms, 3)
+    district = phrase((*race.district, race.location))
+    s = {
+        "candidate": said(t, surname(race.candidate)),
+        "opponent": said(t, [w for o in race.opponents for w in surname(o)]),
+        "district": district,
+        "office": phrase(race.office),
+        "local": district | phrase((race.location, *race.geography)),
+        "election": said(t, ELECTION),
+        "priority_issue": phrase(race.priorities),
+        "known_issue": said(t, [w for i in race.issues for w in _issue_terms(i)]),
+        "keyword": phrase(race.keywords),
+        "record": (kind == RECORD_TYPE) & said(t, RECORDS),
+        "statement": kind.isin(STATEMENT_TYPES),
+        "sparse_source": kind.isin(SPARSE_TYPES),
+    }
+    topics = {k: said(t, terms) for k, terms in (("sports", SPORTS), ("entertainment", ENTERTAINMENT), ("weather", WEATHER), ("food", FOOD), ("generic_crime", CRIME))}
+    out = race_relevance(s, topics, said(t, (*EXCLUDED, *race.excluded)), said(t, CLAIMS), said(t, ATTACKS), kind == NEWS_TYPE, F.coalesce(quality == "poor", F.lit(False)), race.sparse, kind == RECORD_TYPE)
+    reasons = F.filter(F.array(*[F.when(flag, F.lit(k)) for k, flag in s.items() if k != "sparse_source" or race.sparse]), lambda r: r.isNotNull())
+    return F.struct(*[out[k].alias(k) for k in ("score", "label", "action", "action_score", "category", "geo", "archived")], reasons.alias("reasons"))
 
 
 def relevance_label(score: Column) -> Column:
@@ -42,10 +116,11 @@ def content_category(topics: dict[str, Column], connected: Column, priority_issu
     return out.when(priority_issue, "priority_issue").when(connected, "campaign").otherwise("irrelevant")
 
 
-def race_relevance(s: dict[str, Column], topics: dict[str, Column], excluded: Column, claims: Column, attacks: Column, news: Column, poor: Column, sparse: bool = False) -> Column:
+def race_relevance(s: dict[str, Column], topics: dict[str, Column], excluded: Column, claims: Column, attacks: Column, news: Column, poor: Column, sparse: bool = False, public: Column | None = None) -> Column:
     """A struct of score, label, action, action_score, category, geo and archived.
 
-    s: the signals of POINTS; news, poor: a news item and one whose text was badly extracted; sparse: the race has little coverage.
+    s: the signals of POINTS; news, poor: a news item and one whose text was badly extracted; sparse: the race has little coverage; public: a
+    public record, which with a word of elections needs no connection (default: one that s says is).
     """
     named = _any(s["candidate"], s["opponent"], s["district"])
     connected = named | _any(s["office"], s["local"], s["keyword"], s["statement"])
@@ -53,7 +128,8 @@ def race_relevance(s: dict[str, Column], topics: dict[str, Column], excluded: Co
     total = sum((_n(F.coalesce(s[k], F.lit(False)), F.lit(p[sparse])) for k, p in POINTS.items() if k in s), F.lit(0))
     total = F.when(named, F.greatest(total, F.lit(CONNECTED))).otherwise(total)
     total = total - _n(category.isin(*topics) if topics else F.lit(False), NOISE_PENALTY) - _n(excluded & ~named, NOISE_PENALTY)
-    loose = ~connected & ~(F.coalesce(s["record"], F.lit(False)) & F.coalesce(s["election"], F.lit(False)))
+    public = s["record"] if public is None else public
+    loose = ~connected & ~(F.coalesce(public, F.lit(False)) & F.coalesce(s["election"], F.lit(False)))
     total = F.when(loose, F.least(total, F.lit(40 if sparse else 30))).otherwise(total)
     total = F.when(s["priority_issue"] & ~connected, F.least(total, F.lit(30))).otherwise(total)
     score = F.greatest(F.lit(0), F.least(F.lit(100), total))

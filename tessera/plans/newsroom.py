@@ -55,6 +55,41 @@ def race_relevance(spark, d):
     return _docs(spark, d).select("doc_id", r.alias("r")).select("doc_id", "r.*")
 
 
+#: A race whose names and words stand in the driver's documents.
+RACE = relevance.Race(candidate="LICENSE, ANN", opponents=("Dr. Bob Version Jr.", "X Jr"), district=("commons", "zz"), location="apache", office=("the end",), geography=("und der", "de la"), priorities=("haben",), issues=("Nicht wie", "ab"), keywords=("http", "les"), excluded=("por", "que"))
+
+_SAID = "regexp_matches(t, '\\b(?:{})\\b')"
+_NOISE = {"sports": "phillies|eagles|flyers|76ers|mlb|nba|nfl|nhl|coach|manager|playoffs|game|season", "entertainment": "movie|concert|celebrity|actor|music|festival|streaming", "weather": "weather|forecast|rain|snow|storm|temperature|heat wave", "food": "restaurant|dining|chef|menu|food|bar|brewery", "crime": "arrest|shooting|robbery|burglary|assault|police blotter"}
+
+
+@query(f"""
+with d as (select *, case lang when 'en' then 'news' when 'de' then 'public_record' when 'fr' then 'social' else 'campaign_note' end as kind from documents),
+x as (select doc_id, kind, kind = 'news' and n_chars < 200 as weak, lower(trim(regexp_replace(coalesce(split_part(text, chr(10), 1), '') || ' ' || coalesce(text, '') || '  ' || kind || ' ' || coalesce(source, '') || ' ', '[ \t\n\x0b\f\r]+', ' ', 'g'))) as t from d),
+s as (select doc_id, kind, weak, {_SAID.format("license")} as cand, {_SAID.format("version")} as opp, {_SAID.format("commons|apache")} as dist, {_SAID.format("the end")} as office, {_SAID.format("und der|de la")} as geo,
+  {_SAID.format("campaign|candidate|election|vote|voter|ballot|poll|endorsement|debate|primary|general election|yard sign")} as elect, {_SAID.format("haben")} as prio, {_SAID.format("nicht wie|nicht")} as issue, {_SAID.format("http|les")} as kw,
+  kind = 'public_record' as rec, {_SAID.format("filing|finance|campaign finance|donation|pac|committee|ballot|election|ethics|public record")} as recterm, kind = 'campaign_note' as stm,
+  {_SAID.format("sports|recipe|lottery|phillies|eagles|flyers|76ers|mlb|nba|nfl|nhl|playoffs|game|manager|coach|celebrity|restaurant|weather|por|que")} as excl, {_SAID.format("says|said|claims|claimed|announced|stated|pledged|promised|false|lied|lying|misleading|failed|failure|attack|accused|reckless|dangerous|corrupt|flip-flop")} as answer,
+  {_SAID.format(_NOISE["sports"])} as sp, {_SAID.format(_NOISE["entertainment"])} as en, {_SAID.format(_NOISE["weather"])} as we, {_SAID.format(_NOISE["food"])} as fo, {_SAID.format(_NOISE["crime"])} as cr from x),
+c as (select *, cand or opp or dist as named, dist or geo as loc, cand or opp or dist or office or geo or kw or stm as con from s),
+k as (select *, case when sp or en then case when con then 'campaign' when sp then 'sports' else 'entertainment' end when we and not con and not prio then 'weather' when fo and not con and not prio then 'food' when cr and not con and not prio then 'generic_crime'
+  when prio then 'priority_issue' when con then 'campaign' else 'irrelevant' end as category,
+  cand::int * 35 + opp::int * 35 + dist::int * 30 + office::int * 20 + loc::int * 15 + elect::int * 20 + prio::int * 20 + issue::int * 10 + kw::int * 20 + (rec and recterm)::int * 20 + stm::int * 30 as p from c),
+u as (select *, case when named then greatest(p, 60) else p end - case when category in ('sports', 'entertainment', 'weather', 'food', 'generic_crime') then 50 else 0 end - case when excl and not named then 50 else 0 end as p2 from k),
+v as (select *, case when not con and not (rec and elect) then least(p2, 30) else p2 end as p3 from u),
+w as (select *, greatest(0, least(100, case when prio and not con then least(p3, 30) else p3 end)) as score from v),
+a as (select *, case when score >= 60 and (cand or opp) and answer then 'respond' when score >= 60 then 'review' when score >= 40 then 'monitor' else 'ignore' end as act from w),
+z as (select *, case act when 'respond' then least(100, score + 15) when 'review' then score when 'monitor' then least(score, 59) else least(score, 39) end as pts from a),
+f as (select doc_id, case when weak then least(score, 70) else score end as score, case when weak and act = 'respond' then 'review' else act end as action, case when weak and act = 'respond' then least(pts, 69) else pts end as action_score, category, case when dist then 'district' when loc then 'local' else 'none' end as geo,
+  array_to_string(list_filter([case when cand then 'candidate' end, case when opp then 'opponent' end, case when dist then 'district' end, case when office then 'office' end, case when loc then 'local' end, case when elect then 'election' end, case when prio then 'priority_issue' end, case when issue then 'known_issue' end, case when kw then 'keyword' end, case when rec and recterm then 'record' end, case when stm then 'statement' end], lambda r: r is not null), ',') as reasons from z)
+select doc_id, cast(score as int) as score, case when score >= 80 then 'critical' when score >= 60 then 'high' when score >= 40 then 'medium' when score >= 20 then 'low' else 'irrelevant' end as label, action, cast(action_score as int) as action_score, category, geo, score < 20 or action = 'ignore' or category = 'irrelevant' as archived, reasons from f""")
+def text_relevance(spark, d):
+    """Every signal read from title, text and source with term tables; kinds of sources follow the language, short news count as badly extracted."""
+    kind = F.when(F.col("lang") == "en", "news").when(F.col("lang") == "de", "public_record").when(F.col("lang") == "fr", "social").otherwise("campaign_note")
+    none = F.lit(None).cast("string")
+    r = relevance.text_relevance(F.substring_index("text", "\n", 1), F.col("text"), none, kind, F.col("source"), none, F.when(F.col("n_chars") < 200, "poor"), RACE)
+    return _docs(spark, d).select("doc_id", r.alias("r")).select("doc_id", "r.*").withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("""
 with v as (select event_id, case event_id % 5 when 0 then 'irrelevant' when 1 then 'loosely_related' when 2 then 'critical' else 'relevant' end as verdict, case event_id % 3 when 0 then 'ignore' when 1 then 'monitor' else 'respond' end as act,
   event_id % 2 = 0 as att, case when event_id % 4 = 0 then 'why' when event_id % 4 = 2 then ' ' end as why, event_id % 7 as n, user_id % 3 as h, event_id % 11 = 0 as signal from events),
