@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Points of each signal, usually and in races with little coverage.
@@ -27,6 +27,7 @@ ELECTION = ["campaign", "candidate", "election", "vote", "voter", "ballot", "pol
 RECORDS = ["filing", "finance", "campaign finance", "donation", "pac", "committee", "ballot", "election", "ethics", "public record"]
 ATTACKS = ["false", "lied", "lying", "misleading", "failed", "failure", "attack", "accused", "reckless", "dangerous", "corrupt", "flip-flop"]
 CLAIMS = ["says", "said", "claims", "claimed", "announced", "stated", "pledged", "promised"]
+TOPICS = {"sports": SPORTS, "entertainment": ENTERTAINMENT, "weather": WEATHER, "food": FOOD, "generic_crime": CRIME}
 NAME_TITLES = ["jr", "sr", "mr", "ms", "dr", "rep", "sen", "hon", "ii", "iii"]
 STATEMENT_TYPES, SPARSE_TYPES, RECORD_TYPE, NEWS_TYPE = ["opponent_statement", "campaign_note"], ["public_record", "social"], "public_record", "news"
 
@@ -63,10 +64,10 @@ def surname(name: str) -> list[str]:
 
 
 def said(text: Column, terms: Iterable[str], shortest: int = 1) -> Column:
-    """Whether any of the terms stands in a lower-case text between word boundaries; terms of fewer characters than `shortest` never do."""
+    """Whether any of the terms stands in a lower-case text with no letter, digit or underscore of any script beside it; terms of fewer characters than `shortest` never do."""
     clean = sorted({re.sub(r"\s+", " ", t).strip().lower() for t in terms} - {""})
     clean = ["".join(c if c.isalnum() or c in " _" else "\\" + c for c in t) for t in clean if len(t) >= shortest]
-    return text.rlike(r"\b(?:" + "|".join(clean) + r")\b") if clean else F.lit(False)
+    return text.rlike(r"(?<![\pL\pN_])(?:" + "|".join(clean) + r")(?![\pL\pN_])") if clean else F.lit(False)
 
 
 def _issue_terms(name: str) -> list[str]:
@@ -74,34 +75,46 @@ def _issue_terms(name: str) -> list[str]:
     return [*([name] if len(name.strip()) >= 3 else []), *(t for t in re.split("[^a-z0-9]+", name.lower()) if len(t) >= 4)]
 
 
-def text_relevance(title: Column, body: Column, summary: Column, kind: Column, name: Column, url: Column, quality: Column, race: Race) -> Column:
-    """race_relevance() of an item with every signal read from its text, and a list of reasons.
+def text_relevance(items: DataFrame, title: Column, body: Column, summary: Column, kind: Column, name: Column, url: Column, quality: Column, race: Race) -> DataFrame:
+    """items with a column `relevance`: race_relevance() with every signal read from the text, and a list of reasons.
 
     The text is title, body, summary, kind, name and url of the source together, in lower case, white space collapsed; nulls are empty.  Names count by surname()
     as a whole word; phrases of under three characters never do.  kind tells statements, public records and news; quality "poor" is that of a bad extraction.
+    Text and signals are columns of their own, so that each term table searches a text once however often the rules ask.
     """
+    kept, own = [c for c in items.columns if c != "relevance"], _own(items, "_said_")
     t = F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, body, summary, kind, name, url)]), r"\s+", " ")))
-    kind = F.coalesce(kind, F.lit(""))
+    items = items.select("*", t.alias(own + "text"), F.coalesce(kind, F.lit("")).alias(own + "kind"), F.coalesce(quality == "poor", F.lit(False)).alias(own + "poor"))
+    t, kind = F.col(own + "text"), F.col(own + "kind")
     phrase = lambda terms: said(t, terms, 3)
-    district = phrase((*race.district, race.location))
-    s = {
+    read = {
         "candidate": said(t, surname(race.candidate)),
         "opponent": said(t, [w for o in race.opponents for w in surname(o)]),
-        "district": district,
+        "district": phrase((*race.district, race.location)),
         "office": phrase(race.office),
-        "local": district | phrase((race.location, *race.geography)),
+        "near": phrase((race.location, *race.geography)),
         "election": said(t, ELECTION),
         "priority_issue": phrase(race.priorities),
         "known_issue": said(t, [w for i in race.issues for w in _issue_terms(i)]),
         "keyword": phrase(race.keywords),
         "record": (kind == RECORD_TYPE) & said(t, RECORDS),
+        "excluded": said(t, (*EXCLUDED, *race.excluded)),
+        "claims": said(t, CLAIMS),
+        "attacks": said(t, ATTACKS),
+        **{k: said(t, terms) for k, terms in TOPICS.items()},
+    }
+    items = items.select("*", *[c.alias(own + k) for k, c in read.items()])
+    r = {k: F.col(own + k) for k in read}
+    s = {
+        **{k: r[k] for k in ("candidate", "opponent", "district", "office")},
+        "local": r["district"] | r["near"],
+        **{k: r[k] for k in ("election", "priority_issue", "known_issue", "keyword", "record")},
         "statement": kind.isin(STATEMENT_TYPES),
         "sparse_source": kind.isin(SPARSE_TYPES),
     }
-    topics = {k: said(t, terms) for k, terms in (("sports", SPORTS), ("entertainment", ENTERTAINMENT), ("weather", WEATHER), ("food", FOOD), ("generic_crime", CRIME))}
-    out = race_relevance(s, topics, said(t, (*EXCLUDED, *race.excluded)), said(t, CLAIMS), said(t, ATTACKS), kind == NEWS_TYPE, F.coalesce(quality == "poor", F.lit(False)), race.sparse, kind == RECORD_TYPE)
-    reasons = F.filter(F.array(*[F.when(flag, F.lit(k)) for k, flag in s.items() if k != "sparse_source" or race.sparse]), lambda r: r.isNotNull())
-    return F.struct(*[out[k].alias(k) for k in ("score", "label", "action", "action_score", "category", "geo", "archived")], reasons.alias("reasons"))
+    items = race_relevance(items, s, {k: r[k] for k in TOPICS}, r["excluded"], r["claims"], r["attacks"], kind == NEWS_TYPE, F.col(own + "poor"), race.sparse, kind == RECORD_TYPE)
+    reasons = F.filter(F.array(*[F.when(flag, F.lit(k)) for k, flag in s.items() if k != "sparse_source" or race.sparse]), lambda x: x.isNotNull())
+    return items.select(*[F.col(f"`{c}`") for c in kept], F.col("relevance").withField("reasons", reasons).alias("relevance"))
 
 
 def relevance_label(score: Column) -> Column:
@@ -116,35 +129,44 @@ def content_category(topics: dict[str, Column], connected: Column, priority_issu
     return out.when(priority_issue, "priority_issue").when(connected, "campaign").otherwise("irrelevant")
 
 
-def race_relevance(s: dict[str, Column], topics: dict[str, Column], excluded: Column, claims: Column, attacks: Column, news: Column, poor: Column, sparse: bool = False, public: Column | None = None) -> Column:
-    """A struct of score, label, action, action_score, category, geo and archived.
+def _own(items: DataFrame, name: str) -> str:
+    """A prefix that begins no column of items."""
+    while any(c.lower().startswith(name) for c in items.columns):
+        name += "_"
+    return name
+
+
+def race_relevance(items: DataFrame, s: dict[str, Column], topics: dict[str, Column], excluded: Column, claims: Column, attacks: Column, news: Column, poor: Column, sparse: bool = False, public: Column | None = None) -> DataFrame:
+    """items with a column `relevance`: a struct of score, label, action, action_score, category, geo and archived.
 
     s: the signals of POINTS; news, poor: a news item and one whose text was badly extracted; sparse: the race has little coverage; public: a
-    public record, which with a word of elections needs no connection (default: one that s says is).
+    public record, which with a word of elections needs no connection (default: one that s says is).  Each rule is a column that later ones
+    read, so that plans grow with the number of rules, not with their depth.
     """
-    named = _any(s["candidate"], s["opponent"], s["district"])
-    connected = named | _any(s["office"], s["local"], s["keyword"], s["statement"])
-    category = content_category(topics, connected, s["priority_issue"])
-    total = sum((_n(F.coalesce(s[k], F.lit(False)), F.lit(p[sparse])) for k, p in POINTS.items() if k in s), F.lit(0))
-    total = F.when(named, F.greatest(total, F.lit(CONNECTED))).otherwise(total)
-    total = total - _n(category.isin(*topics) if topics else F.lit(False), NOISE_PENALTY) - _n(excluded & ~named, NOISE_PENALTY)
+    own = _own(items, "_race_")
+    c = lambda name: F.col(own + name)
+    rule = lambda out, **rules: out.withColumns({own + k: v for k, v in rules.items()})
     public = s["record"] if public is None else public
-    loose = ~connected & ~(F.coalesce(public, F.lit(False)) & F.coalesce(s["election"], F.lit(False)))
-    total = F.when(loose, F.least(total, F.lit(40 if sparse else 30))).otherwise(total)
-    total = F.when(s["priority_issue"] & ~connected, F.least(total, F.lit(30))).otherwise(total)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), total))
-    answer = (s["candidate"] | s["opponent"]) & (claims | attacks)
-    action = F.when((score >= 60) & answer, "respond").when(score >= 60, "review").when(score >= (30 if sparse else 40), "monitor").otherwise("ignore")
+    connected = _any(s["candidate"], s["opponent"], s["district"], s["office"], s["local"], s["keyword"], s["statement"])
+    out = rule(items, named=_any(s["candidate"], s["opponent"], s["district"]), connected=connected, open=F.coalesce(public, F.lit(False)) & F.coalesce(s["election"], F.lit(False)))
+    out = rule(out, category=content_category(topics, c("connected"), s["priority_issue"]))
+    total = sum((_n(F.coalesce(s[k], F.lit(False)), F.lit(p[sparse])) for k, p in POINTS.items() if k in s), F.lit(0))
+    out = rule(out, total=F.when(c("named"), F.greatest(total, F.lit(CONNECTED))).otherwise(total))
+    total = c("total") - _n(c("category").isin(*topics) if topics else F.lit(False), NOISE_PENALTY) - _n(excluded & ~c("named"), NOISE_PENALTY)
+    total = F.least(total, F.when(~c("connected") & ~c("open"), F.lit(40 if sparse else 30)), F.when(s["priority_issue"] & ~c("connected"), F.lit(30)))
+    out = rule(out, score=F.greatest(F.lit(0), F.least(F.lit(100), total)), weak=poor & news, answer=(s["candidate"] | s["opponent"]) & (claims | attacks))
+    score, action = c("score"), c("action")
+    out = rule(out, action=F.when((score >= 60) & c("answer"), "respond").when(score >= 60, "review").when(score >= (30 if sparse else 40), "monitor").otherwise("ignore"))
     points = F.when(action == "respond", F.least(F.lit(100), score + 15)).when(action == "review", score).when(action == "monitor", F.least(score, F.lit(59))).otherwise(F.least(score, F.lit(39)))
-    weak = poor & news
-    final_action = F.when(weak & (action == "respond"), "review").otherwise(action)
-    final_points = F.when(weak & (action == "respond"), F.least(points, F.lit(69))).otherwise(points)
-    final = F.when(weak, F.least(score, F.lit(70))).otherwise(score)
-    archived = (relevance_label(final) == "irrelevant") | (final_action == "ignore") | (category == "irrelevant")
+    tame = c("weak") & (action == "respond")
+    out = rule(out, points=F.when(tame, F.least(points, F.lit(69))).otherwise(points), act=F.when(tame, "review").otherwise(action), final=F.when(c("weak"), F.least(score, F.lit(70))).otherwise(score))
+    out = rule(out, label=relevance_label(c("final")))
+    archived = (c("label") == "irrelevant") | (c("act") == "ignore") | (c("category") == "irrelevant")
     if sparse:
-        archived = archived & ~((final >= 30) & (category != "irrelevant"))
+        archived = archived & ~((c("final") >= 30) & (c("category") != "irrelevant"))
     geo = F.when(s["district"], "district").when(s["local"], "local").otherwise("none")
-    return F.struct(final.cast("int").alias("score"), relevance_label(final).alias("label"), final_action.alias("action"), final_points.cast("int").alias("action_score"), category.alias("category"), geo.alias("geo"), archived.alias("archived"))
+    found = F.struct(c("final").cast("int").alias("score"), c("label").alias("label"), c("act").alias("action"), c("points").cast("int").alias("action_score"), c("category").alias("category"), geo.alias("geo"), archived.alias("archived"))
+    return out.select(*[F.col(f"`{x}`") for x in items.columns if x != "relevance"], found.alias("relevance"))
 
 
 def verdict_score(verdict: Column, title_names: Column, body_names: Column, high_claims: Column, medium_claims: Column, credible: Column, signal: Column) -> Column:

@@ -51,14 +51,14 @@ z as (select i as doc_id, case when weak then least(score, 70) else score end as
 select doc_id, cast(score as int) as score, case when score >= 80 then 'critical' when score >= 60 then 'high' when score >= 40 then 'medium' when score >= 20 then 'low' else 'irrelevant' end as label, action, cast(action_score as int) as action_score, category, geo, score < 20 or action = 'ignore' or category = 'irrelevant' as archived from z""")
 def race_relevance(spark, d):
     s = dict(candidate=_every(5), opponent=_every(7), district=_every(11), office=_every(13), local=F.col("doc_id") % 3 == 1, election=_every(3), priority_issue=_every(4), known_issue=_every(6), keyword=_every(17), record=_every(19), statement=_every(23))
-    r = relevance.race_relevance(s, {"sports": _every(8), "weather": _every(10)}, _every(12), _every(14), _every(15), _every(2), _every(9))
-    return _docs(spark, d).select("doc_id", r.alias("r")).select("doc_id", "r.*")
+    docs = relevance.race_relevance(_docs(spark, d), s, {"sports": _every(8), "weather": _every(10)}, _every(12), _every(14), _every(15), _every(2), _every(9))
+    return docs.select("doc_id", "relevance.*")
 
 
 #: A race whose names and words stand in the driver's documents.
 RACE = relevance.Race(candidate="LICENSE, ANN", opponents=("Dr. Bob Version Jr.", "X Jr"), district=("commons", "zz"), location="apache", office=("the end",), geography=("und der", "de la"), priorities=("haben",), issues=("Nicht wie", "ab"), keywords=("http", "les"), excluded=("por", "que"))
 
-_SAID = "regexp_matches(t, '\\b(?:{})\\b')"
+_SAID = "regexp_matches(t, '(^|[^\\pL\\pN_])(?:{})([^\\pL\\pN_]|$)')"
 _NOISE = {"sports": "phillies|eagles|flyers|76ers|mlb|nba|nfl|nhl|coach|manager|playoffs|game|season", "entertainment": "movie|concert|celebrity|actor|music|festival|streaming", "weather": "weather|forecast|rain|snow|storm|temperature|heat wave", "food": "restaurant|dining|chef|menu|food|bar|brewery", "crime": "arrest|shooting|robbery|burglary|assault|police blotter"}
 
 
@@ -86,8 +86,8 @@ def text_relevance(spark, d):
     """Every signal read from title, text and source with term tables; kinds of sources follow the language, short news count as badly extracted."""
     kind = F.when(F.col("lang") == "en", "news").when(F.col("lang") == "de", "public_record").when(F.col("lang") == "fr", "social").otherwise("campaign_note")
     none = F.lit(None).cast("string")
-    r = relevance.text_relevance(F.substring_index("text", "\n", 1), F.col("text"), none, kind, F.col("source"), none, F.when(F.col("n_chars") < 200, "poor"), RACE)
-    return _docs(spark, d).select("doc_id", r.alias("r")).select("doc_id", "r.*").withColumn("reasons", F.array_join("reasons", ","))
+    docs = relevance.text_relevance(_docs(spark, d), F.substring_index("text", "\n", 1), F.col("text"), none, kind, F.col("source"), none, F.when(F.col("n_chars") < 200, "poor"), RACE)
+    return docs.select("doc_id", "relevance.*").withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("""

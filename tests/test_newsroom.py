@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.functions import extract, names, ownership, text
+from tessera.functions import extract, names, ownership, relevance, text
 from tessera.operators import upkeep
 from tessera.sources import feeds
 from tests.test_operators import one
@@ -115,3 +115,18 @@ def test_links_in_pages(spark):
     df = spark.createDataFrame([(1, page, "Mayor opens the harbour bridge")], "page long, html string, title string")
     got = [(r.link, r.similarity) for r in upkeep.link_candidates(df, F.col("link").contains("p.example"), "title").collect()]
     assert got == [("http://p.example/1", 1.0)]
+
+
+def test_text_relevance_reads_whole_words_and_null_texts(spark):
+    race = relevance.Race(candidate="Doe, Jane", opponents=("Dr. Max Roe Jr.",), district=("Elm",), geography=("que",))
+    rows = [(1, "Doe said the vote was misleading", "news"), (2, "Does the équipe hope", None), (3, None, None), (4, "Roe at the GAME", "news"), (5, "sports recipe", "news")]
+    docs = spark.createDataFrame(rows, "id int, text string, relevance string")
+    none = F.lit(None).cast("string")
+    got = relevance.text_relevance(docs, F.col("text"), none, none, F.col("relevance"), none, none, none, race)
+    assert got.columns == ["id", "text", "relevance"]  # a column of that name gives way
+    found = {r["id"]: r["relevance"] for r in got.collect()}
+    assert found[1]["reasons"] == ["candidate", "election"] and found[1]["action"] == "respond"
+    assert found[2]["reasons"] == [] and found[2]["score"] == 0  # neither "doe" nor "que" is a word of its own
+    assert found[3]["label"] == "irrelevant" and found[3]["archived"]
+    assert found[4]["category"] == "campaign" and found[4]["reasons"] == ["opponent"]
+    assert found[5]["category"] == "sports" and found[5]["action"] == "ignore"
