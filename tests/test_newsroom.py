@@ -119,7 +119,7 @@ def test_links_in_pages(spark):
 
 def test_text_relevance_reads_whole_words_and_null_texts(spark):
     race = relevance.Race(candidate="Doe, Jane", opponents=("Dr. Max Roe Jr.",), district=("Elm",), geography=("que",))
-    rows = [(1, "Doe said the vote was misleading", "news"), (2, "Does the équipe hope", None), (3, None, None), (4, "Roe at the GAME", "news"), (5, "sports recipe", "news")]
+    rows = [(1, "Doe said the vote was misleading", "news"), (2, "Does the équipe hope", None), (3, None, None), (4, "Roe at the GAME", "news"), (5, "nba recipe", "news")]
     docs = spark.createDataFrame(rows, "id int, text string, relevance string")
     none = F.lit(None).cast("string")
     got = relevance.text_relevance(docs, F.col("text"), none, none, F.col("relevance"), none, none, none, race)
