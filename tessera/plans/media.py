@@ -490,11 +490,11 @@ def semi_or(spark, d):
 @query("""
 select a.day, coalesce(v, 0) as views, coalesce(c, 0) as clicks from (select coalesce(x.day, y.day) as day, v, c from
  (select strftime(cast(ts as date), '%Y-%m-%d') as day, count(*) as v from events where event_type = 'view' group by 1) x full join
- (select strftime(cast(ts as date), '%Y-%m-%d') as day, count(*) as c from events where event_type = 'click' and value > 99 group by 1) y on x.day = y.day) a""")
+ (select strftime(cast(ts as date), '%Y-%m-%d') as day, count(*) as c from events where event_type = 'click' group by 1) y on x.day = y.day) a""")
 def full_outer_days(spark, d):
     e = _events(spark, d).withColumn("day", _day("ts"))
     v = e.where("event_type = 'view'").groupBy("day").agg(F.count("*").alias("views"))
-    c = e.where("event_type = 'click' and value > 99").groupBy("day").agg(F.count("*").alias("clicks"))
+    c = e.where("event_type = 'click'").groupBy("day").agg(F.count("*").alias("clicks"))
     return v.join(c, "day", "full").na.fill(0)
 
 

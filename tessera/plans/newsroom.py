@@ -326,11 +326,13 @@ def name_scalars(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.junk_title(title, ["untitled"]).alias("junk"), text.humanise_name(F.concat(F.lit("ROE, "), F.upper("c_mktsegment"))).alias("human"), F.date_format(text.parsed_date(written), "yyyy-MM-dd").alias("day"), same.alias("same"))
 
 
-@query("""select n_nationkey, 'PA-' || n_nationkey || '|PA' || n_nationkey || '|PA ' || n_nationkey as forms, 'Jane Q. Roe' as byline, len(json_extract(case when n_nationkey % 2 = 0 then '["a","b"]' else '[]' end, '$[*]')) as listed from nation where n_nationkey > 9""")
+@query("""
+with n as (select n_nationkey, n_nationkey::varchar as n, lpad(n_nationkey::varchar, 2, '0') as two, case when n_nationkey % 100 between 10 and 19 then 'th' else case n_nationkey % 10 when 1 then 'st' when 2 then 'nd' when 3 then 'rd' else 'th' end end as th from nation)
+select n_nationkey, 'PA-' || two || case when n <> two then '|PA-' || n else '' end || '|PA' || two || '|PA ' || n || '|' || n || th || ' district|District ' || n || '|' || n || th || ' Congressional District' as forms,
+  'Jane Q. Roe' as byline, len(json_extract(case when n_nationkey % 2 = 0 then '["a","b"]' else '[]' end, '$[*]')) as listed from n""")
 def district_scalars(spark, d):
-    """Ways to write a district, bylines and lists in JSON, bad ones too."""
-    n = table(spark, d, "nation").where("n_nationkey > 9")
-    forms = F.array_join(F.slice(names.district_forms(F.concat(F.lit("PA-"), F.col("n_nationkey").cast("string"))), 1, 3), "|")
+    n = table(spark, d, "nation")
+    forms = F.array_join(names.district_forms(F.concat(F.lit("PA-"), F.col("n_nationkey").cast("string"))), "|")
     listed = F.size(text.json_list(F.when(F.col("n_nationkey") % 2 == 0, '["a","b"]').otherwise("not json"))).cast("long")
     return n.select("n_nationkey", forms.alias("forms"), names.byline(F.concat(F.lit("Head\nBy Jane Q. Roe\n"), "n_name")).alias("byline"), listed.alias("listed"))
 

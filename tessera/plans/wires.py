@@ -152,10 +152,10 @@ def race_directory(spark, d):
     return candidates.join(races.select("race_key"), "race_key").groupBy("race_key").agg(F.count("*").alias("candidates"))
 
 
-@query("""select cast(o_orderkey as varchar) as video, 'Jane Kowalski spoke of ' || o_orderkey as text from orders where o_orderkey % 8 = 0""")
+@query("""select cast(o_orderkey as varchar) as video, 'Jane Kowalski spoke of ' || o_orderkey as text from orders""")
 def repaired_transcripts(spark, d):
     from tessera.functions import extract
 
-    o = table(spark, d, "orders").where("o_orderkey % 8 = 0")
-    said = F.concat(F.when(F.col("o_orderkey") % 16 == 0, "Jane Kowalsky").otherwise("Jane Kowalskee"), F.lit(" spoke of "), F.col("o_orderkey").cast("string"))
+    o = table(spark, d, "orders")
+    said = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Jane Kowalsky").otherwise("Jane Kowalskee"), F.lit(" spoke of "), F.col("o_orderkey").cast("string"))
     return o.select(F.col("o_orderkey").cast("string").alias("video"), extract.repaired_names(said, ["Jane Kowalski"]).alias("text"))
