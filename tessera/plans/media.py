@@ -327,7 +327,7 @@ def url_canonical(spark, d):
 
 @query(r"""
 with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g') as t from pages),
-b as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as t from a)
+b as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as t from a)
 select page_id, md5(t) as digest, cast(length(t) as int) as chars from b""")
 def html_text(spark, d):
     t = table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("t"))
