@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import claims, density, frames, layout, review, stories, upkeep
+from tessera.operators import claims, density, frames, incremental, layout, review, stories, upkeep
 from tessera.plans.media import NOW, _as_of, _day
 from tessera.sources.tables import table
 
@@ -346,6 +346,15 @@ def story_clusters(spark, d):
     return stories.summaries(a, stories.assigned(a, stories.links(a)))
 
 
+@query()
+def incremental_stories(spark, d):
+    """Two loads, one after the other: the second one's articles with their stories and why these are analysed again; a sequential version is in the tests."""
+    a = _articles(spark, d).withColumn("arrived", F.col("ts"))
+    first = incremental.arrive(a.where("ts < timestamp '2024-01-11'"))
+    anchors = first.where("id = story").select("story", "authority", F.lit(None).cast("timestamp").alias("dormant_since"))
+    return incremental.attached(incremental.arrive(a.where("ts >= timestamp '2024-01-11'"), first), anchors)
+
+
 @query()
 def fragment_merges(spark, d):
     return stories.followed(stories.merges(_articles(spark, d)))

@@ -93,6 +93,19 @@ def verbatim_offsets(spark, d):
     return n.join(F.broadcast(t)).select("n_nationkey", claims.verbatim_offset(F.lower("n_name"), F.col("t"))["start"].alias("at"))
 
 
+@query("""
+with a as (select doc_id, split_part(text, chr(10), 1) as l from documents), e as (select * from (values (1, 'de'), (2, 'the'), (3, 'der')) e(id, name))
+select doc_id as id, 0 as from_char, length(trim(l)) as to_char, string_agg(cast(e.id as varchar), ' ' order by e.id) as entities, sha1(lower(trim(regexp_replace(l, '\\s+', ' ', 'g')))) as evidence
+from a join e on contains(lower(l), name) group by doc_id, l""")
+def grounded_claims(spark, d):
+    """First lines quoted with wider spaces: where they stand in the whole text, and whom they name."""
+    docs = table(spark, d, "documents")
+    quoted = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("article"), F.replace(F.substring_index("text", "\n", 1), F.lit(" "), F.lit("  ")).alias("span"), F.array(*[F.lit(i) for i in (3, 1, 2, 4)]).alias("mentioned"))
+    entities = spark.createDataFrame([(1, "DE", None), (2, "The", []), (3, "none of them", ["der"])], "id int, name string, aliases array<string>")
+    got = claims.grounded(quoted, docs.select(F.col("doc_id").alias("article"), "text"), entities)
+    return got.select("id", F.col("start").alias("from_char"), F.col("end").alias("to_char"), F.array_join("entities", " ").alias("entities"), "evidence")
+
+
 @query("select p_partkey, cast(case when p_partkey % 4 in (0, 1) then p_partkey % 25 else -1 end as bigint) as entity_id from part")
 def canonical_entities(spark, d):
     """A quarter of the names is written as the entity's name, a quarter as an alias, the rest is unknown."""

@@ -6,15 +6,16 @@ document source; as_of is the midnight after the last event, computed from the d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text, vectors
-from tessera.operators import cluster, counts, graph, review, search, series, stories, writes
+from tessera.operators import cluster, counts, graph, review, search, series, stories, textindex, writes
 from tessera.sources.tables import table
-from tessera.storage import stored
+from tessera.storage import shared_dir, stored
 from tessera.streaming import keywords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -443,6 +444,34 @@ def fts_phrase(spark, d):
     return docs.join(found, "doc_id").select("doc_id", n.alias("hits"), "phrase").orderBy(F.desc("hits"), "doc_id").limit(10)
 
 
+def _ranked_sql(first, second):
+    """BM25 of two words, the phrase first, over whole texts."""
+    return rf"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from documents), c as (
+select doc_id, len(w) as n, len(list_filter(w, lambda x: x = '{first}')) as a, len(list_filter(w, lambda x: x = '{second}')) as b, len(list_filter(range(1, len(w)), lambda i: w[i] = '{first}' and w[i + 1] = '{second}')) as p from w where len(w) > 0), t as (
+select count(*) as docs, sum(n) as words, count_if(a > 0) as na, count_if(b > 0) as nb, max(p) as most from c), s as (
+select doc_id, p, most, a, b, ln(1 + (docs - na + 0.5) / (na + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n * docs / words)) + ln(1 + (docs - nb + 0.5) / (nb + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n * docs / words)) as score from c, t)
+select doc_id, round(score, 5) as score, cast(p as bigint) as phrase_hits from s where p > 0 or (most = 0 and a + b > 0)"""
+
+
+def _ranked(spark, d, words):
+    at = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    textindex.build(table(spark, d, "documents"), "doc_id", "text", at)
+    return textindex.search(spark, at, words).select(F.col("doc").alias("doc_id"), F.round("score", 5).alias("score"), "phrase_hits")
+
+
+@query(_ranked_sql("of", "the"))
+def fts_ranked(spark, d):
+    """Documents with the phrase, ranked: the index is written, then read by its terms."""
+    return _ranked(spark, d, ["of", "the"])
+
+
+@query(_ranked_sql("que", "und"))
+def fts_any_ranked(spark, d):
+    """No document has the phrase: those with either word, ranked."""
+    return _ranked(spark, d, ["que", "und"])
+
+
 @query(f"""
 select o_custkey, o_orderpriority, max(o_totalprice) as confidence, strftime(min(o_orderdate), '%Y-%m-%d') as first_seen, strftime(max(o_orderdate), '%Y-%m-%d') as last_seen from orders group by 1, 2""")
 def upsert_match(spark, d):

@@ -24,7 +24,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table and read back."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `stored` returned, once nothing reads them any more."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
