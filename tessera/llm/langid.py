@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.store import durable, small_batches
+from tessera.llm.store import durable, release, scope, small_batches
 from tessera.llm.textual import _odd, mix
 
 ORDER = 5
@@ -287,18 +287,23 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, where: Column, per_l
     """
     rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.col(key).cast("string").alias("k"))
     counts = rows.groupBy("l").agg(F.count("*").alias("n"))
-    counts = durable(counts.select("l", "n"), "languages")
+    with scope() as spent:
+        counts = durable(counts.select("l", "n"), "languages")
     languages = counts.count()
     if not languages:
+        release(docs.sparkSession, spent)
         return {}
     chars = min(FIT_CHARS, max(1, FIT_TOTAL // languages))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(17), "k", "t"), 11) / F.lit(2.0**53)
     picked = rows.withColumn("u", unit).join(counts, "l").where(F.col("u") < 1.2 * per_language / F.col("n")).select("l", "t", "u", F.length("t").alias("c"))
     along = Window.partitionBy("l").orderBy("u", "t")
     picked = picked.withColumn("i", F.row_number().over(along)).withColumn("before", F.sum("c").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
+    with scope() as more:  # stored, as an iterator over a shuffle is a job for each of its partitions, with or without rows
+        picked = durable(picked.where((F.col("i") <= per_language) & (F.col("before") < chars)).select("l", "i", "t"), "fitted")
     out: dict[str, list[str]] = {}
-    for r in sorted(picked.where((F.col("i") <= per_language) & (F.col("before") < chars)).select("l", "i", "t").toLocalIterator(), key=lambda r: r["i"]):
+    for r in sorted(picked.toLocalIterator(), key=lambda r: r["i"]):
         out.setdefault(r["l"], []).append(r["t"])
+    release(docs.sparkSession, spent + more)
     return out
 
 
