@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.store import durable, release, scope, small_batches
+from tessera.llm.store import durable, release, scope, small_batches, trim
 from tessera.llm.textual import _odd, mix
 
 ORDER = 5
@@ -178,9 +178,10 @@ class Model:
     def top(self, texts: dict[str, list[np.ndarray]]) -> None:
         """Complete the log-probabilities of every seen top-order n-gram in every language."""
         joined = [c for v in texts.values() for c in v]
-        h = np.concatenate([gram_hashes(c, ORDER) for c in joined])
-        grams = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, ORDER) for c in joined])
-        self.full = self._grams(grams[np.unique(h, return_index=True)[1]]).astype(np.float32)
+        _, first = np.unique(np.concatenate([gram_hashes(c, ORDER) for c in joined]), return_index=True)
+        ends = np.cumsum([len(c) - ORDER + 1 for c in joined])
+        at = first + (ORDER - 1) * np.searchsorted(ends, first, "right")  # of the n-gram's first symbol among all texts' symbols
+        self.full = self._grams(np.concatenate(joined)[at[:, None] + np.arange(ORDER)]).astype(np.float32)
 
     def _grams(self, grams: np.ndarray) -> np.ndarray:
         """Log-probability of the last symbol of each row after the others, per language."""
@@ -321,6 +322,8 @@ def identify(docs: DataFrame, train: Column | None = None, per_language: int = F
     texts = sample(docs, "text", "lang", "doc_id", F.lit(True) if train is None else train, per_language)
     model = fit({k: [symbols(t) for t in v] for k, v in texts.items()})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_TOTAL
+    del texts, model  # the broadcast has a file of its own
+    trim()
     at = docs.columns.index("text")
     kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 

@@ -405,11 +405,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             # Two exact ways for the minor rows: each meets every block of its component, or those rows that share a rarest shingle; by component, what is less.
             mass = own.groupBy("component").agg(F.count("*").alias("n"), F.count_if("minor").alias("m")).withColumn("sent", F.col("m") * F.ceil(F.col("n") / (BLOCK - ANCHORS)))
             mass = durable(mass.where(F.col("sent") > SPREAD * F.col("n")), "mass")
-            few = None
+            few, met = None, []
             if not mass.isEmpty():
                 many = own.join(mass.select("component"), "component", "left_semi").join(print_of, "id").join(texts, ["doc_id", "t"])
-                sets = durable(_sets(many.select("component", "id", "class", "minor", "f1", "f2", "text")), "shingles")
-                keys = durable(_prefixes(sets, percent), "prefixes")
+                with scope() as spent:
+                    sets = durable(_sets(many.select("component", "id", "class", "minor", "f1", "f2", "text")), "shingles")
+                with scope() as met:
+                    keys = durable(_prefixes(sets, percent), "prefixes")
+                release(docs.sparkSession, spent)
                 few = mass.join(_meetings(keys), "component", "left").where(F.coalesce("met", F.lit(0)) <= F.col("sent") * LESS).select("component")
                 few = durable(few, "few")
                 own = own.join(few, "component", "left_anti")
@@ -423,6 +426,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
                 asked = pairs.select("block", F.col("a").alias("id"), F.col("ca").alias("class"), F.lit(True).alias("minor")).distinct()
                 asked = asked.unionByName(pairs.select("block", F.col("b").alias("id"), F.col("cb").alias("class"), F.lit(False).alias("minor")))
                 found = found.unionByName(durable(_confirmed(with_text(asked), percent), "links"))
+            release(docs.sparkSession, met)
             final = connected_components(firm.unionByName(found))
         final = final.withColumnRenamed("node", "id").groupBy("id").agg(F.min("component").alias("component"))
         whole = groups.join(final, "id", "left").select("f1", "f2", F.col("n_shingles").alias("size"), "doc_id", F.coalesce("component", "id").alias("component"))

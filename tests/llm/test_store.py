@@ -1,7 +1,10 @@
 """What operators leave behind while a longer job goes on: stored tables, and jobs that the driver keeps in mind."""
 
 import os
+import re
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, store
@@ -59,3 +62,37 @@ def test_a_sample_takes_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert set(got) == {"l0", "l1", "l2"} and all(1 <= len(v) <= 5 for v in got.values())
     assert 0 < len(jobs) < 20
+
+
+def held() -> float:
+    """MB of this process without mapped files."""
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) / 1024
+
+
+def test_release_gives_freed_memory_back(spark):
+    """Pieces freed between others that stay are not the driver's for good."""
+    texts = [str(i) * 400 for i in range(60_000)]
+    some = texts[::2000]
+    full = held()
+    del texts
+    store.release(spark, [])
+    assert full - held() > 70 and len(some) == 30
+
+
+def test_a_model_copies_no_symbol_for_each_place_of_an_ngram():
+    """Top-order n-grams are read from the texts where they stand: beside hashes and their sort nothing is as long as the texts."""
+    rng = np.random.default_rng(5)
+    code = [langid.symbols(" ".join(map("".join, rng.choice(list("abcdef"), (n, 4))))) for n in rng.integers(1, 900, 40)]
+    texts = {"a": code[:20], "b": code[20:]}
+    model = langid.Model.of(texts)
+    grams = [c[i : i + langid.ORDER] for c in code for i in range(len(c) - langid.ORDER + 1)]
+    _, first = np.unique(np.concatenate([langid.gram_hashes(c, langid.ORDER) for c in code]), return_index=True)
+    assert (model.full == model._grams(np.array(grams)[first]).astype(np.float32)).all()
+    many = {k: v * 100 for k, v in texts.items()}
+    tracemalloc.start()
+    try:
+        model.top(many)
+        assert tracemalloc.get_traced_memory()[1] < 45 * 100 * sum(map(len, code))
+    finally:
+        tracemalloc.stop()
