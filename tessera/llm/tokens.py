@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.minhash import _grouped
 from tessera.llm.mph import MinimalHash, fingerprint
 from tessera.llm.packing import Encoder
-from tessera.llm.store import batches, durable, remove, shared_dir
+from tessera.llm.store import batches, durable, remove, shared_dir, trim
 from tessera.llm.textual import mix
 
 MAGIC = b"TSRIDS1\0"
@@ -38,10 +39,14 @@ KEYS = 1 << 20
 STRETCH = 1 << 20
 #: Bytes of ids that a task hands on at a time.
 PIECE = 1 << 22
+#: Characters that are looked up at a time: each takes some 50 bytes meanwhile.
+LOOKED_UP = 1 << 20
 
 #: Characters whose NFC form is themselves and whose lower case is one character; texts of others are the library's.
 _PLAIN = re.compile("[\t\n\r !-~¡-¬®-įı-ɏ]*")
 _CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)", re.I)
+#: White space of _PLAIN texts: it stands in no token, so a text may be cut after it.
+_SPACE = re.compile("[\t\n\r ]")
 
 
 class WordEncoder(Encoder):
@@ -93,27 +98,51 @@ class WordEncoder(Encoder):
         size = 0
         for i, t in enumerate(texts):
             if _PLAIN.fullmatch(t) and not _CONTRACTION.search(t) and not self.added.search(t):
+                if len(t) > LOOKED_UP:
+                    out[i] = np.concatenate([self.plain([t[a:b]])[0] for a, b in self.cuts(t)])
+                    continue
                 group.append(i)
                 size += len(t)
             else:
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
-            if group and (size >= 1 << 20 or i == len(texts) - 1):
-                for j, ids in zip(group, self.plain([texts[j] for j in group]), strict=True):
-                    out[j] = ids
+            if size >= LOOKED_UP:
+                self.fill(out, texts, group)
                 group, size = [], 0
+        self.fill(out, texts, group)
         return out
 
+    def fill(self, out: list[np.ndarray | None], texts: list[str], group: list[int]) -> None:
+        for i, ids in zip(group, self.plain([texts[i] for i in group]), strict=True):
+            out[i] = ids
+
+    @staticmethod
+    def cuts(text: str) -> Iterator[tuple[int, int]]:
+        """Stretches of a text, each cut after the first white space past LOOKED_UP characters; a run without any stays whole."""
+        a = 0
+        while a < len(text):
+            space = _SPACE.search(text, a + LOOKED_UP)
+            b = space.end() if space else len(text)
+            yield a, b
+            a = b
+
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One per worker, kept between tasks."""
+    """One per worker, kept between tasks that encode."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
+def drop_encoders() -> None:
+    """For tasks of later stages: no text is encoded any more, and an encoder that has met a million words holds some 200 MB."""
+    if _encoders:
+        _encoders.clear()
+        trim()
+
+
 def _files(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a folder; Arrow knows file, hdfs, s3 and gs."""
     return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri) if ":" in uri else f"file://{uri}")
@@ -142,6 +171,7 @@ class TokenFiles:
         folder = self.folder
 
         def run(stream):
+            drop_encoders()
             files, at = _files(folder)
             for t in _grouped(stream, 0):
                 bucket = t.column("bucket").to_numpy()
@@ -175,6 +205,7 @@ class TokenFiles:
         folder = self.folder
 
         def run(stream):
+            drop_encoders()
             files, at = _files(folder)
             for t in _grouped(stream, 0):
                 name = t.column("file").to_pylist()
@@ -241,6 +272,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
 
     def shard(stream):
         """Copies the sorted documents of one task from their runs to a shard; what stands together in a run is read at once."""
+        drop_encoders()
         (source, there), (files, at) = _files(runs), _files(folder)
         number, name, out, start = TaskContext.get().partitionId(), f"ids-{uuid.uuid4().hex}.bin", None, 0
         last, nth, opened, x = object(), 0, None, None
@@ -306,6 +338,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
     buckets = max(shards, -(-sum(r["n_docs"] for r in summed) // KEYS))
 
     def indexed(stream):
+        drop_encoders()
         files, at = _files(folder)
         for t in _grouped(stream, 0):
             bucket = t.column("bucket").to_numpy()
@@ -325,6 +358,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
 
     h1, h2 = _hashes()
     dealt = keyed.select(_bucket(buckets), h1.alias("h1"), h2.alias("h2"), "shard", "start", "n_tokens").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    dealt.mapInArrow(indexed, "bucket int, file string, n_keys long").write.parquet(f"{folder}/index")
-    index = spark.read.schema("bucket int, file string, n_keys long").parquet(f"{folder}/index")
+    # One row for each bucket, like the shards: a table of one file, where a file for each task would hold a row or none.
+    index = spark.createDataFrame(dealt.mapInArrow(indexed, "bucket int, file string, n_keys long").collect(), "bucket int, file string, n_keys long")
+    index.coalesce(1).write.parquet(f"{folder}/index")
+    index = spark.read.schema(index.schema).parquet(f"{folder}/index")
     return TokenFiles(folder, keyed.select("doc_id", "nth"), of, index, buckets)

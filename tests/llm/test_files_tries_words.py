@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,6 +65,29 @@ def test_token_files_of_repeated_and_null_ids(spark):
     assert empty.read().count() == 0 and empty.shards.count() == 0
 
 
+def test_long_texts_are_looked_up_in_stretches(monkeypatch):
+    enc = tokens.WordEncoder(queries.words())
+    text = " ".join(f"Word{i % 997}\n{i % 10}!?" for i in range(400_000))
+    tracemalloc.start()
+    (ids,) = enc.encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 < 50 * len(text) and ids.tolist() == enc.plain([text])[0].tolist()
+    monkeypatch.setattr(tokens, "LOOKED_UP", 7)
+    rng = random.Random(4)
+    texts = ["x" * 50, " " * 50, "\n", ""] + ["".join(rng.choice("aB1 .,'\t\réİ<|>s") for _ in range(rng.randrange(90))) for _ in range(300)]
+    assert [x.tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_later_stages_of_token_files_hold_no_encoder(spark):
+    df = spark.createDataFrame([(i, f"w{i}") for i in range(200)], "doc_id long, text string")
+    written = tokens.write(df, queries.words(), shards=4)
+    assert len(written.index.inputFiles()) == 1 and written.index.count() == 4 == written.index.select("file").distinct().count()
+    tokens.encoder(queries.words())
+    tokens.drop_encoders()
+    assert not tokens._encoders
+
+
 def test_minimal_hash():
     rng = np.random.Generator(np.random.PCG64(1))
     for n in (0, 1, 2, 1000, 50_000):
