@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
+from tessera.operators import blocks
 
 
 def network(entities: DataFrame, relations: DataFrame, retracted: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -115,10 +116,7 @@ def rule_groups(entities: DataFrame, key: Column) -> DataFrame:
 
 def similar_entities(entities: DataFrame, key: str, kind: str, vector: str, least: float) -> DataFrame:
     """(a, b, similarity) of entities of one kind from `least` cosine."""
-    x = entities.select(F.col(kind).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"))
-    l, r = x.toDF("g", "a", "va"), x.toDF("h", "b", "vb")  # noqa: E741
-    s = vectors.cosine(F.col("va"), F.col("vb"))
-    return l.join(r, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b"))).withColumn("similarity", s).where(F.col("similarity") >= least).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    return blocks.pairs(entities, kind, key, vector, "similarity", least=least)
 
 
 def partisan_guard(rels: DataFrame, parties: DataFrame, friendly: list[str]) -> DataFrame:
