@@ -94,12 +94,13 @@ def pair_dataset(items: DataFrame, group: str, key: str, vector: str, negatives:
     """
     x = items.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"))
     l, r = x.toDF("ga", "a", "va"), x.toDF("gb", "b", "vb")  # noqa: E741
-    same = l.join(r, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")))
+    same = blocks.pairs(items, group, key, vector, "distance", of=lambda s: 1 - s)
     bucket = lambda c: F.pmod(F.xxhash64(F.lit(1), c), F.lit(parts))
     other = l.join(r, (bucket("a") == bucket("b")) & (F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b")))
     other = other.orderBy(F.xxhash64(F.lit(7), "a", "b"), "a", "b").limit(negatives)
     distance = F.round(1 - vectors.cosine(F.col("va"), F.col("vb")), 4)
-    return same.withColumn("same", F.lit(True)).unionByName(other.withColumn("same", F.lit(False))).select("a", "b", "same", distance.alias("distance"))
+    other = other.select("a", "b", F.lit(False).alias("same"), distance.alias("distance"))
+    return same.withColumn("same", F.lit(True)).unionByName(other).select("a", "b", "same", "distance")
 
 
 def wire_purity(members: DataFrame, cluster: str, body: str) -> DataFrame:
