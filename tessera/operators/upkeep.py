@@ -155,9 +155,8 @@ def resolved_merge(rows: DataFrame, cluster: Column, frame: Column) -> DataFrame
 
 def nearest_past(decisions: DataFrame, probes: DataFrame, key: str, vector: str, group: str, top: int = 4) -> DataFrame:
     """(probe, key, rank): the `top` past decisions of the probe's group by cosine (ties: the least key).  probes: probe, group, vector."""
-    p = probes.select("probe", F.col(group).alias("_g"), F.col(vector).alias("_v"))
-    s = decisions.join(p, decisions[group] == F.col("_g")).withColumn("_s", F.round(vectors.cosine(F.col(vector), F.col("_v")), 6)).where(F.col(key) != F.col("probe"))
-    w = Window.partitionBy("probe").orderBy(F.desc("_s"), key)
+    s = blocks.nearest(decisions, probes, group, key, "probe", vector, top).withColumnRenamed("key", key)
+    w = Window.partitionBy("probe").orderBy(F.desc("similarity"), key)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("probe", key, "rank")
 
 

@@ -47,7 +47,7 @@ def test_no_rows(spark):
     assert blocks.pairs(none, "g", "k", "v", "d").count() == 0 and blocks.nearest(none, none, "g", "k", "k", "v", 4).count() == 0
 
 
-@pytest.mark.parametrize("find", ["similar_entities", "pair_dataset"])
+@pytest.mark.parametrize("find", ["similar_entities", "pair_dataset", "nearest_past"])
 def test_pairs_of_a_group_are_no_join(spark, find):
     """Cosines of a group's pairs are made in blocks, never by a join of its rows."""
     df = made(spark)
