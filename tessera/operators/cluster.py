@@ -23,32 +23,76 @@ def near_duplicate(sim: Column, same_source: Column, ts_a: Column, ts_b: Column,
     return (sim >= 0.92) | ((sim >= 0.72) & F.coalesce(same_source, F.lit(False)) & close)
 
 
-def token_pairs(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, similarity): pairs of rows whose token sets (arrays without repeats) have Jaccard similarity >= least.
+#: Longs of a set's bitmap; rows of a set that stand in one array.
+BITMAP, CHUNK = 4, 256
+#: Against products such as 0.65 * n a little over the whole number that they stand for.
+EPS = 1e-9
+
+
+def set_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity): pairs a < b of different sets (i long, w array without repeats) with Jaccard similarity >= least, each pair once.
 
-    Prefix filter: such a pair shares one of the rarest (1 - least) of the tokens, and one, of either side.  A row stands at each of
-    these with its size, and only rows of sizes that allow the similarity meet: sizes are cut into classes, a row asks its own and the next.
+    Prefix filter: of such a pair the larger set's rarest (1 - least) of tokens, and one, hold one of the rarest 1 - 2 least / (1 + least), and one, of the smaller's.  Sets meet on
+    these where their sizes allow the similarity (cut into classes: a set asks its own and the one below), where as many tokens may still follow on both sides, and where bitmaps of
+    the tokens' parities do not differ in more bits than the sets may in tokens.  What is left is counted.
     """
-    t = rows.select(F.col(key).alias("k"), F.col(tokens).alias("w")).where(F.size(tokens) > 0)
-    x = t.select("k", F.size("w").alias("n"), F.explode("w").alias("w"))
-    common = x.groupBy("w").agg(F.count("*").alias("df"))
-    s = x.join(common, "w").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s"))
+    x = sets.where("size(w) > 0").select("i", F.explode("w").alias("w"))
+    words = stored(x.groupBy("w").agg(F.count("*").alias("df")), "words")
+    # Tokens as numbers in order of rarity: places in a sorted table.
+    words = stored(words.sort("df", "w").select("w", "df", F.monotonically_increasing_id().alias("r")), "words")
+    bit = F.pmod(F.xxhash64(F.lit(11), "r"), F.lit(64 * BITMAP)).cast("int")
+    numbered = x.join(words, "w").select("i", "r", (F.col("df") > 1).alias("shared"), bit.alias("bit"))
+    maps = [F.bit_xor(F.when(F.floor(F.col("bit") / 64) == m, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"m{m}") for m in range(BITMAP)]
     step = -math.log(least) * 1.0001
-    lead = s.select("k", "n", F.floor(F.log("n") / step).alias("c"), F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("z"))
-    lead = lead.select("k", "n", "c", F.col("z.w").alias("w"))
-    asks = lead.withColumn("c", F.explode(F.array(F.col("c"), F.col("c") + 1)))
-    near = (F.col("p.n") >= F.col("q.n") * least) & (F.col("q.n") >= F.col("p.n") * least)
-    # In one class the smaller key asks; in the next every row does, so each pair is found from the lower class or the smaller key.
-    same = F.floor(F.log(F.col("p.n")) / step) == F.col("q.c")
-    once = ~same | (F.col("p.k") < F.col("q.k"))
-    met = asks.alias("p").join(lead.alias("q"), (F.col("p.w") == F.col("q.w")) & (F.col("p.c") == F.col("q.c"))).where(near & once)
-    pairs = met.select(F.least("p.k", "q.k").alias("a"), F.greatest("p.k", "q.k").alias("b")).distinct()
+    known = numbered.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("r", "shared"))).alias("s"), F.count("*").cast("int").alias("n"), *maps).withColumn("c", F.floor(F.log("n") / step))
+    known = stored(known, "sets")
+    bits = [f"m{m}" for m in range(BITMAP)]
+    lead = known.select("i", "n", "c", *bits, F.posexplode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - EPS) + 1).cast("int"))).alias("at", "z"))
+    lead = lead.where("z.shared").select("i", "n", "c", *bits, "at", "z.r")
+    found = lead.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - EPS) + 1)
+    asks = lead.withColumn("c", F.explode(F.array(F.col("c"), F.col("c") - 1)))
+    both = F.col("p.n") + F.col("q.n")
+    smaller = (F.col("q.n") < F.col("p.n")) | ((F.col("q.n") == F.col("p.n")) & (F.col("q.i") < F.col("p.i")))
+    sizes = F.col("q.n") >= F.col("p.n") * least - EPS
+    follow = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= both * (least / (1 + least)) - EPS
+    apart = sum((F.bit_count(F.col(f"p.{m}").bitwiseXOR(F.col(f"q.{m}"))) for m in bits), F.lit(0)) <= both * ((1 - least) / (1 + least)) + EPS
+    met = asks.alias("p").join(found.alias("q"), (F.col("p.r") == F.col("q.r")) & (F.col("p.c") == F.col("q.c")) & smaller & sizes & follow & apart)
+    pairs = met.select(F.least("p.i", "q.i").alias("a"), F.greatest("p.i", "q.i").alias("b")).distinct()
     for side in "ab":
-        pairs = pairs.join(t.select(F.col("k").alias(side), F.col("w").alias(f"w{side}")), side)
-    sim = text.jaccard(F.col("wa"), F.col("wb"))
+        pairs = pairs.join(known.select(F.col("i").alias(side), F.col("s.r").alias(f"s{side}")), side)
+    sim = text.jaccard(F.col("sa"), F.col("sb"))
     return pairs.where(sim >= least).select("a", "b", F.round(sim, 4).alias("similarity"))
 
 
+def distinct_sets(rows: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the number i of their token set, (i, w) of each set once).  Rows without tokens go."""
+    # Stored with rows that then go: a filter before would make the tokens twice.
+    t = stored(rows.withColumn("_d", F.md5(F.to_json(F.array_sort(tokens)))), "tokens").where(F.size(tokens) > 0)
+    sets = stored(t.groupBy("_d").agg(F.first(tokens).alias("w")).withColumn("i", F.monotonically_increasing_id()), "sets")
+    return t.join(sets.select("_d", "i"), "_d").drop("_d"), sets.select("i", "w")
+
+
+def token_pairs(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
+    """(a, b, similarity): pairs of rows whose token sets (arrays without repeats) have Jaccard similarity >= least.
+
+    Different sets are compared by set_pairs, each once; their rows then become pairs, array by array of CHUNK rows, so that a set of many rows is spread over tasks
+    and nothing but the result follows the square of the copies.
+    """
+    members, sets = distinct_sets(rows.select(F.col(key).alias("k"), F.col(tokens).alias("w")), "w")
+    members = stored(members.select("k", "i"), "members")
+    size = members.groupBy("i").agg(F.ceil(F.count("*") / CHUNK).alias("many"), F.count("*").alias("rows"))
+    chunk = F.pmod(F.xxhash64(F.lit(3), "k"), F.col("many")).cast("int")
+    chunks = stored(members.join(size, "i").groupBy("i", chunk.alias("chunk")).agg(F.collect_list("k").alias("ks")), "chunks")
+    alone = size.where("rows > 1").select(F.col("i").alias("a"), F.col("i").alias("b"), F.lit(1.0).alias("similarity"))
+    pairs = set_pairs(sets, least).unionByName(alone)
+    for side in "ab":
+        pairs = pairs.join(chunks.select(F.col("i").alias(side), F.col("chunk").alias(f"c{side}"), F.col("ks").alias(f"k{side}")), side)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.where("a < b or ca <= cb").repartition(n, "a", "b", "ca", "cb")
+    every = dealt.withColumn("ka", F.explode("ka")).withColumn("kb", F.explode("kb")).where("a < b or ca < cb or ka < kb")
+    return every.where("ka <> kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+
+
 def title_pairs(items: DataFrame, key: str, title: str, least: float) -> DataFrame:
     """(a, b, similarity) of titles with token similarity >= least, numbers not contradicting."""
     pairs = token_pairs(items.select(F.col(key), text.title_tokens(F.col(title)).alias("w")), key, "w", least)
