@@ -343,7 +343,7 @@ def _articles(spark, d):
 def story_clusters(spark, d):
     """Every article's story, then a row per story; a sequential version is in the tests."""
     a = _articles(spark, d)
-    return stories.summaries(a, stories.assigned(a, stories.links(a)))
+    return stories.summaries(a, stories.told(a))
 
 
 @query()
