@@ -98,8 +98,10 @@ def filings(raw: DataFrame, known: DataFrame) -> DataFrame:
     j = raw.select(F.from_json("value", "id string, committee string, form string, amount double, support string, date string, url string").alias("j")).select("j.*").where("id is not null")
     side = F.when(F.col("support") == "S", "supporting").when(F.col("support") == "O", "opposing")
     title = F.concat_ws(" ", "committee", F.lit("filed"), "form", side, F.when(F.col("amount").isNotNull(), F.concat(F.lit("$"), F.format_number("amount", 0))))
+    j = j.join(known.select("url").distinct(), "url", "left_anti")
     items = _item(j, title, F.col("url"), title, F.col("committee"), F.try_to_timestamp("date"), "public_record").dropDuplicates(["url", "title"])
-    return items.join(known.select("url"), "url", "left_anti").join(known.select("title"), "title", "left_anti").select("title", "url", "body", "author", "published", "kind")
+    # Distinct: one title that all known rows have is folded into the condition, and every item would meet every row.
+    return items.join(known.select("title").distinct(), "title", "left_anti").select("title", "url", "body", "author", "published", "kind")
 
 
 def threads(raw: DataFrame, words: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import claims, textindex
+from tessera.sources import feeds
 
 
 def test_a_span_is_looked_for_once(spark):
@@ -21,3 +22,13 @@ def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
     textindex.build(df, "doc", "text", str(tmp_path))
     got = {(r.term, r.doc): (r.length, r.positions) for r in textindex.read(spark, str(tmp_path), ["the", "bridge"]).collect()}
     assert got == {("the", 1): (3, [0, 2]), ("bridge", 1): (3, [1]), ("bridge", 3): (1, [0])}
+
+
+def test_known_items_of_one_title(spark):
+    """Known rows that all bear one title: items meet that title once, not each row."""
+    raw = spark.range(5).select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.lit("C").alias("committee"), F.concat(F.lit("u"), "id").alias("url"))).alias("value"))
+    known = spark.range(1000).select(F.concat(F.lit("u"), F.col("id") * 2).alias("url"), F.lit("-").alias("title"))
+    out = feeds.filings(raw, known)
+    assert sorted(r.url for r in out.collect()) == ["u1", "u3"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3 and "Aggregate" in plan[plan.rindex("Join LeftAnti") :]
