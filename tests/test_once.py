@@ -1,9 +1,11 @@
 """What is to be done once."""
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import claims, textindex
+from tessera.operators import claims, stories, textindex
 from tessera.sources import feeds
 
 
@@ -32,3 +34,14 @@ def test_known_items_of_one_title(spark):
     assert sorted(r.url for r in out.collect()) == ["u1", "u3"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") >= 3 and "Aggregate" in plan[plan.rindex("Join LeftAnti") :]
+
+
+def test_stretches_of_a_long_title():
+    """A title's stretches are few and those of any prefix in it are among them."""
+    rng = random.Random(3)
+    title = "".join(rng.choice("abcdefgh ü\U0001d4d0") for _ in range(60_000))
+    held = set(stories._least_hashes(title).tolist())
+    assert len(held) < 15_000 and not len(stories._least_hashes(title[:19]))
+    for at in range(0, 59_000, 997):
+        for size in (20, 25, 30):
+            assert set(stories._least_hashes(title[at : at + size]).tolist()) <= held
